@@ -23,7 +23,7 @@ from pyspark.sql.window import Window, WindowSpec
 SLICE = "_slice"
 OWN = "_own"
 
-KINDS = ("sum", "max", "min", "last", "lag", "lead", "next")
+KINDS = ("sum", "max", "min", "last", "before", "lag", "lead", "next", "after")
 
 
 def slice_of(t: str | Column, width: float) -> Column:
@@ -36,6 +36,11 @@ def order_columns(t: str, seq: str | Sequence[str] | None) -> list[Column]:
     return [F.col(name) for name in names]
 
 
+def renewed(df: DataFrame) -> DataFrame:
+    """Same columns under new attribute ids, for a cogroup with a relative of ``df``."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def slice_window(keys: Sequence[str], t: str, seq: str | Sequence[str] | None = None) -> WindowSpec:
     return Window.partitionBy(*keys, SLICE).orderBy(*order_columns(t, seq))
 
@@ -69,7 +74,10 @@ def running(
     ``sum max min``  over all rows up to and including this one
     ``last``         latest non-null value up to and including this row
     ``next``         earliest non-null value from this row on
+    ``before after`` as ``last``/``next`` but without this row
     ``lag lead``     the neighbouring row's value (null allowed)
+
+    Key columns must not be null.
     """
     for name, (kind, _) in values.items():
         if kind not in KINDS:
@@ -93,8 +101,10 @@ def running(
             "max": lambda: F.max(value),
             "min": lambda: F.min(value),
             "last": lambda: F.max_by(value, known),
+            "before": lambda: F.max_by(value, known),
             "lag": lambda: F.max_by(value, known),
             "next": lambda: F.min_by(value, known),
+            "after": lambda: F.min_by(value, known),
             "lead": lambda: F.min_by(value, known),
         }[kind]()
         return column.alias(tmp[name])
@@ -111,24 +121,23 @@ def running(
             "max": lambda: F.max(value).over(before),
             "min": lambda: F.min(value).over(before),
             "last": lambda: F.last(value, ignorenulls=True).over(before),
+            "before": lambda: F.last(value, ignorenulls=True).over(before),
             "lag": lambda: F.last(value, ignorenulls=True).over(before),
             "next": lambda: F.last(value, ignorenulls=True).over(after_desc),
+            "after": lambda: F.last(value, ignorenulls=True).over(after_desc),
             "lead": lambda: F.last(value, ignorenulls=True).over(after_desc),
         }[kind]()
         return column.alias(carry[name])
 
     carries = totals.select(*keys, SLICE, *[prefix(name, kind) for name, (kind, _) in values.items()])
-    # Null keys must meet their own summary row, so the join is null-safe.
-    left, right = sliced.alias("l"), carries.alias("r")
-    on = F.col(f"l.{SLICE}") == F.col(f"r.{SLICE}")
-    for key in keys:
-        on = on & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
-    joined = left.join(right, on, "left").select("l.*", *[F.col(f"r.{carry[name]}") for name in values])
+    joined = sliced.join(carries, [*keys, SLICE], "left")
 
     inside = slice_window(keys, t, seq)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     backwards = Window.partitionBy(*keys, SLICE).orderBy(*[c.desc() for c in order])
     onward = backwards.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    later = backwards.rowsBetween(Window.unboundedPreceding, -1)
 
     def final(name: str, kind: str) -> Column:
         value, carried = F.col(tmp[name]), F.col(carry[name])
@@ -137,8 +146,10 @@ def running(
             "max": lambda: F.greatest(F.max(value).over(upto), carried),
             "min": lambda: F.least(F.min(value).over(upto), carried),
             "last": lambda: F.coalesce(F.last(value, ignorenulls=True).over(upto), carried),
+            "before": lambda: F.coalesce(F.last(value, ignorenulls=True).over(earlier), carried),
             "lag": lambda: F.coalesce(F.lag(value).over(inside), carried)["v"],
             "next": lambda: F.coalesce(F.last(value, ignorenulls=True).over(onward), carried),
+            "after": lambda: F.coalesce(F.last(value, ignorenulls=True).over(later), carried),
             "lead": lambda: F.coalesce(F.lead(value).over(inside), carried)["v"],
         }[kind]()
         return column.alias(name)
@@ -182,25 +193,23 @@ def reflected_running_sum(
         .withColumn("_end", F.col("_p") + F.greatest(F.col("_top"), F.col("_top") * 0))
         .select(*keys, SLICE, F.lag("_end").over(along).alias("_in"))
     )
-    left, right = sliced.alias("l"), carries.alias("r")
-    on = F.col(f"l.{SLICE}") == F.col(f"r.{SLICE}")
-    for key in keys:
-        on = on & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
     entering = F.coalesce(F.col("_in"), F.col("_s") * 0)
     return (
-        left.join(right, on, "left")
-        .select("l.*", "r._in")
+        sliced.join(carries, [*keys, SLICE], "left")
         .withColumn(out, F.col("_s") + F.greatest(entering, -F.col("_m")))
         .drop(SLICE, "_s", "_m", "_in")
     )
 
 
-def keyed_join(facts: DataFrame, dim: DataFrame, keys: Sequence[str], spread: int = 16, how: str = "left") -> DataFrame:
+def keyed_join(
+    facts: DataFrame, dim: DataFrame, keys: Sequence[str], salt_on: Sequence[str], spread: int = 16, how: str = "left"
+) -> DataFrame:
     """Join a one-row-per-key table to facts in which one key may dominate.
 
     Spark broadcasts the small side when its measured size allows; when it does
-    not, the salt spreads a hot key over ``spread`` tasks instead of one.
+    not, the salt spreads a hot key over ``spread`` tasks instead of one.  The
+    salt comes from row values, so a recomputed task routes rows the same way.
     """
-    salted = facts.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(spread)))
-    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
+    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*salt_on), F.lit(spread)).cast("int"))
+    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Only settings that change results (time zone) or let Spark re-plan at run
 # time.  Partition counts are left to AQE on a cluster.
@@ -45,3 +46,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
         current = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and go on from the written table.
+
+    Ordered scans read their input twice, so chained scans would re-plan and
+    re-run everything upstream; a written table is read twice instead, outlives
+    a lost executor, and has known sizes for the joins that follow.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
