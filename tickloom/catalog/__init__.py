@@ -1 +1,6 @@
+"""Runnable queries over the given tables, one or more per operator."""
 
+from tickloom.catalog import ordered  # noqa: F401
+from tickloom.catalog.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
