@@ -310,7 +310,7 @@ def composite(spark, sf_dir):
     b AS (SELECT f.event_id, CASE WHEN m.t - (f.t + {DAY}) <= {12 * HOUR} THEN m.mid END AS mid FROM (SELECT *, t + {DAY} AS p FROM f) f ASOF LEFT JOIN m ON f.user_id = m.user_id AND f.p <= m.t)
     SELECT a.event_id, round(CASE WHEN side = 'bid' THEN a.mid - value ELSE value - a.mid END, 6) AS markout_6h,
       round(CASE WHEN side = 'bid' THEN b.mid - value ELSE value - b.mid END, 6) AS markout_24h,
-      CASE WHEN b.mid IS NOT NULL THEN CASE WHEN (CASE WHEN side = 'bid' THEN b.mid - value ELSE value - b.mid END) <= -0.01 THEN 1.0 ELSE 0.0 END END AS toxic
+      CASE WHEN b.mid IS NOT NULL THEN CASE WHEN (CASE WHEN side = 'bid' THEN b.mid - value ELSE value - b.mid END) <= -0.01 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS toxic
     FROM a JOIN b USING (event_id)""",
 )
 def fill_markouts(spark, sf_dir):
@@ -366,14 +366,14 @@ def feed_cross_check(spark, sf_dir):
 
 @query(
     "running_position",
-    """WITH f AS (SELECT l_suppkey, l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS n, l_extendedprice / l_quantity / 10000 AS p,
+    """WITH f AS (SELECT l_suppkey, l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS n, round(l_extendedprice / l_quantity) / 100 AS p,
       datediff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS d FROM lineitem)
     SELECT l_orderkey, l_linenumber, l_suppkey, round(sum(n) OVER w, 4) AS position, round(sum(-n * p) OVER w, 4) AS cash
     FROM f WINDOW w AS (PARTITION BY l_suppkey ORDER BY d, l_orderkey, l_linenumber, p, n ROWS UNBOUNDED PRECEDING)""",
 )
 def running_position(spark, sf_dir):
     n = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
-    p = F.col("l_extendedprice") / F.col("l_quantity") / 10000
+    p = F.round(F.col("l_extendedprice") / F.col("l_quantity")) / 100
     fills = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_orderkey", "l_linenumber", n.alias("n"), p.alias("p"), F.datediff(F.to_date("l_shipdate"), F.lit("1970-01-01")).cast("long").alias("d")
     )

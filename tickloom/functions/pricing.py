@@ -48,7 +48,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def clamp(value: Column | float, low: Column | float, high: Column | float) -> Column:
-    return F.greatest(_c(low), F.least(_c(high), _c(value)))
+    """Value held inside [low, high]; null stays null (greatest/least alone would skip it)."""
+    return let(_c(value), lambda v: F.when(v.isNotNull(), F.greatest(_c(low), F.least(_c(high), v))))
 
 
 def _upper_tail(y: Column, sq: Column) -> Column:

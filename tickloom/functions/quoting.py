@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tickloom.functions.pricing import clamp, let
+
 # Fee rates of the published quadratic schedule; price grid bounds.
 MAKER_FEE_RATE = "0.0175"
 TAKER_FEE_RATE = "0.07"
@@ -33,18 +35,25 @@ def _range_of(ranges: Column, price: Column) -> Column:
 
 
 def grid_step(ranges: Column, price: Column) -> Column:
-    bounded = F.least(F.lit(1.0), F.greatest(F.lit(0.0), price))
-    return F.coalesce(_range_of(ranges, bounded)["step"], F.element_at(ranges, -1)["step"])
+    return let(
+        clamp(price, 0.0, 1.0), lambda b: F.coalesce(_range_of(ranges, b)["step"], F.element_at(ranges, -1)["step"])
+    )
 
 
 def _grid_round(ranges: Column, price: Column, up: bool) -> Column:
-    bounded = F.least(F.lit(PRICE_HIGH), F.greatest(F.lit(PRICE_LOW), price))
-    r = _range_of(ranges, bounded)
-    units = (bounded - r["start"]) / r["step"]
-    whole = F.ceil(units - 1e-10) if up else F.floor(units + 1e-10)
     low, high = F.element_at(ranges, 1)["start"], F.element_at(ranges, -1)["end"]
-    edge = F.when(bounded < low, low).otherwise(F.round(high, 4))
-    return F.coalesce(F.round(r["start"] + whole * r["step"], 4), edge)
+
+    def at(bounded: Column) -> Column:
+        def inside(r: Column) -> Column:
+            units = (bounded - r["start"]) / r["step"]
+            whole = F.ceil(units - 1e-10) if up else F.floor(units + 1e-10)
+            return F.round(r["start"] + whole * r["step"], 4)
+
+        # Outside the configured ranges the nearest edge is the price.
+        edge = F.when(bounded < low, low).when(bounded.isNotNull(), F.round(high, 4))
+        return F.coalesce(let(_range_of(ranges, bounded), inside), edge)
+
+    return let(clamp(price, PRICE_LOW, PRICE_HIGH), at)
 
 
 def grid_floor(ranges: Column, price: Column) -> Column:

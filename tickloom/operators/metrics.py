@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.pricing import clamp
 from tickloom.operators.slices import running
 
 PROBABILITY_FLOOR = 1e-9
@@ -18,7 +19,7 @@ def brier_term(p: Column, outcome: Column) -> Column:
 
 
 def log_loss_term(p: Column, outcome: Column) -> Column:
-    clipped = F.least(F.lit(1.0 - PROBABILITY_FLOOR), F.greatest(F.lit(PROBABILITY_FLOOR), p))
+    clipped = clamp(p, PROBABILITY_FLOOR, 1.0 - PROBABILITY_FLOOR)
     return -(outcome * F.log(clipped) + (1.0 - outcome) * F.log(1.0 - clipped))
 
 
