@@ -23,14 +23,19 @@ def log_loss_term(p: Column, outcome: Column) -> Column:
     return -(outcome * F.log(clipped) + (1.0 - outcome) * F.log(1.0 - clipped))
 
 
+def pearson(x: Column, y: Column, min_rows: int = 3) -> Column:
+    """Aggregate: correlation, null below ``min_rows`` pairs or when a side is constant."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.when((F.count(a) >= min_rows) & (spread > 0), F.covar_pop(a, b) / spread)
+
+
 def window_ic(df: DataFrame, keys: Sequence[str], x: str, y: str, min_rows: int = 3, out: str = "ic") -> DataFrame:
     """Pearson correlation per key; null below ``min_rows`` or when a side is constant."""
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
     return both.groupBy(*keys).agg(
-        F.when(
-            (F.count(F.lit(1)) >= min_rows) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y)
-        ).alias(out),
-        F.count(F.lit(1)).alias("rows"),
+        pearson(F.col(x), F.col(y), min_rows).alias(out), F.count(F.lit(1)).alias("rows")
     )
 
 

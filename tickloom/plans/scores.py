@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.pricing import average_settlement_fair, clamp
 from tickloom.functions.quoting import upper_median
 from tickloom.operators.asof import asof_join
-from tickloom.operators.metrics import brier_term, hit_rate, log_loss_term
+from tickloom.operators.metrics import brier_term, hit_rate, log_loss_term, pearson
 from tickloom.operators.slices import keyed_join
 from tickloom.plans.features import observed_fixings, seconds_to_close, window_labels
 from tickloom.plans.state import T, Windows, fresh, market_state, priced, sample
@@ -92,7 +92,7 @@ def score_models(windows: Windows, strict: bool = False) -> DataFrame:
         "signal", F.col("fair") - F.col("mid")
     )
     per_window = moves.groupBy("model", "horizon_ms", "ticker").agg(
-        F.when((F.count(F.lit(1)) >= 3) & (F.stddev_pop("signal") > 0) & (F.stddev_pop("move") > 0), F.corr("signal", "move")).alias("ic"),
+        pearson(F.col("signal"), F.col("move")).alias("ic"),
         hit_rate(F.col("signal"), F.col("move")).alias("hit"),
     )
     ahead = per_window.groupBy("model", "horizon_ms").agg(F.avg("ic").alias("signal_ic"), F.avg("hit").alias("hit_rate"))
