@@ -22,11 +22,20 @@ def fresh_folder(spark: SparkSession) -> str:
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that has landed, into a written table, and read it back."""
+    """Run a stream over all that has landed, into a written table, and read it back.
+
+    Empty batches are switched off: an operator with a processing-time timeout
+    asks for one after another and would keep a bounded run from ending.
+    """
     spark = stream.sparkSession
-    out = fresh_folder(spark)
-    writer = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", fresh_folder(spark))
-    writer.trigger(availableNow=True).start().awaitTermination()
+    out, setting = fresh_folder(spark), "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        writer = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", fresh_folder(spark))
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -40,7 +49,7 @@ def landed(df: DataFrame) -> DataFrame:
 
 def event_stream(spark, sf_dir) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return stream.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("k", F.from_json("props", "k int")["k"]).drop("ts", "props")
 
 

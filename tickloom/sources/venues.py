@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.parsing import iso_millis, number
+from tickloom.functions.parsing import field, iso_millis, number
 
 PRICE, QTY = "decimal(18,8)", "decimal(28,10)"
 LEVELS = "array<struct<price:string,qty:string>>"
@@ -18,10 +18,6 @@ KRAKEN = (
     "channel string, type string, data array<struct<symbol:string,bids:array<struct<price:string,qty:string>>,"
     "asks:array<struct<price:string,qty:string>>,checksum:string,timestamp:string,last:string>>"
 )
-BINANCE = (
-    "e string, E string, T string, p string, u string, lastUpdateId string, "
-    "bids array<array<string>>, asks array<array<string>>, b string, a string"
-)
 
 
 def _side_levels(updates: Column, names: tuple[str, ...]) -> Column:
@@ -58,14 +54,18 @@ def depth_updates(messages: DataFrame) -> DataFrame:
         F.coalesce("d.bids", F.array().cast(LEVELS)).alias("bids"), F.coalesce("d.asks", F.array().cast(LEVELS)).alias("asks"),
         F.lit(None).cast("long").alias("sequence"), F.col("d.checksum").cast("long").alias("checksum"),
     )
-    bn = messages.filter(F.col("venue") == "binance").withColumn("m", F.from_json("message", BINANCE))
-    as_levels = lambda text: F.from_json(text, "array<array<string>>")  # noqa: E731 - short forms arrive as JSON text
-    bids, asks = F.coalesce(F.col("m.bids"), as_levels(F.col("m.b"))), F.coalesce(F.col("m.asks"), as_levels(F.col("m.a")))
-    binance = bn.withColumn("_b", bids).withColumn("_a", asks).filter("_b is not null and _a is not null").select(
+    # Field names that differ in case only (e, E) need the case-sensitive JSON path.
+    message = F.col("message")
+    bn = messages.filter(F.col("venue") == "binance")
+
+    def side(long: str, short: str) -> Column:
+        return F.from_json(F.coalesce(field(message, long), field(message, short)), "array<array<string>>")
+
+    binance = bn.withColumn("_b", side("bids", "b")).withColumn("_a", side("asks", "a")).filter("_b is not null and _a is not null").select(
         *base, F.lit(0).alias("part"), F.lit("snapshot").alias("kind"),
-        F.coalesce(F.nullif(F.col("m.E").try_cast("bigint"), F.lit(0)), F.col("receive_ts_ms")).alias("ts_ms"),
+        F.coalesce(F.nullif(field(message, "E").try_cast("bigint"), F.lit(0).cast("long")), F.col("receive_ts_ms")).alias("ts_ms"),
         _pairs(F.col("_b")).alias("bids"), _pairs(F.col("_a")).alias("asks"),
-        F.coalesce("m.lastUpdateId", "m.u").cast("long").alias("sequence"), F.lit(None).cast("long").alias("checksum"),
+        F.coalesce(field(message, "lastUpdateId"), field(message, "u")).cast("long").alias("sequence"), F.lit(None).cast("long").alias("checksum"),
     )
     return coinbase.unionByName(kraken).unionByName(binance)
 
@@ -73,15 +73,20 @@ def depth_updates(messages: DataFrame) -> DataFrame:
 def venue_trades(messages: DataFrame) -> DataFrame:
     """(venue, receive_ts_ms, line, ts_ms, price) of every price print; crossed or non-positive quotes drop out."""
     base = ["venue", "receive_ts_ms", "line"]
-    bn = messages.filter(F.col("venue") == "binance").withColumn("m", F.from_json("message", BINANCE))
-    traded = F.col("m.e").isin("trade", "aggTrade") & F.col("m.p").isNotNull()
-    bid, ask = number(F.col("m.b")), number(F.col("m.a"))
+    message = F.col("message")
+    bn = messages.filter(F.col("venue") == "binance")
+    traded = field(message, "e").isin("trade", "aggTrade") & field(message, "p").isNotNull()
+    traded = F.coalesce(traded, F.lit(False))
+    bid, ask = number(field(message, "b")), number(field(message, "a"))
     quoted = (bid > 0) & (bid <= ask)
+
+    def clock(name: str) -> Column:
+        return F.nullif(field(message, name).try_cast("bigint"), F.lit(0).cast("long"))
+
     binance = bn.select(
         *base,
-        F.when(traded, F.coalesce(F.nullif(F.col("m.T").try_cast("bigint"), F.lit(0)), F.nullif(F.col("m.E").try_cast("bigint"), F.lit(0)), F.col("receive_ts_ms")))
-        .otherwise(F.col("receive_ts_ms")).alias("ts_ms"),
-        F.when(traded, number(F.col("m.p"))).when(quoted, (bid + ask) / 2.0).alias("price"),
+        F.when(traded, F.coalesce(clock("T"), clock("E"), F.col("receive_ts_ms"))).otherwise(F.col("receive_ts_ms")).alias("ts_ms"),
+        F.when(traded, number(field(message, "p"))).when(quoted, (bid + ask) / 2.0).alias("price"),
     )
     cb = messages.filter(F.col("venue") == "coinbase").withColumn("m", F.from_json("message", COINBASE)).filter("m.channel = 'ticker'")
     coinbase = cb.select(*base, iso_millis(F.col("m.timestamp")).alias("ts_ms"), number(F.get(F.get("m.events", F.lit(0))["tickers"], F.lit(0))["price"]).alias("price"))
