@@ -11,10 +11,11 @@ independently.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,11 +44,11 @@ def step_table(times: np.ndarray, slice_start: float, interval: float) -> tuple[
     return times[:reach][cut].tolist(), lasts[cut].tolist()
 
 
-def walk(times: np.ndarray, entering: float | None, interval: float) -> np.ndarray:
+def walk(times: np.ndarray, entering: int | None, interval: float) -> np.ndarray:
     """Positions kept, given the last kept time before the slice."""
     n = len(times)
     following = _next_index(times, interval)
-    at = 0 if entering is None or np.isnan(entering) else int(np.searchsorted(times, entering + interval, side="left"))
+    at = 0 if entering is None else int(np.searchsorted(times, entering + interval, side="left"))
     kept = []
     while at < n:
         kept.append(at)
@@ -55,6 +56,44 @@ def walk(times: np.ndarray, entering: float | None, interval: float) -> np.ndarr
     return np.asarray(kept, dtype=np.int64)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], mark: str = "_g") -> Iterator[pa.Table]:
+    """Re-cut sorted batches so that every table holds complete groups only.
+
+    Thousands of small groups then share one table; only a group that runs past
+    its batch is held back.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column(mark).to_numpy(zero_copy_only=False)
+        changes = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+        if held and held[-1].column(mark)[-1].as_py() != ids[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        if len(changes):
+            last = int(changes[-1])
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = [batch.slice(last)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def bounds(table: pa.Table, mark: str = "_g") -> list[tuple[int, int]]:
+    """(start, end) of every group in a table of whole groups."""
+    ids = table.column(mark).to_numpy()
+    starts = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]])
+    return list(zip(starts[:-1].tolist(), starts[1:].tolist()))
+
+
+def clustered(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows of a group together in one task and in order, with the group mark ``_g``."""
+    marked = df.withColumn("_g", F.xxhash64(*group))
+    return marked.repartition(*group).sortWithinPartitions(*group, *order)
+
+
 def greedy_sample(
     df: DataFrame,
     keys: Sequence[str],
@@ -72,57 +111,56 @@ def greedy_sample(
         raise ValueError("slice width must be at least the sampling interval")
     keys = list(keys)
     seqs = [seq] if isinstance(seq, str) else list(seq)
+    group = [*keys, SLICE]
     sliced = df.withColumn(SLICE, slice_of(t, width))
-    key_fields = [df.schema[k] for k in keys]
-    slice_field = T.StructField(SLICE, T.LongType())
-
-    table_schema = T.StructType(
-        [*key_fields, slice_field]
-        + [T.StructField(n, T.ArrayType(T.LongType())) for n in ("_bounds", "_lasts")]
-    )
-
-    def summarise(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.unique(pdf[t].to_numpy(dtype=np.int64))
-        bounds, lasts = step_table(times, group[-1] * width, interval)
-        return pd.DataFrame([[*group, bounds, lasts]], columns=table_schema.names)
-
-    tables = (
-        sliced.select(*keys, SLICE, t).distinct().groupBy(*keys, SLICE).applyInPandas(summarise, table_schema)
-    )
-
-    entry_schema = T.StructType([*key_fields, slice_field, T.StructField("_enter", T.LongType())])
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(SLICE)
-        entering: list[int | None] = []
-        last: int | None = None
-        for bounds, lasts in zip(pdf["_bounds"], pdf["_lasts"]):
-            entering.append(last)
-            probe = bounds[0] if last is None else last + interval
-            j = int(np.searchsorted(np.asarray(bounds), probe, side="left"))
-            if j < len(bounds):
-                last = int(lasts[j])
-        out = pdf[[*keys, SLICE]].copy()
-        out["_enter"] = pd.array(entering, dtype="Int64")
-        return out
-
-    entries = tables.groupBy(*keys).applyInPandas(chain, entry_schema)
-
-    def keep(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return rows
-        rows = rows.sort_values([t, *seqs], kind="stable")
-        value = entry["_enter"].iloc[0] if len(entry) else None
-        entering = None if value is None or pd.isna(value) else float(value)
-        return rows.iloc[walk(rows[t].to_numpy(dtype=np.int64), entering, interval)]
-
-    out_schema = T.StructType([*df.schema.fields, slice_field])
-    kept = (
-        sliced.groupBy(*keys, SLICE)
-        .cogroup(entries.groupBy(*keys, SLICE))
-        .applyInPandas(keep, out_schema)
-    )
-    return kept.drop(SLICE)
+    fields = [*[df.schema[k] for k in keys], T.StructField(SLICE, T.LongType())]
+    lists = [T.StructField(n, T.ArrayType(T.LongType())) for n in ("_bounds", "_lasts")]
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches):
+            times, slices = table.column(t).to_numpy(), table.column(SLICE).to_numpy()
+            cuts = bounds(table)
+            steps = [step_table(times[a:b], slices[a] * width, interval) for a, b in cuts]
+            out = table.select(group).take([a for a, _ in cuts])
+            for i, name in enumerate(("_bounds", "_lasts")):
+                out = out.append_column(name, pa.array([s[i] for s in steps], pa.list_(pa.int64())))
+            yield from out.to_batches()
+
+    times_only = clustered(sliced.select(*group, t).distinct(), group, [t])
+    tables = times_only.mapInArrow(summarise, T.StructType([*fields, *lists]))
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches):
+            tables_of, lasts_of = table.column("_bounds").to_pylist(), table.column("_lasts").to_pylist()
+            entering: list[int | None] = []
+            for a, b in bounds(table):
+                last: int | None = None
+                for i in range(a, b):
+                    entering.append(last)
+                    j = 0 if last is None else bisect_left(tables_of[i], last + interval)
+                    if j < len(tables_of[i]):
+                        last = lasts_of[i][j]
+            yield from table.select(group).append_column("_enter", pa.array(entering, pa.int64())).to_batches()
+
+    entries = clustered(tables, keys, [SLICE]).mapInArrow(chain, T.StructType([*fields, T.StructField("_enter", T.LongType())]))
+
+    # The entering state travels as one extra row at the head of its slice, so no join is needed.
+    line = sliced.withColumn("_head", F.lit(1)).unionByName(entries.withColumn("_head", F.lit(0)), allowMissingColumns=True)
+    columns = df.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches):
+            heads = table.column("_head").to_numpy() == 0
+            times = table.column(t).fill_null(0).to_numpy()
+            enters = table.column("_enter")
+            kept = []
+            for a, b in bounds(table):
+                first = a + 1 if heads[a] else a
+                entering = enters[a].as_py() if heads[a] else None
+                kept.append(first + walk(times[first:b], entering, interval))
+            yield from table.select(columns).take(np.concatenate(kept)).to_batches()
+
+    return clustered(line, group, ["_head", t, *seqs]).mapInArrow(keep, df.schema)
 
 
 def greedy_reference(times: Iterable[float], interval: float) -> list[float]:
