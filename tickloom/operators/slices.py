@@ -204,7 +204,7 @@ def reflected_running_sum(
 def keyed_join(
     facts: DataFrame, dim: DataFrame, keys: Sequence[str], salt_on: Sequence[str], spread: int = 16, how: str = "left"
 ) -> DataFrame:
-    """Join a one-row-per-key table to facts in which one key may dominate.
+    """Join a table of one or few rows per key to facts in which one key may dominate.
 
     Spark broadcasts the small side when its measured size allows; when it does
     not, the salt spreads a hot key over ``spread`` tasks instead of one.  The
