@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import ngram_join
+from tickloom.llm import language, ngram_join
 from tickloom.llm.base import query, table
 
 
@@ -12,3 +12,10 @@ from tickloom.llm.base import query, table
 def _ngram_jaccard_join(spark, sf_dir):
     found = ngram_join.ngram_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", F.col("class_id"))
+
+
+@query("op6_language_id")
+def _language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out("doc_id", 5, 0))
+    model = language.fit_languages(docs.where("NOT held_out"))
+    return language.identify(docs.select("doc_id", "text", "held_out"), model).drop("text")
