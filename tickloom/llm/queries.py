@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import language, ngram_join
+from tickloom.llm import decontaminate, language, ngram_join
 from tickloom.llm.base import query, table
 
 
@@ -19,3 +19,8 @@ def _language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out("doc_id", 5, 0))
     model = language.fit_languages(docs.where("NOT held_out"))
     return language.identify(docs.select("doc_id", "text", "held_out"), model).drop("text")
+
+
+@query("op2_template_decontamination")
+def _template_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_rid")
