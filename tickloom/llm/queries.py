@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, language, ngram_join
+from tickloom.llm import decontaminate, language, mixing, ngram_join, sharding
 from tickloom.llm.base import query, table
 
 
@@ -24,3 +24,20 @@ def _language_id(spark, sf_dir):
 @query("op2_template_decontamination")
 def _template_decontamination(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_rid")
+
+
+@query("op7_mixing_to_targets")
+def _mixing_to_targets(spark, sf_dir):
+    out = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), mixing.dimensions())
+    return out.select(
+        "doc_id", F.col("_dim_source").alias("source"), F.col("_dim_lang").alias("lang"), F.col("_dim_topic").alias("topic"),
+        F.col("_tokens").alias("tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_sampled").alias("sampled"),
+    )
+
+
+@query("op1_sharding")
+def _sharding(spark, sf_dir):
+    out = sharding.shard_records(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
