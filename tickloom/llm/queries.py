@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, language, mixing, ngram_join, sharding
+from tickloom.llm import decontaminate, language, mixing, ngram_join, quality, sharding, warc
 from tickloom.llm.base import query, table
 
 
@@ -41,3 +41,16 @@ def _sharding(spark, sf_dir):
     return out.select(
         "doc_id", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query("op4_quality_rules")
+def _quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.scored(docs, table(spark, sf_dir, "labels"), language.held_out("doc_id", 4, 2))
+
+
+@query("op5_warc")
+def _warc(spark, sf_dir):
+    folder = warc.archive_folder(spark)
+    files = warc.write_archives(warc.with_revisits(table(spark, sf_dir, "pages")), folder)
+    return warc.read_archives(files, folder, payloads=False).drop("payload", "url")
