@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, language, mixing, ngram_join, quality, sharding, warc
+from tickloom.llm import decontaminate, language, mixing, ngram_join, quality, sharding, substring, warc
 from tickloom.llm.base import query, table
 
 
@@ -54,3 +54,9 @@ def _warc(spark, sf_dir):
     folder = warc.archive_folder(spark)
     files = warc.write_archives(warc.with_revisits(table(spark, sf_dir, "pages")), folder)
     return warc.read_archives(files, folder, payloads=False).drop("payload", "url")
+
+
+@query("op10_substring_dedup")
+def _substring_dedup(spark, sf_dir):
+    out = substring.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
