@@ -91,7 +91,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     strided = tokens.select("_rid", F.posexplode_outer(F.transform(starts, lambda i: F.xxhash64(F.slice("tokens", i, size)))).alias("k", "h"))
     hits = strided.join(F.broadcast(windows) if small else windows, "h").select("_rid", "class", "m", (F.col("k") * stride - F.col("at")).alias("offset"))
     hits = cut(hits.distinct())
-    texts = rows.select("_rid", F.col("doc_id"), F.col("text").cast("string").alias("text")).join(hits.groupBy("_rid").agg(F.collect_set(F.struct("class", "m", "offset")).alias("hits")), "_rid")
+    # Always one shuffle of the texts: whether the hits could be broadcast depends on the corpus.
+    grouped = hits.groupBy("_rid").agg(F.collect_set(F.struct("class", "m", "offset")).alias("hits"))
+    texts = rows.select("_rid", F.col("doc_id"), F.col("text").cast("string").alias("text")).join(grouped.hint("merge"), "_rid")
     seen = texts.select("_rid", "doc_id", "hits", F.explode(F.array(valued_tokens(F.col("text")))).alias("dv"))
     # Only the stretch of the document that lies against the item goes on.
     low = F.greatest(F.lit(0), F.col("hit.offset"))
@@ -118,5 +120,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
-    found = contaminated(docs, benchmark).select("_rid").distinct()
-    return with_row_id(docs).join(found, "_rid", "left_anti").drop("_rid")
+    found = cut(contaminated(docs, benchmark).select("_rid").distinct())
+    return with_row_id(docs).join(found.hint("merge"), "_rid", "left_anti").drop("_rid")

@@ -382,4 +382,4 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, most: int = BLOCK_SETS
 def keep_one_per_component(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row of each component, with the columns of ``docs``."""
     kept = ngram_components(docs, width).where("keep").select("_rid")
-    return with_row_id(docs).join(kept, "_rid", "left_semi").drop("_rid")
+    return with_row_id(docs).join(kept.hint("merge"), "_rid", "left_semi").drop("_rid")
