@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, language, mixing, ngram_join, quality, sharding, substring, topk, warc
+from tickloom.llm import decontaminate, language, lines, mixing, ngram_join, quality, sharding, substring, topk, warc
 from tickloom.llm.base import query, table
+from tickloom.llm.words import with_row_id
 
 
 @query("op3_ngram_jaccard_join")
@@ -80,3 +81,30 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 @query("op8_exact_top_k", _TOPK_SQL)
 def _exact_top_k(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+_LINES_SQL = r"""
+WITH l AS (
+  SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS no, unnest(string_split(text, chr(10))) AS line FROM documents
+), w AS (SELECT doc_id, no, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM l),
+s AS (
+  SELECT doc_id, no, list_sort(list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])) AS s FROM w WHERE len(w) >= 5
+), d AS (SELECT s, min((doc_id, no)) AS f, row_number() OVER () AS id FROM s GROUP BY s),
+t AS (SELECT id, f, len(s) AS n, unnest(s) AS x FROM d),
+p AS (
+  SELECT a.id FROM t a JOIN t b ON a.x = b.x AND b.f < a.f GROUP BY a.id, b.id, a.n, b.n HAVING 7 * count(*) >= 3 * (a.n + b.n)
+), m AS (SELECT DISTINCT id FROM p),
+r AS (
+  SELECT s.doc_id, s.no FROM s JOIN d ON s.s = d.s LEFT JOIN m ON m.id = d.id WHERE (s.doc_id, s.no) <> d.f OR m.id IS NOT NULL
+)
+SELECT documents.doc_id, CAST(count(no) AS BIGINT) AS n_removed, coalesce(array_to_string(list_sort(list(no) FILTER (no IS NOT NULL)), ','), '') AS removed_lines
+FROM documents LEFT JOIN r ON r.doc_id = documents.doc_id GROUP BY documents.doc_id
+"""
+
+
+@query("op9_line_dedup", _LINES_SQL)
+def _line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    gone = lines.removed_lines(docs).groupBy("_rid").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("no")).alias("removed"))
+    out = with_row_id(docs).select("_rid", "doc_id").join(gone, "_rid", "left")
+    return out.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed_lines"))
