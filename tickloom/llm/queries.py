@@ -9,10 +9,28 @@ from tickloom.llm.base import query, table
 from tickloom.llm.words import with_row_id
 
 
-@query("op3_ngram_jaccard_join")
+# Classes are texts with equal sets; only classes are compared, and components grow along their links.
+_NGRAM_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, r, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_sort(list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])) END AS s FROM w
+), c AS (SELECT s, min(r) AS c FROM s WHERE len(s) > 0 GROUP BY s),
+t AS MATERIALIZED (SELECT c, len(s) AS n, unnest(s) AS x FROM c),
+links AS MATERIALIZED (
+  SELECT a.c AS a, b.c AS b FROM t a JOIN t b ON a.x = b.x AND a.c <> b.c GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach AS (SELECT c AS a, c AS b FROM c UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+label AS (SELECT a AS c, min(b) AS label FROM reach GROUP BY a),
+named AS (SELECT s.doc_id, s.r, len(s.s) AS n, label.label FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN label ON label.c = c.c)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY label) END AS component_id FROM named
+"""
+
+
+@query("op3_ngram_jaccard_join", _NGRAM_SQL)
 def _ngram_jaccard_join(spark, sf_dir):
     found = ngram_join.ngram_components(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_shingles", "component_id", F.col("class_id"))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 @query("op6_language_id")
@@ -50,14 +68,37 @@ def _quality_rules(spark, sf_dir):
     return quality.scored(docs, table(spark, sf_dir, "labels"), language.held_out("doc_id", 4, 2))
 
 
-@query("op5_warc")
+_WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS sum FROM p),
+l AS (SELECT *, max(page_id) OVER (PARTITION BY sum) AS last FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sum AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM l
+"""
+
+
+@query("op5_warc", _WARC_SQL)
 def _warc(spark, sf_dir):
     folder = warc.archive_folder(spark)
     files = warc.write_archives(warc.with_revisits(table(spark, sf_dir, "pages")), folder)
     return warc.read_archives(files, folder, payloads=False).drop("payload", "url")
 
 
-@query("op10_substring_dedup")
+_SUBSTRING_SQL = r"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS MATERIALIZED (SELECT r, unnest(range(1, len(w) - 33)) AS i, unnest([sha1(array_to_string(w[i:i + 34], ' ')) FOR i IN range(1, len(w) - 33)]) AS x FROM w WHERE len(w) >= 35),
+again AS (SELECT x FROM win GROUP BY x HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS k FROM win SEMI JOIN again USING (x)),
+word AS (SELECT r, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS t FROM w),
+kept AS (SELECT word.r, string_agg(t, ' ' ORDER BY k) AS kept, count(*) AS n FROM word ANTI JOIN gone ON gone.r = word.r AND gone.k = word.k GROUP BY word.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.r = w.r
+"""
+
+
+@query("op10_substring_dedup", _SUBSTRING_SQL)
 def _substring_dedup(spark, sf_dir):
     out = substring.without_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
