@@ -10,10 +10,11 @@ products, computed exactly.  No pass keeps scores:
    bin is one value.
 2. The last pass sends the scores above the kth and, of its ties, the smallest ids that can still be needed.
 
-So a query and block send at most k counts or rows, whatever the ties.  Ties go to the smaller vec_id.  Rows
-with null or non-finite components and rows without vec_id take no part; vectors shorter than the longest take no part either.  Repeated rows of a vec_id are candidates each for themselves; as a query the id is asked once, with
-its smallest vector.  A query's own id is never its candidate.  Fewer than k candidates: all of them.  Scores
-that could need more than 61 bits raise.  An empty table gives an empty result.
+So a query and block send at most 2 k counts or rows, whatever the ties.  Ties go to the smaller vec_id.
+Rows with null or non-finite components, without vec_id, or shorter than the longest vector take no part.
+Repeated rows of a vec_id are candidates each for themselves; as a query the id is asked once, with its
+smallest vector.  A query's own id is never its candidate.  Fewer than k candidates: all of them.  A score of
+more than 61 bits raises.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ SCALE = 64
 BINS = 1024
 QUERY_BLOCK = 1024
 ROW_BLOCK = 8192
+LIMIT = 1 << 61
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -69,14 +71,15 @@ def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
     return cut(rows.mapInArrow(run, "ids binary, vectors binary, d int").withColumn(name, F.monotonically_increasing_id()))
 
 
-def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Exact integer inner products, queries x candidates."""
+def _scores(q: np.ndarray, v: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Exact integer inner products, queries x candidates; pairs that aren't ``other`` may hold anything."""
     bound = float(np.abs(q).sum(axis=1).max(initial=0)) * float(np.abs(v).max(initial=0))
     if bound < 2**53:  # every partial sum is an integer that a double holds
         return (q @ v.T).astype(np.int64)
     exact = np.array([[int(x) for x in row] for row in q], object) @ np.array([[int(x) for x in row] for row in v], object).T
-    if exact.size and (exact.max() >= 2**63 or exact.min() < -(2**63)):
-        raise OverflowError("a score is outside of 64 bits")
+    exact = np.where(other, exact, 0)
+    if exact.size and max(exact.max(), -exact.min()) >= LIMIT:
+        raise OverflowError("a score needs more than 61 bits")
     return exact.astype(np.int64)
 
 
@@ -84,7 +87,8 @@ def _pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     qid, cid = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["ids"], np.int64)
     q = np.frombuffer(row["qvectors"], np.float64).reshape(len(qid), row["d"])
     v = np.frombuffer(row["vectors"], np.float64).reshape(len(cid), row["d"])
-    return qid, cid, _scores(q, v), qid[:, None] != cid[None, :]
+    other = qid[:, None] != cid[None, :]
+    return qid, cid, _scores(q, v, other), other
 
 
 def _count(k: int):
@@ -154,9 +158,7 @@ def _first_ranges(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """(qid, low, width): per query a range that holds every possible score."""
     top = rows.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0.0
     reach = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x)) * top
-    if (queries.agg(F.max(reach)).first()[0] or 0.0) >= 2**61:
-        raise OverflowError("scores of such vectors need more than 61 bits")
-    high = F.floor(reach * 1.000001).cast("long") + 1  # doubles round by far less
+    high = F.floor(F.least(reach * 1.000001, F.lit(float(LIMIT)))).cast("long") + 1  # doubles round by far less
     return queries.select(F.col("vec_id").alias("qid"), (-high).alias("low"), (F.floor(high * 2 / BINS) + 1).cast("long").alias("width"))
 
 
