@@ -285,7 +285,7 @@ def _simulated(spark, sf_dir, spec="baseline"):
     state = cut(market_state(w, book=book))
     context = cut(quotes.decision_context(w, state))
     table = cut(quotes.quote_lifetimes(quotes.variant_quotes(context, w.markets, parse_variants(spec)), SLICE_MS))
-    done, _ = fills.simulate_fills(table, state, changes, w.trades, w.markets, SLICE_MS)
+    done, _ = fills.recorded_fills(table, state, changes, w.trades, w.markets, SLICE_MS)
     return w, state, cut(done)
 
 

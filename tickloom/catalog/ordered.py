@@ -318,11 +318,32 @@ def fill_markouts(spark, sf_dir):
     fills = e.filter("event_type = 'purchase'").select(
         "user_id", "event_id", "t", F.when(F.col("k") % 2 == 0, "bid").otherwise("ask").alias("fill_side"), F.col("value").alias("fill_price")
     )
-    mids = e.filter("event_type = 'view'").select("user_id", F.col("t").alias("mid_t"), F.col("value").alias("mid"))
-    marked = markouts(fills, mids, USER, "t", 4 * DAY, {"markout_6h": 6 * HOUR, "markout_24h": DAY}, 12 * HOUR, "mid_t")
+    mids = e.filter("event_type = 'view'").select("user_id", F.col("t").alias("mid_t"), F.col("event_id").alias("seq"), F.col("value").alias("mid"))
+    marked = markouts(fills, mids, USER, "t", 4 * DAY, {"markout_6h": 6 * HOUR, "markout_24h": DAY}, 12 * HOUR, "mid_t", ["seq"])
     return rounded(marked.select("event_id", "markout_6h", "markout_24h", toxic_label(F.col("markout_24h")).alias("toxic")))
 
 
+@query(
+    "fill_markouts_tied",
+    f"""WITH {EVENTS_SQL}, f AS (SELECT * FROM e WHERE event_type = 'purchase'),
+    m AS (SELECT user_id, t - t % {30 * DAY} AS mid_t, event_id AS seq, event_id % 7 AS part, value AS mid FROM e WHERE event_type = 'view'),
+    j AS (SELECT f.event_id, f.k, f.value, m.mid, row_number() OVER (PARTITION BY f.event_id ORDER BY m.mid_t, m.part, m.seq) AS r
+      FROM f JOIN m ON m.user_id = f.user_id AND m.mid_t BETWEEN f.t + {DAY} AND f.t + {61 * DAY})
+    SELECT event_id, round(CASE WHEN k % 2 = 0 THEN mid - value ELSE value - mid END, 6) AS markout FROM j WHERE r = 1""",
+)
+def fill_markouts_tied(spark, sf_dir):
+    """Very many mids share a time; two more columns order them."""
+    e = events(spark, sf_dir)
+    fills = e.filter("event_type = 'purchase'").select(
+        "user_id", "event_id", "t", F.when(F.col("k") % 2 == 0, "bid").otherwise("ask").alias("fill_side"), F.col("value").alias("fill_price")
+    )
+    mids = e.filter("event_type = 'view'").select(
+        "user_id", (F.col("t") - F.col("t") % (30 * DAY)).alias("mid_t"), (F.col("event_id") % 7).alias("part"), F.col("event_id").alias("seq"), F.col("value").alias("mid")
+    )
+    marked = markouts(fills, mids, USER, "t", 62 * DAY, {"markout": DAY}, 60 * DAY, "mid_t", ["part", "seq"])
+    return rounded(marked.filter("markout is not null").select("event_id", "markout"))
+
+
 @query(
     "position_reconciliation",
     f"""WITH {EVENTS_SQL}, s AS (SELECT *, sum(CASE WHEN event_type IN ('purchase', 'signup') THEN CASE WHEN k % 7 = 0 THEN 0 ELSE k - 50 END ELSE 0 END)

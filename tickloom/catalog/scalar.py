@@ -14,7 +14,7 @@ from tickloom.operators.linear import LinearModel
 from tickloom.operators.metrics import brier_term, log_loss_term
 from tickloom.plans.fit import bucket_name
 from tickloom.plans.quotes import quote_columns
-from tickloom.plans.variants import MIRRORED_FEATURES, ExternalLeadSkew, MicropriceSkew, ToxicityGate, Variant, mirrored, parse_variant
+from tickloom.plans.variants import MIRRORED_FEATURES, VenueLead, BookLean, ToxicityTax, Variant, mirrored, parse_variant
 
 # SQL text of the normal CDF and its inverse: the same published coefficients, written as macros per use.
 
@@ -310,7 +310,7 @@ GATE = LinearModel(
     SELECT event_id, round(CASE WHEN on_ THEN greatest(0, pb - 0.3) / 0.7 * 0.06 ELSE 0 END, 8) AS bid_tax, round(CASE WHEN on_ THEN greatest(0, pa - 0.3) / 0.7 * 0.06 ELSE 0 END, 8) AS ask_tax FROM p""",
 )
 def toxicity_gate(spark, sf_dir):
-    _, bid_tax, ask_tax = ToxicityGate((GATE,), 0.06).columns(F.col("gbm_fair"))
+    _, bid_tax, ask_tax = ToxicityTax((GATE,), 0.06).columns(F.col("gbm_fair"))
     return rounded(decision_columns(spark, sf_dir).select("event_id", bid_tax.alias("bid_tax"), ask_tax.alias("ask_tax")), 8)
 
 

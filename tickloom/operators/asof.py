@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,8 +27,8 @@ def asof_join(
     direction: str = "backward",
     strict: bool = False,
     tolerance: float | None = None,
-    left_seq: str | None = None,
-    right_seq: str | None = None,
+    left_seq: str | Sequence[str] | None = None,
+    right_seq: str | Sequence[str] | None = None,
     right_columns: Sequence[str] | None = None,
     out: str = "matched",
 ) -> DataFrame:
@@ -36,8 +36,8 @@ def asof_join(
 
     backward: latest right row with time <= left time (< when ``strict``);
     forward: earliest right row with time >= left time (> when ``strict``).
-    ``tolerance`` bounds the distance.  Equal right times are ordered by
-    ``right_seq``: backward takes the last of them, forward the first.
+    ``tolerance`` bounds the distance.  Equal right times are ordered by the
+    columns ``right_seq``, one after the other: backward takes the last, forward the first.
     """
     if direction not in ("backward", "forward"):
         raise ValueError("direction must be backward or forward")
@@ -48,24 +48,28 @@ def asof_join(
         columns.append(rt)
     # At equal times the right row must come first to be seen by a backward scan, last by a forward one.
     right_tie = 0 if backward != strict else 1
-    left_rank = F.col(left_seq).cast("long") if left_seq else F.lit(0).cast("long")
-    right_rank = F.col(right_seq).cast("long") if right_seq else F.lit(0).cast("long")
+    left_seq, right_seq = ([s] if isinstance(s, str) else list(s or ()) for s in (left_seq, right_seq))
+    ranks = [f"_rank{i}" for i in range(max(len(left_seq), len(right_seq)))]
+
+    def ranked(seq: list[str]) -> list[Column]:
+        return [(F.col(seq[i]).cast("long") if i < len(seq) else F.lit(0).cast("long")).alias(name) for i, name in enumerate(ranks)]
+
 
     left_rows = left.select(
         *keys,
         F.col(lt).alias("_t"),
         F.lit(1 - right_tie).alias("_tie"),
-        left_rank.alias("_rank"),
+        *ranked(left_seq),
         F.struct(*[F.col(c) for c in left.columns]).alias("_left"),
     )
     right_rows = right.select(
         *keys,
         F.col(rt).alias("_t"),
         F.lit(right_tie).alias("_tie"),
-        right_rank.alias("_rank"),
+        *ranked(right_seq),
         F.struct(*[F.col(c) for c in columns]).alias("_right"),
     )
-    order = ["_tie", "_rank"]
+    order = ["_tie", *ranks]
 
     if tolerance is None:
         line = left_rows.unionByName(right_rows, allowMissingColumns=True)
@@ -102,15 +106,17 @@ def first_after(
     value: str,
     horizons: dict[str, float],
     slack: float,
+    seq: Sequence[str] = (),
 ) -> DataFrame:
     """For each row and horizon h: ``value`` of the first row with time in [t+h, t+h+slack].
 
-    All horizons share one halo and one sort.
+    Rows of one time are ordered by the columns ``seq``, then by value.  All
+    horizons share one halo and one sort.
     """
     reach = max(horizons.values()) + slack
     window = slice_window(keys, t)
     haloed = with_halo(df, t, width, ahead=reach)
+    earliest = F.struct(F.col(t).alias("t"), *[F.col(c).alias(f"s{i}") for i, c in enumerate(seq)], F.col(value).alias("v"))
     for name, h in horizons.items():
-        # Rows sharing the first matching time are ordered by nothing else here; min_by over the frame is stable.
-        haloed = haloed.withColumn(name, F.first(value).over(window.rangeBetween(int(h), int(h + slack))))
+        haloed = haloed.withColumn(name, F.min(earliest).over(window.rangeBetween(int(h), int(h + slack)))["v"])
     return haloed.filter(F.col(OWN)).drop(SLICE, OWN)

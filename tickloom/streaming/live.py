@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tickloom.plans.variants import ToxicityGate
+from tickloom.plans.variants import ToxicityTax
 from tickloom.schemas import ENVELOPE
 from tickloom.streaming.stateful import Composite, FlowWindow, Sampler, SequencedBook, VenueBook, stateful
 
@@ -140,7 +140,7 @@ def compact_on_final(finals: DataFrame, compact: Callable[[DataFrame], None], ch
     return finals.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
 
 
-def toxicity_stream(samples: DataFrame, gate: ToxicityGate) -> DataFrame:
+def toxicity_stream(samples: DataFrame, gate: ToxicityTax) -> DataFrame:
     """Per-side toxicity tax on a stream of samples; venue features are unknown live and impute to the mean."""
     blind = samples.withColumn("ext_micro_lead_bps", F.lit(None).cast("double")).withColumn("ext_imbalance", F.lit(None).cast("double"))
     _, bid_tax, ask_tax = gate.columns(F.col("gbm_fair"))
