@@ -57,7 +57,10 @@ def test_mirror_rejects_bad_side_and_variants_parse():
     with pytest.raises(ValueError):
         mirrored("up")
     v = parse_variant("micro25+wide2")
-    assert v.min_edge == 0.02 and len(v.adjuster.parts) == 2
+    assert v.min_edge == 0.02 and v.adjuster.weight == 0.25
+    assert len(parse_variant("micro25+extlead50").adjuster.parts) == 2
+    # Later settings win, also where they equal the default.
+    assert parse_variant("wide2+wide1").min_edge == 0.01 and parse_variant("close300+close90").close_cutoff_s == 90.0
     with pytest.raises(ValueError):
         parse_variant("nothing")
 

@@ -26,6 +26,9 @@ def test_tolerant_scan_keeps_what_is_readable(spark, tmp_path):
     cut = gzip.compress(lines.encode())
     (tmp_path / "cut.jsonl.gz").write_bytes(cut[: len(cut) // 2])
     (tmp_path / "plain.jsonl").write_text('{"a": 1}\n\nnot json\n')
+    for name in ("events_fizz", "z", "gz", "a.z", "agz"):
+        (tmp_path / name).write_text('{"a": 1}\n')
+    (tmp_path / "two.gz").write_bytes(gzip.compress(b'{"a": 1}\n{"a"') + gzip.compress(b': 2}\n'))
     by_file = {
         r.name: r for r in rec.scan_lines(spark, str(tmp_path)).withColumn("name", F.element_at(F.split("path", "/"), -1)).groupBy("name")
         .agg(F.count_if("readable").alias("ok"), F.count_if(~F.col("readable")).alias("bad"), F.bool_and("complete").alias("complete")).collect()
@@ -33,6 +36,8 @@ def test_tolerant_scan_keeps_what_is_readable(spark, tmp_path):
     assert (by_file["whole.jsonl.gz"].ok, by_file["whole.jsonl.gz"].bad, by_file["whole.jsonl.gz"].complete) == (2000, 1, True)
     assert 0 < by_file["cut.jsonl.gz"].ok < 2000 and by_file["cut.jsonl.gz"].bad == 0 and not by_file["cut.jsonl.gz"].complete
     assert (by_file["plain.jsonl"].ok, by_file["plain.jsonl"].bad) == (1, 1)
+    assert all(by_file[name].ok == 1 for name in ("events_fizz", "z", "gz", "a.z", "agz"))
+    assert (by_file["two.gz"].ok, by_file["two.gz"].bad, by_file["two.gz"].complete) == (2, 0, True)
 
 
 def test_envelopes_round_trip(spark, tmp_path):
@@ -52,6 +57,11 @@ def test_store_is_idempotent_and_tolerates_missing_columns(spark, tmp_path):
     assert [r.ticker for r in not_stored(tickers, read_store(spark, path)).collect()] == ["C"]
     write_store(rows.filter("ticker = 'A'").withColumn("mid", F.lit(0.9)), path, overwrite=True)
     assert {r.ticker: r.mid for r in read_store(spark, path).collect()} == {"A": 0.9, "B": 0.7}
+    # Two tickers of one day: replacing one keeps the other; a ticker that leaves a day leaves nothing there.
+    same_day = spark.createDataFrame([("D", 86_400_001, 0.1), ("A", 86_400_002, 0.9), ("D", 3 * 86_400_000, 0.2)], "ticker string, ts_ms long, mid double")
+    write_store(same_day.filter("ticker = 'D'"), path)
+    write_store(same_day.filter("ticker = 'D' and ts_ms < 90000000").withColumn("mid", F.lit(0.3)), path, overwrite=True)
+    assert {(r.ticker, r.ts_ms, r.mid) for r in read_store(spark, path).collect()} == {("A", 86_400_000, 0.9), ("B", 2 * 86_400_000, 0.7), ("D", 86_400_001, 0.3)}
     loaded = load_features(spark, path, tickers)
     assert loaded.count() == 1 and loaded.first().jump_ratio is None
     assert select_existing(rows, ["mid", "absent"]).columns[-2:] == ["mid", "absent"]

@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.catalog.base import DAY, EVENTS_SQL, HOUR, query, table
+from tickloom.catalog.base import DAY, EVENTS_SQL, HOUR, events, query, table
 from tickloom.catalog.market import _BEST_SQL
 from tickloom.catalog.ordered import SAMPLE_SQL, SIGNED_SQL, signed
 from tickloom.catalog.recording import derived_events
-from tickloom.session import checkpoint_dir
+from tickloom.session import checkpoint_dir, cut
 from tickloom.sources import recordings as rec
 from tickloom.sources.venues import depth_updates, venue_trades
 from tickloom.streaming import live
@@ -21,36 +21,37 @@ def fresh_folder(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that has landed, into a written table, and read it back.
+LANDINGS = 5
 
-    Empty batches are switched off: an operator with a processing-time timeout
-    asks for one after another and would keep a bounded run from ending.
-    """
+
+def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over all that has landed, one file a micro-batch, into a written table, and read it back."""
     spark = stream.sparkSession
-    out, setting = fresh_folder(spark), "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "false")
-    try:
-        writer = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", fresh_folder(spark))
-        writer.trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set(setting, before)
+    out = fresh_folder(spark)
+    writer = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", fresh_folder(spark))
+    writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def landed(df: DataFrame) -> DataFrame:
-    """Write ``df`` as landed files and open them as a stream."""
+def landed(df: DataFrame, t: str) -> DataFrame:
+    """Write ``df`` as files that land one after the other in the order of ``t``, and open them as a stream.
+
+    Keys go on from file to file, so every state is dumped and loaded.
+    """
     spark = df.sparkSession
     path = fresh_folder(spark)
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+    stored = cut(df)
+    cuts = stored.select(F.percentile_approx(t, [i / LANDINGS for i in range(1, LANDINGS)], 10_000)).first()[0] or []
+    part = F.lit(0)
+    for c in cuts:
+        part = part + F.when(F.col(t) > c, 1).otherwise(0)
+    for i in range(LANDINGS):
+        stored.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def event_stream(spark, sf_dir) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return stream.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("k", F.from_json("props", "k int")["k"]).drop("ts", "props")
+    return landed(events(spark, sf_dir), "t")
 
 
 @query("stream_greedy_sample", SAMPLE_SQL)
@@ -75,7 +76,7 @@ def stream_rolling_flow(spark, sf_dir):
 
 @query("stream_book_levels", _BEST_SQL.replace("CASE WHEN v.event_id = -1 THEN 2 ELSE v.event_id + 10 END AS line, v.valid,", "v.number,"))
 def stream_book_levels(spark, sf_dir):
-    stream = landed(derived_events(spark, sf_dir)).withColumn("ticker", F.get_json_object("payload", "$.msg.market_ticker"))
+    stream = landed(derived_events(spark, sf_dir), "receive_ts_ms").withColumn("ticker", F.get_json_object("payload", "$.msg.market_ticker"))
     messages = rec.book_messages(rec.parse(stream.withColumn("frag", F.lit(1).cast("long"))))
     book = drain(live.book_stream(messages))
     return book.filter("valid").select("ticker", "receive_ts_ms", "number", "bid", "ask", "bid_size", "ask_size", "bid_depth", "ask_depth")
@@ -91,21 +92,22 @@ def stream_deduplicated(spark, sf_dir):
 
 @query(
     "stream_final_windows",
-    "SELECT 'M' || lpad(CAST(w AS VARCHAR), 6, '0') AS ticker, 'close_marker' AS reason FROM (SELECT DISTINCT user_id // 10 AS w FROM events)",
+    """SELECT 'M' || lpad(CAST(w AS VARCHAR), 6, '0') AS ticker, CASE WHEN w % 2 = 0 THEN 'close_marker' ELSE 'grace' END AS reason
+    FROM (SELECT DISTINCT user_id // 10 AS w FROM events)""",
 )
 def stream_final_windows(spark, sf_dir):
-    stream = landed(derived_events(spark, sf_dir))
-    rows = stream.select(
-        F.substring_index("path", "/", -1).alias("ticker"), "event_type", F.timestamp_millis("receive_ts_ms").alias("received"),
+    """Every second window has no close marker; event time goes on until its grace is over."""
+    rows = derived_events(spark, sf_dir).select(
+        F.substring_index("path", "/", -1).alias("ticker"), "event_type", "receive_ts_ms",
         F.when(F.col("event_type") == "market_metadata", F.unix_seconds(F.try_to_timestamp(F.get_json_object("payload", "$.close_time")))).alias("close_ts"),
     )
-    return drain(live.finalised_windows(rows.withWatermark("received", "1 minute")))
+    rows = rows.filter((F.regexp_extract("ticker", r"(\d+)", 1).cast("int") % 2 == 0) | ~F.col("event_type").isin("market_status_at_close", "market_result"))
+    stream = landed(rows, "receive_ts_ms").withColumn("received", F.timestamp_millis("receive_ts_ms"))
+    return drain(live.finalised_windows(stream.withWatermark("received", "1 minute"), 0))
 
 
 def venue_messages(spark, sf_dir) -> DataFrame:
     """Raw venue messages made from events: depth from views, clicks and errors, prices from purchases and sign-ups."""
-    from tickloom.catalog.base import events
-
     e = events(spark, sf_dir).withColumn("receive_ts_ms", F.floor(F.col("t") / 1000).cast("long"))
     k = F.col("k")
     iso = F.date_format(F.timestamp_millis("receive_ts_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
@@ -178,11 +180,11 @@ def venue_book_checksum(spark, sf_dir):
 
 @query("stream_venue_book")
 def stream_venue_book(spark, sf_dir):
-    updates = landed(depth_updates(venue_messages(spark, sf_dir)).filter("venue = 'coinbase'"))
-    return drain(live.venue_book_stream(updates, 10, truncate=True)).select("venue", "receive_ts_ms", "status", F.size("bids").alias("levels"))
+    updates = landed(depth_updates(venue_messages(spark, sf_dir)).withColumn("symbol", F.coalesce("symbol", F.lit("BTC"))), "receive_ts_ms")
+    return drain(live.venue_book_stream(updates, 10, truncate=True)).select("venue", "symbol", "receive_ts_ms", "status", F.size("bids").alias("levels"))
 
 
 @query("stream_composite_price")
 def stream_composite_price(spark, sf_dir):
     prints = venue_trades(venue_messages(spark, sf_dir)).select(F.concat(F.lit("S"), F.col("line") % 50).alias("symbol"), "venue", "line", "ts_ms", "price")
-    return drain(live.composite_stream(landed(prints), 3_600_000))
+    return drain(live.composite_stream(landed(prints, "ts_ms"), 3_600_000))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickloom.operators.slices import running
+from tickloom.sources.files import read_blocks
 from tickloom.sources.recordings import FILE_PATTERN
 
 # Ages in seconds that decide when a recording may be archived.
@@ -24,14 +27,21 @@ def file_manifest(spark: SparkSession, root: str, prefix: str, bucket: str, patt
     base = F.regexp_replace(F.lit(root.rstrip("/")), "^file:/*", "/")
     relative = F.substr(F.regexp_replace("path", "^file:/*", "/"), F.length(base) + F.lit(2))
     key = F.concat_ws("/", F.when(F.lit(prefix.strip("/")) != "", F.lit(prefix.strip("/"))), relative)
-    return files.select(
-        "path",
-        F.lit(bucket).alias("bucket"),
-        key.alias("key"),
-        F.col("length").alias("size"),
-        F.sha2("content", 256).alias("sha256"),
-        F.unix_micros("modificationTime").alias("mtime_us"),
-    )
+    listed = files.select("path", F.lit(bucket).alias("bucket"), key.alias("key"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime_us"))
+
+    def digest(batches):
+        for batch in batches:
+            sums = []
+            for path in batch["path"]:
+                total = hashlib.sha256()
+                for block in read_blocks(path):
+                    total.update(block)
+                sums.append(total.hexdigest())
+            yield batch.assign(sha256=sums)
+
+    # Files are read in blocks by the tasks; no file is held whole.
+    schema = "path string, bucket string, key string, size bigint, mtime_us bigint, sha256 string"
+    return listed.repartition("path").mapInPandas(digest, schema).select("path", "bucket", "key", "size", "sha256", "mtime_us")
 
 
 def verified(manifest: DataFrame, markers: DataFrame) -> DataFrame:

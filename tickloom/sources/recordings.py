@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from tickloom.functions.parsing import first_filled, iso_seconds, number
 from tickloom.functions.quoting import GRID_TYPE, default_grid, signed_by_aggressor
 from tickloom.operators.slices import keyed_join
+from tickloom.sources.files import gunzip_lines, read_blocks
 from tickloom.schemas import ENVELOPE, INDEX_EVENT, INDEX_ID, MARKET, ORDER, PAYLOAD, VENUES
 
 FILE_PATTERN = "{events_,runner_}*.jsonl*"
@@ -38,16 +39,15 @@ def scan_recordings(spark: SparkSession, paths: str | Sequence[str], pattern: st
 def scan_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Tolerant scan: every non-blank line, with ``readable`` false where it is not JSON.
 
-    A gzip file cut short fails Spark's text reader, so compressed files go through
-    ``binaryFile`` and are unpacked as far as they reach, a bounded block at a time;
+    A gzip file cut short fails Spark's text reader, so compressed files are listed
+    by Spark and read in tasks, a block at a time, as far as they reach;
     ``complete`` tells whether the end was found.
     """
-    import zlib
-
     paths = [paths] if isinstance(paths, str) else list(paths)
-    packed = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(paths)
+    packed = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(paths).select("path", "modificationTime")
+    # All names that do not end in ".gz".
     plain = (
-        spark.read.option("pathGlobFilter", "*[!z]")
+        spark.read.option("pathGlobFilter", "{*[!z],*[!g]z,*[!.]gz,z,gz}")
         .text(paths)
         .select(
             F.col("_metadata.file_path").alias("path"),
@@ -63,43 +63,16 @@ def scan_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
         import pandas as pd
 
         for batch in batches:
-            for path, modified, content in zip(batch["path"], batch["modificationTime"], batch["content"]):
-                lines: list[str] = []
-                number_of = 0
-                rest, tail, complete = content, b"", True
-                while rest:
-                    member = zlib.decompressobj(wbits=31)
-                    data = b""
-                    try:
-                        data = member.decompress(rest, 8 << 20)
-                        while True:
-                            *whole, tail = (tail + data).split(b"\n")
-                            lines = [w.decode("utf-8", "replace") for w in whole]
-                            yield pd.DataFrame(
-                                {"path": path, "modified": modified, "block": 0,
-                                 "line": range(number_of, number_of + len(lines)), "value": lines, "complete": True}
-                            )
-                            number_of += len(lines)
-                            if member.eof or not member.unconsumed_tail:
-                                break
-                            data = member.decompress(member.unconsumed_tail, 8 << 20)
-                    except zlib.error:
-                        complete = False
-                        break
-                    if not member.eof:
-                        complete = False
-                        break
-                    rest = member.unused_data
-                last = [tail.decode("utf-8", "replace")] if tail and complete else []
-                # One closing row carries the file's verdict even when no line was left over.
-                yield pd.DataFrame(
-                    {"path": path, "modified": modified, "block": 0, "line": range(number_of, number_of + max(1, len(last))),
-                     "value": last or [""], "complete": complete}
-                )
-
-    unpacked = packed.select("path", "modificationTime", "content").mapInPandas(
-        unpack, "path string, modified timestamp, block bigint, line bigint, value string, complete boolean"
-    )
+            for path, modified in zip(batch["path"], batch["modificationTime"]):
+                at, complete = 0, True
+                for lines, complete in gunzip_lines(read_blocks(path)):
+                    if lines:
+                        yield pd.DataFrame({"path": path, "modified": modified, "block": 0, "line": range(at, at + len(lines)), "value": lines, "complete": True})
+                        at += len(lines)
+                # One closing row carries the file's verdict.
+                yield pd.DataFrame({"path": [path], "modified": [modified], "block": [0], "line": [at], "value": [""], "complete": [complete]})
+
+    unpacked = packed.repartition("path").mapInPandas(unpack, "path string, modified timestamp, block bigint, line bigint, value string, complete boolean")
     lines = plain.unionByName(unpacked)
     # from_json turns broken text into a struct of nulls; only valid JSON parses as a variant.
     readable = F.try_parse_json("value").isNotNull()

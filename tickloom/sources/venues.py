@@ -29,15 +29,23 @@ def _pairs(levels: Column) -> Column:
     return F.transform(levels, lambda p: F.struct(F.get(p, F.lit(0)).alias("price"), F.get(p, F.lit(1)).alias("qty")))
 
 
-def depth_updates(messages: DataFrame) -> DataFrame:
-    """Depth updates from (venue, receive_ts_ms, line, message): one row per update.
+def depth_updates(messages: DataFrame, all_channels: bool = False) -> DataFrame:
+    """Depth updates from (venue, receive_ts_ms, line, message, and symbol if known): one row per update.
 
-    Columns: venue, receive_ts_ms, line, part, kind (snapshot/update), ts_ms, bids, asks,
+    With ``all_channels`` messages of other channels that carry a sequence number
+    come as kind ``other``, since the number counts over all of them.
+    Columns: venue, symbol, receive_ts_ms, line, part, kind (snapshot/update), ts_ms, bids, asks,
     sequence, checksum.  Levels keep the venue's number text (checksums depend on it).
     """
-    base = ["venue", "receive_ts_ms", "line"]
-    cb = messages.filter(F.col("venue") == "coinbase").withColumn("m", F.from_json("message", COINBASE)).filter("m.channel = 'l2_data'")
-    cb = cb.select(*base, F.col("m.timestamp").alias("stamp"), F.col("m.sequence_num").cast("long").alias("sequence"), F.posexplode("m.events").alias("part", "ev"))
+    if "symbol" not in messages.columns:
+        messages = messages.withColumn("symbol", F.lit(None).cast("string"))
+    base = ["venue", "symbol", "receive_ts_ms", "line"]
+    parsed = messages.filter(F.col("venue") == "coinbase").withColumn("m", F.from_json("message", COINBASE))
+    others = parsed.filter("m.channel <> 'l2_data' and m.sequence_num is not null").select(
+        *base, F.lit(0).alias("part"), F.lit("other").alias("kind"), iso_millis(F.col("m.timestamp")).alias("ts_ms"), F.array().cast(LEVELS).alias("bids"),
+        F.array().cast(LEVELS).alias("asks"), F.col("m.sequence_num").cast("long").alias("sequence"), F.lit(None).cast("long").alias("checksum"),
+    )
+    cb = parsed.filter("m.channel = 'l2_data'").select(*base, F.col("m.timestamp").alias("stamp"), F.col("m.sequence_num").cast("long").alias("sequence"), F.posexplode("m.events").alias("part", "ev"))
     clock = F.array_max(
         F.transform(
             F.filter(F.col("ev.updates"), lambda u: (u["event_time"] != "") & ~u["event_time"].startswith("1970-")), lambda u: iso_millis(u["event_time"])
@@ -50,7 +58,7 @@ def depth_updates(messages: DataFrame) -> DataFrame:
     )
     kr = messages.filter(F.col("venue") == "kraken").withColumn("m", F.from_json("message", KRAKEN)).filter("m.channel = 'book' and m.type in ('snapshot', 'update')")
     kraken = kr.select(*base, F.col("m.type").alias("kind"), F.posexplode("m.data").alias("part", "d")).select(
-        *base, "part", "kind", iso_millis(F.col("d.timestamp")).alias("ts_ms"),
+        "venue", F.coalesce("symbol", "d.symbol").alias("symbol"), "receive_ts_ms", "line", "part", "kind", iso_millis(F.col("d.timestamp")).alias("ts_ms"),
         F.coalesce("d.bids", F.array().cast(LEVELS)).alias("bids"), F.coalesce("d.asks", F.array().cast(LEVELS)).alias("asks"),
         F.lit(None).cast("long").alias("sequence"), F.col("d.checksum").cast("long").alias("checksum"),
     )
@@ -67,7 +75,8 @@ def depth_updates(messages: DataFrame) -> DataFrame:
         _pairs(F.col("_b")).alias("bids"), _pairs(F.col("_a")).alias("asks"),
         F.coalesce(field(message, "lastUpdateId"), field(message, "u")).cast("long").alias("sequence"), F.lit(None).cast("long").alias("checksum"),
     )
-    return coinbase.unionByName(kraken).unionByName(binance)
+    found = coinbase.unionByName(kraken).unionByName(binance)
+    return found.unionByName(others) if all_channels else found
 
 
 def venue_trades(messages: DataFrame) -> DataFrame:

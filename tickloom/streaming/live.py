@@ -66,12 +66,17 @@ def flow_grid(trades: DataFrame, span: str = "5 seconds", step: str = "250 milli
 
 
 def venue_book_stream(updates: DataFrame, depth: int = 10, truncate: bool = False, enforce_sequence: bool = False, verify_checksum: bool = False) -> DataFrame:
+    """Books per venue and symbol from ``depth_updates``.
+
+    Sequences are checked within a key, so ``enforce_sequence`` is for connections
+    that carry one symbol; take ``depth_updates(..., all_channels=True)`` with it.
+    """
     out = (
-        "venue string, receive_ts_ms bigint, status string, bids array<struct<price:string,qty:string>>, "
+        "venue string, symbol string, receive_ts_ms bigint, status string, bids array<struct<price:string,qty:string>>, "
         "asks array<struct<price:string,qty:string>>, expected bigint, received bigint"
     )
     return stateful(
-        updates, ["venue"], ["receive_ts_ms", "line", "part"], lambda: VenueBook(depth, truncate, enforce_sequence, verify_checksum), VenueBook.STATE, out
+        updates, ["venue", "symbol"], ["receive_ts_ms", "line", "part"], lambda: VenueBook(depth, truncate, enforce_sequence, verify_checksum), VenueBook.STATE, out
     )
 
 
@@ -107,26 +112,23 @@ def finalised_windows(stream: DataFrame, grace_ms: int = 3_600_000) -> DataFrame
     """
 
     def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (done,) = state.get
-            state.update((True,))
-            if not done:
-                yield pd.DataFrame({"ticker": [key[0]], "reason": ["grace"]})
-            return
-        done = state.exists and state.get[0]
-        close_s, marked = None, False
-        for batch in batches:
-            marked = marked or bool(batch["event_type"].isin(["market_status_at_close", "market_result"]).any())
+        done, close_ms = state.get if state.exists else (False, None)
+        reason = "grace" if state.hasTimedOut else None
+        for batch in batches if not state.hasTimedOut else ():
+            if batch["event_type"].isin(["market_status_at_close", "market_result"]).any():
+                reason = "close_marker"
             known = batch["close_ts"].dropna()
-            close_s = float(known.iloc[0]) if len(known) else close_s
-        state.update((done or marked,))
-        if marked and not done:
-            yield pd.DataFrame({"ticker": [key[0]], "reason": ["close_marker"]})
-        elif not done and close_s is not None:
-            state.setTimeoutTimestamp(max(int(close_s * 1000) + grace_ms, state.getCurrentWatermarkMs() + 1))
+            close_ms = int(known.iloc[-1] * 1000) if len(known) else close_ms
+        emit = reason is not None and not done
+        state.update((done or emit, close_ms))
+        # A timeout holds for one call only, so every call sets it anew.
+        if not (done or emit) and close_ms is not None:
+            state.setTimeoutTimestamp(max(close_ms + grace_ms, state.getCurrentWatermarkMs() + 1))
+        if emit:
+            yield pd.DataFrame({"ticker": [key[0]], "reason": [reason]})
 
     return stream.groupBy("ticker").applyInPandasWithState(
-        watch, "ticker string, reason string", "done boolean", "append", GroupStateTimeout.EventTimeTimeout
+        watch, "ticker string, reason string", "done boolean, close_ms long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -1,24 +1,35 @@
-"""Stateful stream operators, one small state per key (market or venue symbol).
+"""Stateful stream operators, one small state per key (market, or venue and symbol).
 
 Each processor is a plain class with ``load``/``dump`` for its state and ``feed``
-for ordered rows; ``stateful`` runs it under Structured Streaming.  State is
-bounded by the live keys and dropped after an idle timeout.
+for a frame of ordered rows; ``stateful`` runs it under Structured Streaming.
+Nothing depends on the wall clock: state is kept as long as the key lives, or,
+with a watermark, until event time has passed its last row by ``idle_ms``.
+Rows of one key must arrive in order from batch to batch.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from decimal import Decimal
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-IDLE_MS = 7_200_000
+EMPTY = 1e-9  # sizes up to here count as none
 
 
-def stateful(stream: DataFrame, keys: Sequence[str], order: Sequence[str], make: Callable[[], object], state_schema: str, output_schema: str, idle_ms: int = IDLE_MS) -> DataFrame:
-    """Feed each key's rows, sorted by ``order`` within the micro-batch, to its processor."""
+def stateful(
+    stream: DataFrame, keys: Sequence[str], order: Sequence[str], make: Callable[[], object], state_schema: str, output_schema: str,
+    event_ms: str | None = None, idle_ms: int = 7_200_000,
+) -> DataFrame:
+    """Feed each key's rows, sorted by ``order`` within the micro-batch, to its processor.
+
+    ``event_ms`` names a column of event time in milliseconds; the stream must
+    then carry a watermark, which ends a key's state.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -27,14 +38,16 @@ def stateful(stream: DataFrame, keys: Sequence[str], order: Sequence[str], make:
         processor = make()
         if state.exists:
             processor.load(state.get)
-        rows = pd.concat(list(batches)).sort_values(list(order), kind="stable")
-        out = [dict(zip(keys, key), **r) for r in processor.feed(rows.to_dict("records"))]
+        rows = pd.concat(list(batches)).sort_values(list(order), kind="stable").reset_index(drop=True)
+        out = processor.feed(rows)
         state.update(processor.dump())
-        state.setTimeoutDuration(idle_ms)
-        if out:
-            yield pd.DataFrame(out)
+        if event_ms:
+            state.setTimeoutTimestamp(max(int(rows[event_ms].max()) + idle_ms, state.getCurrentWatermarkMs() + 1))
+        if len(out):
+            yield out.assign(**dict(zip(keys, key)))
 
-    return stream.groupBy(*keys).applyInPandasWithState(step, output_schema, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if event_ms else GroupStateTimeout.NoTimeout
+    return stream.groupBy(*keys).applyInPandasWithState(step, output_schema, state_schema, "append", timeout)
 
 
 class Sampler:
@@ -51,16 +64,28 @@ class Sampler:
     def dump(self) -> tuple:
         return (self.last,)
 
-    def feed(self, rows: list[dict]) -> Iterator[dict]:
-        for row in rows:
-            forced = bool(self.force and row.get(self.force))
-            if forced or self.last is None or row[self.t] - self.last >= self.interval:
-                self.last = int(row[self.t])
-                yield row
+    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
+        # From one passed row to the next: the earlier of the next forced row and the first row that is due.
+        t = rows[self.t].to_numpy(dtype=np.int64)
+        forced = np.flatnonzero(rows[self.force].fillna(False).astype(bool)) if self.force else np.zeros(0, np.int64)
+        passed, at = [], 0
+        while at < len(t):
+            due = at if self.last is None else at + int(np.searchsorted(t[at:], self.last + self.interval, side="left"))
+            later = forced[np.searchsorted(forced, at) :]
+            at = min(due, int(later[0])) if len(later) else due
+            if at < len(t):
+                passed.append(at)
+                self.last = int(t[at])
+                at += 1
+        return rows.iloc[passed]
 
 
 class SequencedBook:
-    """Order book of one market: deltas must follow by one, a gap waits for the next snapshot."""
+    """Order book of one market: deltas must follow by one, a gap waits for the next snapshot.
+
+    A micro-batch is cut at its snapshots; within a piece the sizes of all levels
+    at all messages are one matrix of running sums held at zero.
+    """
 
     STATE = "number long, valid boolean, bids array<struct<k:int,s:double>>, asks array<struct<k:int,s:double>>"
 
@@ -82,143 +107,175 @@ class SequencedBook:
         sized = {round(float(p) * 10_000): float(s) for p, s in (levels if levels is not None else [])}
         return {k: s for k, s in sized.items() if s > 0}
 
-    def feed(self, rows: list[dict]) -> Iterator[dict]:
-        for row in rows:
-            number, gap = int(row["number"]), False
-            if row["kind"] == "snapshot":
-                self.sides = {"bid": self._levels(row["yes_levels"]), "ask": self._levels(row["no_levels"])}
-                self.valid = True
-            elif self.number is None or number != self.number + 1:
-                self.valid, gap = False, True
-            else:
-                book = self.sides["bid" if row["side"] == "yes" else "ask"]
-                level = round(float(row["price"]) * 10_000)
-                size = book.get(level, 0.0) + float(row["delta"])
-                if size > 1e-9:
-                    book[level] = size
-                else:
-                    book.pop(level, None)
-            previous, self.number = self.number, number
-            yield {self.t: row[self.t], **self._top(), "valid": self.valid, "gap": gap, "previous_number": previous, "number": number}
-
-    def _top(self) -> dict:
-        bids = sorted(self.sides["bid"].items(), reverse=True)[: self.depth]
-        asks = sorted(self.sides["ask"].items())[: self.depth]
+    def _side(self, name: str, level: np.ndarray, delta: np.ndarray) -> dict[str, np.ndarray]:
+        """Best price, its size and the depth at every message; ``delta`` is 0 where a message is not for this side."""
+        start = self.sides[name]
+        ladder = np.array(sorted(set(start) | set(level[delta != 0].tolist()), reverse=name == "bid"), np.int64)
+        n = len(level)
+        if not len(ladder):
+            return {name: np.full(n, np.nan), f"{name}_size": np.zeros(n), f"{name}_depth": np.zeros(n)}
+        moves = np.where(level[:, None] == ladder[None, :], delta[:, None], 0.0)
+        total = np.cumsum(moves, axis=0) + np.array([start.get(int(k), 0.0) for k in ladder])
+        size = total - np.minimum(np.minimum.accumulate(total, axis=0), 0.0)
+        shown = np.where(size > EMPTY, size, 0.0)
+        there = shown > 0
+        best = there.argmax(axis=1)
+        some = there.any(axis=1)
+        rows = np.arange(n)
+        self.sides[name] = {int(k): float(s) for k, s in zip(ladder, shown[-1]) if s > 0}
         return {
-            "bid": bids[0][0] / 10_000 if bids else None,
-            "ask": asks[0][0] / 10_000 if asks else None,
-            "bid_size": bids[0][1] if bids else 0.0,
-            "ask_size": asks[0][1] if asks else 0.0,
-            "bid_depth": float(sum(s for _, s in bids)),
-            "ask_depth": float(sum(s for _, s in asks)),
+            name: np.where(some, ladder[best] / 10_000, np.nan),
+            f"{name}_size": np.where(some, shown[rows, best], 0.0),
+            f"{name}_depth": np.where(np.cumsum(there, axis=1) <= self.depth, shown, 0.0).sum(axis=1),
         }
 
+    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
+        number = rows["number"].to_numpy(dtype=np.int64)
+        snapshot = (rows["kind"] == "snapshot").to_numpy()
+        before = np.concatenate([[np.nan if self.number is None else self.number], number[:-1].astype(float)])
+        gap = ~snapshot & ~(number == before + 1)
+        applied = ~snapshot & ~gap
+        level = np.where(applied, np.round(pd.to_numeric(rows["price"]).fillna(0.0) * 10_000), 0).astype(np.int64)
+        delta = np.where(applied, pd.to_numeric(rows["delta"]).fillna(0.0), 0.0)
+        yes = (rows["side"] == "yes").to_numpy()
+        # Valid from a snapshot on, until the next gap.
+        order = np.arange(len(rows))
+        opened = np.maximum.accumulate(np.where(snapshot, order, -1 if self.valid else -2))
+        broken = np.maximum.accumulate(np.where(gap, order, -2 if self.valid else -1))
+        parts = []
+        for a, z in zip(edges := [0, *(np.flatnonzero(snapshot[1:]) + 1)], [*edges[1:], len(rows)]):
+            if snapshot[a]:
+                self.sides = {"bid": self._levels(rows["yes_levels"].iloc[a]), "ask": self._levels(rows["no_levels"].iloc[a])}
+            one = slice(a, z)
+            parts.append(pd.DataFrame(self._side("bid", level[one], np.where(yes[one], delta[one], 0.0)) | self._side("ask", level[one], np.where(yes[one], 0.0, delta[one]))))
+        self.number, self.valid = int(number[-1]), bool(opened[-1] > broken[-1])
+        out = pd.concat(parts, ignore_index=True)
+        return out.assign(**{self.t: rows[self.t], "valid": opened > broken, "gap": gap, "previous_number": pd.array(np.where(np.isnan(before), 0, before).astype(np.int64), dtype="Int64").copy(), "number": number}).assign(
+            previous_number=lambda d: d["previous_number"].mask(np.isnan(before))
+        )
+
 
 class VenueBook:
-    """Outside book with absolute quantities; levels beyond ``depth`` are forgotten where the venue truncates.
+    """Outside book of one venue and symbol with absolute quantities.
 
-    Stale sequence numbers are dropped, a jump or a wrong checksum empties the
-    book until the next snapshot and is reported as a status row.
+    Levels are keyed by the price's value; the venue's own text is kept for the
+    checksum.  Levels beyond ``depth`` are forgotten where the venue truncates.
+    Messages of any channel carry the sequence (kind ``other`` has no levels); a
+    message may come in several parts with one number.  A jump or a wrong
+    checksum empties the book until the next snapshot and is reported.
     """
 
-    STATE = (
-        "sequence long, ready boolean, bids array<struct<p:string,q:string>>, asks array<struct<p:string,q:string>>"
-    )
+    STATE = "sequence long, part long, ready boolean, bids array<struct<p:string,q:string>>, asks array<struct<p:string,q:string>>"
 
     def __init__(self, depth: int = 10, truncate: bool = False, enforce_sequence: bool = False, verify_checksum: bool = False) -> None:
         self.depth, self.truncate, self.enforce, self.verify = depth, truncate, enforce_sequence, verify_checksum
-        self.sequence: int | None = None
+        self.at: tuple[int, int] | None = None  # sequence and part of the last message taken
         self.ready = False
-        self.books: dict[str, dict[str, str]] = {"bids": {}, "asks": {}}
+        self.books: dict[str, dict[Decimal, tuple[str, str]]] = {"bids": {}, "asks": {}}
 
     def load(self, state: tuple) -> None:
-        self.sequence, self.ready = state[0], bool(state[1])
-        self.books = {"bids": dict(tuple(x) for x in state[2]), "asks": dict(tuple(x) for x in state[3])}
+        self.at, self.ready = (None if state[0] is None else (state[0], state[1])), bool(state[2])
+        self.books = {s: {Decimal(p): (p, q) for p, q in levels} for s, levels in zip(("bids", "asks"), state[3:])}
 
     def dump(self) -> tuple:
-        return (self.sequence, self.ready, list(self.books["bids"].items()), list(self.books["asks"].items()))
-
-    def _best(self, side: str) -> list[tuple[str, str]]:
-        return sorted(self.books[side].items(), key=lambda x: float(x[0]), reverse=side == "bids")[: self.depth]
+        sequence, part = self.at or (None, None)
+        return (sequence, part, self.ready, list(self.books["bids"].values()), list(self.books["asks"].values()))
 
-    def _checksum(self) -> int:
-        def text(value: str) -> str:
-            return value.replace(".", "").lstrip("0") or "0"
+    def best(self, side: str) -> list[tuple[str, str]]:
+        ranked = sorted(self.books[side], reverse=side == "bids")[: self.depth]
+        return [self.books[side][p] for p in ranked]
 
-        parts = [text(v) for side in ("asks", "bids") for level in self._best(side)[:10] for v in level]
-        return zlib.crc32("".join(parts).encode())
+    def checksum(self) -> int:
+        digits = "".join(v.replace(".", "").lstrip("0") or "0" for side in ("asks", "bids") for level in self.best(side)[:10] for v in level)
+        return zlib.crc32(digits.encode())
 
-    def _reset(self) -> None:
+    def _emptied(self, status: str, expected: int, received: int) -> dict:
         self.books, self.ready = {"bids": {}, "asks": {}}, False
-
-    def feed(self, rows: list[dict]) -> Iterator[dict]:
-        for row in rows:
-            out = {"receive_ts_ms": row["receive_ts_ms"], "status": "book", "bids": None, "asks": None, "expected": None, "received": None}
-            sequence = row.get("sequence")
-            if self.enforce and sequence is not None and not pd.isna(sequence):
-                sequence = int(sequence)
-                if self.sequence is not None and sequence > self.sequence + 1:
-                    yield {**out, "status": "sequence_gap", "expected": self.sequence + 1, "received": sequence}
-                    self._reset()
-                    self.sequence = None
-                    continue
-                if self.sequence is not None and sequence <= self.sequence:
-                    continue
-                self.sequence = sequence
-            if row["kind"] == "snapshot":
-                self.books, self.ready = {"bids": {}, "asks": {}}, True
-            if not self.ready:
-                continue
-            for side in ("bids", "asks"):
-                book = self.books[side]
-                for level in row[side] if row[side] is not None else []:
-                    price, qty = str(level["price"]), str(level["qty"])
-                    if float(price) <= 0:
-                        continue
-                    if float(qty) <= 0:
-                        book.pop(price, None)
-                    else:
-                        book[price] = qty
-                if self.truncate:
-                    self.books[side] = dict(self._best(side))
-            checksum = row.get("checksum")
-            if self.verify and checksum is not None and not pd.isna(checksum) and self._checksum() != int(checksum):
-                yield {**out, "status": "checksum_mismatch", "expected": int(checksum), "received": self._checksum()}
-                self._reset()
-                continue
-            bids, asks = self._best("bids"), self._best("asks")
-            if bids and asks and float(bids[0][0]) < float(asks[0][0]):
-                yield {**out, "bids": [{"price": p, "qty": q} for p, q in bids], "asks": [{"price": p, "qty": q} for p, q in asks]}
+        return {"status": status, "expected": expected, "received": received}
+
+    def _in_turn(self, sequence, part: int) -> dict | bool:
+        """True for a message that comes in turn, False for an old one, a report for one after a gap."""
+        if not self.enforce or pd.isna(sequence):
+            return True
+        here, last = (int(sequence), int(part)), self.at
+        if last and here <= last:
+            return False
+        self.at = here
+        if last and here[0] > last[0] + 1:
+            self.at = None
+            return self._emptied("sequence_gap", last[0] + 1, here[0])
+        return True
+
+    def _put(self, side: str, levels) -> None:
+        book = self.books[side]
+        for level in levels if levels is not None else ():
+            price = Decimal(str(level["price"]))
+            if price > 0:
+                book.pop(price, None)
+                if Decimal(str(level["qty"])) > 0:
+                    book[price] = (str(level["price"]), str(level["qty"]))
+        if self.truncate:
+            self.books[side] = {Decimal(p): (p, q) for p, q in self.best(side)}
+
+    def _answer(self, row) -> dict | None:
+        turn = self._in_turn(row.sequence, row.part)
+        if turn is not True:
+            return turn or None
+        if row.kind == "snapshot":
+            self.books, self.ready = {"bids": {}, "asks": {}}, True
+        if row.kind == "other" or not self.ready:
+            return None
+        for side in ("bids", "asks"):
+            self._put(side, getattr(row, side))
+        if self.verify and not pd.isna(row.checksum) and (mine := self.checksum()) != int(row.checksum):
+            return self._emptied("checksum_mismatch", int(row.checksum), mine)
+        bids, asks = self.best("bids"), self.best("asks")
+        if not bids or not asks or Decimal(bids[0][0]) >= Decimal(asks[0][0]):
+            return None
+        shown = {s: [{"price": p, "qty": q} for p, q in levels] for s, levels in (("bids", bids), ("asks", asks))}
+        return {"status": "book", **shown}
+
+    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
+        blank = {"bids": None, "asks": None, "expected": None, "received": None}
+        answers = [(row.receive_ts_ms, self._answer(row)) for row in rows.itertuples(index=False)]
+        out = pd.DataFrame([{"receive_ts_ms": t, **blank, **a} for t, a in answers if a], columns=["receive_ts_ms", "status", *blank])
+        return out.astype({"expected": "Int64", "received": "Int64"})
 
 
 class FlowWindow:
-    """Signed flow over rolling spans at every event, exact per event."""
+    """Signed flow over rolling spans at every event, by differences of running sums over the trades kept."""
 
     STATE = "ts array<long>, signed array<double>, last_ms long"
 
     def __init__(self, t: str, value: str, spans_ms: Sequence[int]) -> None:
         self.t, self.value, self.spans = t, value, tuple(spans_ms)
-        self.trades: list[tuple[int, float]] = []
+        self.ts, self.signed = np.zeros(0, np.int64), np.zeros(0)
         self.last: int | None = None
 
     def load(self, state: tuple) -> None:
-        self.trades, self.last = list(zip(state[0], state[1])), state[2]
+        self.ts, self.signed, self.last = np.array(state[0], np.int64), np.array(state[1], float), state[2]
 
     def dump(self) -> tuple:
-        return ([t for t, _ in self.trades], [v for _, v in self.trades], self.last)
-
-    def feed(self, rows: list[dict]) -> Iterator[dict]:
-        for row in rows:
-            now, signed = int(row[self.t]), row[self.value]
-            if signed is not None and not pd.isna(signed):
-                self.trades.append((now, float(signed)))
-                self.last = now
-            keep_from = now - max(self.spans)
-            self.trades = [x for x in self.trades if x[0] >= keep_from]
-            out = {self.t: now, "last_trade_age_ms": None if self.last is None else now - self.last}
-            for span in self.spans:
-                out[f"flow_{span}"] = float(sum(v for t, v in self.trades if t >= now - span))
-            yield out
+        return (self.ts.tolist(), self.signed.tolist(), self.last)
+
+    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
+        now, value = rows[self.t].to_numpy(dtype=np.int64), pd.to_numeric(rows[self.value]).to_numpy(dtype=float)
+        traded = ~np.isnan(value)
+        held = len(self.ts)
+        ts, signed = np.concatenate([self.ts, now[traded]]), np.concatenate([self.signed, value[traded]])
+        sums = np.concatenate([[0.0], np.cumsum(signed)])
+        upto = held + np.cumsum(traded)  # trades up to and with each row
+        last = np.where(np.cumsum(traded) > 0, ts[np.maximum(upto - 1, 0)] if len(ts) else 0, -1 if self.last is None else self.last)
+        known = (np.cumsum(traded) > 0) | (self.last is not None)
+        out = {self.t: now, "last_trade_age_ms": pd.array(now - last, dtype="Int64")}
+        for span in self.spans:
+            first = np.minimum(np.searchsorted(ts, now - span, side="left"), upto)
+            out[f"flow_{span}"] = sums[upto] - sums[first]
+        if traded.any():
+            self.last = int(now[traded][-1])
+        keep = ts >= now[-1] - max(self.spans)
+        self.ts, self.signed = ts[keep], signed[keep]
+        return pd.DataFrame(out).assign(last_trade_age_ms=lambda d: d["last_trade_age_ms"].mask(~known))
 
 
 class Composite:
@@ -236,11 +293,20 @@ class Composite:
     def dump(self) -> tuple:
         return (list(self.latest), [t for t, _ in self.latest.values()], [p for _, p in self.latest.values()])
 
-    def feed(self, rows: list[dict]) -> Iterator[dict]:
-        for row in rows:
-            now = int(row["ts_ms"])
-            self.latest[row["venue"]] = (now, float(row["price"]))
-            prices = sorted(p for t, p in self.latest.values() if now - t <= self.max_age)
-            n = len(prices)
-            median = (prices[n // 2] + prices[(n - 1) // 2]) / 2
-            yield {"ts_ms": now, "price": median, "venues": n, "dispersion_bps": (prices[-1] - prices[0]) / median * 10_000 if n > 1 else 0.0}
+    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
+        # One column a venue: its newest print's time and price at every row, then one median a row.
+        names = sorted(set(self.latest) | set(rows["venue"]))
+        now = rows["ts_ms"].to_numpy(dtype=np.int64)
+        prices, times = np.empty((len(rows), len(names))), np.empty((len(rows), len(names)))
+        for j, name in enumerate(names):
+            mine = (rows["venue"] == name).to_numpy()
+            at = np.maximum.accumulate(np.where(mine, np.arange(len(rows)), -1))
+            t0, p0 = self.latest.get(name, (np.nan, np.nan))
+            times[:, j] = np.where(at >= 0, now[at], t0)
+            prices[:, j] = np.where(at >= 0, rows["price"].to_numpy(dtype=float)[at], p0)
+            if at[-1] >= 0:
+                self.latest[name] = (int(now[at[-1]]), float(rows["price"].iloc[at[-1]]))
+        fresh = np.where(now[:, None] - times <= self.max_age, prices, np.nan)
+        median, n = np.nanmedian(fresh, axis=1), (~np.isnan(fresh)).sum(axis=1)
+        spread = np.where(n > 1, (np.nanmax(fresh, axis=1) - np.nanmin(fresh, axis=1)) / median * 10_000, 0.0)
+        return pd.DataFrame({"ts_ms": now, "price": median, "venues": n.astype(np.int32), "dispersion_bps": spread})
