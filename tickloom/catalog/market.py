@@ -315,13 +315,13 @@ def calibration_by_bucket(spark, sf_dir):
 
 @query("variant_comparison")
 def variant_comparison(spark, sf_dir):
-    outcomes = cut(ab.window_outcomes(derived_windows(spark, sf_dir), parse_variants("baseline,micro25,wide2,close300")))
-    return ab.ab_summary(outcomes, draws=200)
+    outcomes = cut(ab.window_outcomes(derived_windows(spark, sf_dir), parse_variants("baseline,micro25,extlead50,wide2,close300,micro25+extlead50,micro25+wide2+close300")))
+    return ab.ab_summary(outcomes)
 
 
 @query("variant_stress_grid")
 def variant_stress_grid(spark, sf_dir):
     from tickloom.plans.reports import stress_flips
 
-    grid = stress_grid(parse_variants("baseline"), (75, 300), (0.0, 1.0))
+    grid = stress_grid(parse_variants("baseline"), (75, 150, 300), (0.0, 1.0))
     return stress_flips(ab.window_outcomes(derived_windows(spark, sf_dir), grid), "75/0")

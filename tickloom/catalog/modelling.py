@@ -66,22 +66,31 @@ def ridge_fit(spark, sf_dir):
     return rounded(spark.createDataFrame(out, "grp string, n bigint, intercept double, coef_quantity double, coef_discount double"), 4)
 
 
-@query("ridge_fit_embeddings")
+@query("ridge_fit_embeddings", "SELECT 'x' || i AS feature, 0.0::DOUBLE AS gradient FROM range(64) AS r(i)")
 def ridge_fit_embeddings(spark, sf_dir):
     features = [f"x{i}" for i in range(64)]
     e = table(spark, sf_dir, "embeddings")
     rows = e.select(F.lit("all").alias("grp"), F.col("label").cast("double").alias("y"), *[F.get("embedding", F.lit(i)).cast("double").alias(f) for i, f in enumerate(features)])
-    f = linear.fit_ridge(rows, "grp", features, "y", l2=1.0, min_rows=100)["all"]
-    return rounded(spark.createDataFrame(list(zip(features, f["coefs"])), "feature string, coef double"), 6)
+    f = linear.fit_ridge(rows, "grp", features, "y", l2=1.0)["all"]
+    # The penalised gradient at the fitted weights, over all rows: it has to vanish.
+    z = {n: (F.col(n) - m) / s for n, m, s in zip(features, f["means"], f["stds"])}
+    rest = F.col("y") - f["intercept"] - F.aggregate(F.array(*[z[n] * c for n, c in zip(features, f["coefs"])]), F.lit(0.0), lambda a, x: a + x)
+    sums = rows.withColumn("_rest", rest).agg(*[(F.sum(z[n] * F.col("_rest")) - c).alias(n) for n, c in zip(features, f["coefs"])])
+    return rounded(sums.unpivot([], features, "feature", "gradient"), 6)
 
 
-@query("logistic_fit")
+@query("logistic_fit", "SELECT unnest(['intercept', 'size', 'words']) AS term, 0.0::DOUBLE AS gradient")
 def logistic_fit(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.log1p("n_chars").alias("size"), F.size(F.split("text", r"\s+")).cast("double").alias("words"))
     rows = table(spark, sf_dir, "labels").join(d, "doc_id").select(F.lit("all").alias("grp"), "size", F.log1p("words").alias("words"), F.col("quality").cast("double").alias("y"))
-    f = linear.fit_logistic(rows, "grp", ["size", "words"], "y", min_rows=100)["all"]
-    out = [("intercept", f["intercept"]), *zip(["size", "words"], f["coefs"])]
-    return rounded(spark.createDataFrame(out, "term string, weight double"), 6)
+    names = ["size", "words"]
+    f = linear.fit_logistic(rows, "grp", names, "y")["all"]
+    # The penalised gradient at the fitted weights, over all rows: it has to vanish.
+    z = {n: (F.col(n) - m) / s for n, m, s in zip(names, f["means"], f["stds"])}
+    score = F.lit(f["intercept"]) + z["size"] * f["coefs"][0] + z["words"] * f["coefs"][1]
+    off = rows.select(*[z[n].alias(n) for n in names], (1 / (1 + F.exp(-score)) - F.col("y")).alias("off"))
+    sums = off.agg(F.sum("off").alias("intercept"), *[(F.sum(F.col(n) * F.col("off")) + c).alias(n) for n, c in zip(names, f["coefs"])])
+    return rounded(sums.unpivot([], ["intercept", *names], "term", "gradient"), 4)
 
 
 @query(
@@ -106,7 +115,8 @@ def calibration_deciles(spark, sf_dir):
     return rounded(reports.decile_calibration(scored_documents(spark, sf_dir), "p", "o"))
 
 
-DRAWS, SEED = 200, 7
+from tickloom.operators.bootstrap import DRAWS, SEED  # noqa: E402
+
 _DRAWS_SQL = f"""v AS (SELECT user_id, avg(value) AS x FROM events GROUP BY user_id), p AS (SELECT x, row_number() OVER (ORDER BY user_id) - 1 AS i, count(*) OVER () AS n FROM v),
     d AS (SELECT draw, i, n, (((draw * 1000003 + i * 7919 + {SEED} * 104729 + 1) % 2147483647) * 48271) % 2147483647 AS a FROM p, range({DRAWS}) AS r(draw)),
     f AS (SELECT draw, n, (a * a + 12345) % 2147483647 AS b FROM d), g AS (SELECT draw, n, (b * b + draw + 1) % 2147483647 % n AS pick FROM f),
@@ -128,7 +138,7 @@ def draws(spark, sf_dir):
     SELECT (SELECT round(avg(x), 6) FROM p) AS mean, (SELECT count(*) FROM p) AS windows, round(max(mean) FILTER (k = {int(0.025 * DRAWS)}), 6) AS low, round(max(mean) FILTER (k = {int(0.975 * DRAWS)}), 6) AS high FROM r""",
 )
 def bootstrap_interval(spark, sf_dir):
-    return rounded(bootstrap_ci(_user_means(spark, sf_dir), [], "x", "user_id", DRAWS, SEED).select("mean", "windows", "low", "high"))
+    return rounded(bootstrap_ci(_user_means(spark, sf_dir), [], "x", "user_id", DRAWS, SEED, chunk=16).select("mean", "windows", "low", "high"))
 
 
 # Orders by priority stand for variants, customers for windows.
@@ -154,7 +164,7 @@ def _outcomes(spark, sf_dir):
       CASE WHEN variant <> '1' THEN round(avg(d_markout), 6) END AS d_markout, CASE WHEN variant <> '1' THEN round(avg(d_settle), 6) END AS d_settle FROM j GROUP BY variant""",
 )
 def paired_comparison(spark, sf_dir):
-    out = ab_summary(_outcomes(spark, sf_dir), baseline="1", draws=50)
+    out = ab_summary(_outcomes(spark, sf_dir), baseline="1")
     return rounded(out.select("variant", "windows", "fills_per_window", "markout_5s", "settlement_pnl", "d_markout", "d_settle"))
 
 
@@ -324,14 +334,16 @@ def value_model_fit(spark, sf_dir):
     parts = readable_windows(chronological_split(window_order(features, "ticker", "ts_ms")))
     train = features.join(parts.filter("part = 'train'").select("ticker"), "ticker", "left_semi")
     val = features.join(parts.filter("part = 'val'").select("ticker"), "ticker", "left_semi")
-    models = fit.fit_value_models(train, min_rows=50)
-    return rounded(fit.evaluate_value_models(models, val, min_rows=10), 6)
+    models = fit.fit_value_models(train)
+    return rounded(fit.evaluate_value_models(models, val), 6)
 
 
 @query("toxicity_model_fit")
 def toxicity_model_fit(spark, sf_dir):
     features = cut(feature_table(derived_windows(spark, sf_dir)))
-    models = fit.fit_toxicity_models(None, features, min_rows=100)
+    parts = readable_windows(chronological_split(window_order(features, "ticker", "ts_ms")))
+    train = features.join(parts.filter("part = 'train'").select("ticker"), "ticker", "left_semi")
+    models = fit.fit_toxicity_models(None, train)
     out = [(m.meta["training"], f"{int(m.bucket[0])}-{int(m.bucket[1])}", n, c) for m in models for n, c in zip(("intercept", *m.features), (m.intercept, *m.coefs))]
     return rounded(spark.createDataFrame(out, "training string, bucket string, term string, weight double"), 6)
 

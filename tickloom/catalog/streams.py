@@ -184,7 +184,23 @@ def stream_venue_book(spark, sf_dir):
     return drain(live.venue_book_stream(updates, 10, truncate=True)).select("venue", "symbol", "receive_ts_ms", "status", F.size("bids").alias("levels"))
 
 
-@query("stream_composite_price")
+_PRINTS_SQL = f"""{EVENTS_SQL}, p AS (SELECT 'S' || (event_id % 50) AS symbol, event_id AS line, event_id // 50 % 3 AS v, CASE WHEN event_type = 'purchase' THEN t // 1000 - 5 ELSE t // 1000 END AS ts_ms,
+      CASE WHEN event_type = 'purchase' THEN value ELSE 100.625 + k END AS price FROM e WHERE event_type = 'purchase' OR (event_type = 'signup' AND k % 5 <> 0))"""
+_LATEST_SQL = ", ".join(
+    f"last_value(CASE WHEN v = {v} THEN price END IGNORE NULLS) OVER w AS p{v}, last_value(CASE WHEN v = {v} THEN ts_ms END IGNORE NULLS) OVER w AS t{v}" for v in range(3)
+)
+
+
+@query(
+    "stream_composite_price",
+    f"""WITH {_PRINTS_SQL}, l AS (SELECT symbol, ts_ms, {_LATEST_SQL} FROM p WINDOW w AS (PARTITION BY symbol ORDER BY ts_ms, line ROWS UNBOUNDED PRECEDING)),
+    f AS (SELECT symbol, ts_ms, list_sort(list_filter([{", ".join(f"CASE WHEN ts_ms - t{v} <= 36000000 THEN p{v} END" for v in range(3))}], lambda x: x IS NOT NULL)) AS x FROM l)
+    SELECT symbol, ts_ms, round((x[(len(x) + 1) // 2] + x[len(x) // 2 + 1]) / 2, 6) AS price, CAST(len(x) AS INTEGER) AS venues,
+      round((x[-1] - x[1]) / ((x[(len(x) + 1) // 2] + x[len(x) // 2 + 1]) / 2) * 10000, 6) + 0.0 AS dispersion_bps FROM f""",
+)
 def stream_composite_price(spark, sf_dir):
-    prints = venue_trades(venue_messages(spark, sf_dir)).select(F.concat(F.lit("S"), F.col("line") % 50).alias("symbol"), "venue", "line", "ts_ms", "price")
-    return drain(live.composite_stream(landed(prints, "ts_ms"), 3_600_000))
+    prints = venue_trades(venue_messages(spark, sf_dir)).select(
+        F.concat(F.lit("S"), F.col("line") % 50).alias("symbol"), F.concat(F.lit("v"), F.floor(F.col("line") / 50) % 3).alias("venue"), "line", "ts_ms", "price"
+    )
+    out = drain(live.composite_stream(landed(prints, "ts_ms"), 36_000_000))
+    return out.select("symbol", "ts_ms", F.round("price", 6).alias("price"), "venues", (F.round("dispersion_bps", 6) + 0.0).alias("dispersion_bps"))
