@@ -42,14 +42,16 @@ def test_queue_must_clear_before_a_fill(spark):
 
 def test_labels_join_strictly_before_and_respect_gaps(spark):
     features = spark.createDataFrame([("m", t, float(t)) for t in (1_000, 5_000, 9_000)], "ticker string, ts_ms long, x double")
-    mids = spark.createDataFrame([("m", 6_000, 0.45), ("m", 20_000, 0.60)], "ticker string, receive_ts_ms long, mid double")
+    # Ten mids of one millisecond: the first in the recording's order counts.
+    tied = [("m", 6_001, 0, 1 << 33, i, 0.40 + i / 100) for i in reversed(range(10))]
+    mids = spark.createDataFrame([*tied, ("m", 20_000, 1, 0, 0, 0.60)], "ticker string, receive_ts_ms long, frag long, block long, line long, mid double")
     fills = spark.createDataFrame([("m", "a", 5_000, "bid", 0.5, 1.0), ("m", "b", 5_001, "bid", 0.5, 1.0), ("m", "c", 9_500, "ask", 0.5, 1.0)],
                                   "ticker string, quote_id string, fill_ts_ms long, fill_side string, fill_price double, fill_count double")
     got = {r.quote_id: r for r in label_rows(fills, features, mids, 2_000).collect()}
     # The row at the fill's own time does not count, and the one before is four seconds old.
     assert set(got) == {"b", "c"}
     assert got["b"].ts_ms == 5_000 and got["b"].feature_age_ms == 1
-    assert got["b"].markout_1s is None or got["b"].markout_1s == pytest.approx(-0.05)
+    assert got["b"].markout_1s == pytest.approx(-0.10)
     assert got["c"].markout_5s is None and got["c"].toxic_5s is None
 
 
@@ -76,5 +78,5 @@ def test_audit_reports_missing_parts_and_sequence_skips(spark):
     lines = spark.createDataFrame(rows, "path string, block long, line long, value string, complete boolean, readable boolean")
     r = audit(lines, 201_000, "exchange").first()
     assert r.status == "complete" and not r.healthy and r.rows == 7 and r.invalid_rows == 1
-    assert r.channel_seq_gaps == {"trade": 1} and "trade channel skipped 1 sequence number(s)" in r.warnings
-    assert any("missing reference venue data: binance, coinbase, kraken" in e for e in r.errors)
+    assert r.channel_seq_gaps == {"trade": 1} and "channel_gaps=trade|1" in r.warnings
+    assert "no_reference_price=binance|coinbase|kraken" in r.errors and "unreadable_rows=1" in r.errors

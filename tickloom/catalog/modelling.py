@@ -158,14 +158,24 @@ def _outcomes(spark, sf_dir):
     )
 
 
+_PAIR_DRAWS_SQL = f"""x AS (SELECT variant, k, v, row_number() OVER (PARTITION BY variant, k ORDER BY ticker) - 1 AS i, count(*) OVER (PARTITION BY variant, k) AS n
+      FROM (SELECT variant, 'm' AS k, d_markout AS v, ticker FROM j UNION ALL SELECT variant, 's', d_settle, ticker FROM j) WHERE v IS NOT NULL AND variant <> '1'),
+    d AS (SELECT variant, k, draw, n, (((draw * 1000003 + i * 7919 + {SEED} * 104729 + 1) % 2147483647) * 48271) % 2147483647 AS a FROM x, range({DRAWS}) AS r(draw)),
+    f AS (SELECT variant, k, draw, n, (a * a + 12345) % 2147483647 AS b FROM d), g AS (SELECT variant, k, draw, (b * b + draw + 1) % 2147483647 % n AS pick FROM f),
+    m AS (SELECT g.variant, g.k, g.draw, avg(x.v) AS mean FROM g JOIN x ON x.variant = g.variant AND x.k = g.k AND x.i = g.pick GROUP BY ALL),
+    q AS (SELECT variant, k, mean, row_number() OVER (PARTITION BY variant, k ORDER BY mean) - 1 AS rk FROM m),
+    ci AS (SELECT variant, {", ".join(f"round(max(mean) FILTER (k = '{k}' AND rk = {int(p * DRAWS)}), 6) AS {name}" for k, c in (("m", "d_markout"), ("s", "d_settle")) for p, name in ((0.025, f"{c}_low"), (0.975, f"{c}_high")))} FROM q GROUP BY variant)"""
+
+
 @query(
     "paired_comparison",
-    f"""WITH {_OUTCOME_SQL} SELECT variant, count(*) AS windows, round(avg(fills), 6) AS fills_per_window, round(avg(markout_5s), 6) AS markout_5s, round(avg(settlement_pnl), 6) AS settlement_pnl,
-      CASE WHEN variant <> '1' THEN round(avg(d_markout), 6) END AS d_markout, CASE WHEN variant <> '1' THEN round(avg(d_settle), 6) END AS d_settle FROM j GROUP BY variant""",
+    f"""WITH {_OUTCOME_SQL}, {_PAIR_DRAWS_SQL},
+    l AS (SELECT variant, count(*) AS windows, round(avg(fills), 6) AS fills_per_window, round(avg(markout_5s), 6) AS markout_5s, round(avg(settlement_pnl), 6) AS settlement_pnl,
+      CASE WHEN variant <> '1' THEN round(avg(d_markout), 6) END AS d_markout, CASE WHEN variant <> '1' THEN round(avg(d_settle), 6) END AS d_settle FROM j GROUP BY variant)
+    SELECT l.*, ci.d_markout_low, ci.d_markout_high, ci.d_settle_low, ci.d_settle_high FROM l LEFT JOIN ci USING (variant)""",
 )
 def paired_comparison(spark, sf_dir):
-    out = ab_summary(_outcomes(spark, sf_dir), baseline="1")
-    return rounded(out.select("variant", "windows", "fills_per_window", "markout_5s", "settlement_pnl", "d_markout", "d_settle"))
+    return rounded(ab_summary(_outcomes(spark, sf_dir), baseline="1"))
 
 
 @query(
