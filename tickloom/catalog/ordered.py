@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.catalog.base import DAY, EVENTS_SQL, HOUR, events, query, rounded, table
 from tickloom.functions.quoting import dispersion_bps, signed_by_aggressor, signed_markout, toxic_label, true_median, upper_median
+from tickloom.operators import pnl
 from tickloom.operators.asof import asof_join, first_after
 from tickloom.operators.flow import rolling
 from tickloom.operators.metrics import hit_rate, window_ic
@@ -398,8 +399,6 @@ def running_position(spark, sf_dir):
     fills = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_orderkey", "l_linenumber", n.alias("n"), p.alias("p"), F.datediff(F.to_date("l_shipdate"), F.lit("1970-01-01")).cast("long").alias("d")
     )
-    state = running(
-        fills, ["l_suppkey"], "d", ["l_orderkey", "l_linenumber", "p", "n"], 60,
-        {"position": ("sum", F.col("n")), "cash": ("sum", -F.col("n") * F.col("p"))},
-    )
+    money = fills.withColumn("signed_count", F.col("n")).withColumn("cash_delta", -F.col("n") * F.col("p"))
+    state = pnl.running_position(money, ["l_suppkey"], "d", ["l_orderkey", "l_linenumber", "p", "n"], 60)
     return rounded(state.select("l_orderkey", "l_linenumber", "l_suppkey", "position", "cash"), 4)

@@ -171,12 +171,12 @@ def price_grid(spark, sf_dir):
 
 @query(
     "price_keys_and_cents",
-    """SELECT l_orderkey, l_linenumber, CAST(round_even(l_discount * 10000 * l_quantity / 50, 0) AS INTEGER) AS price_key,
+    """SELECT l_orderkey, l_linenumber, CAST(round_even(l_discount * l_quantity / 50 * 10000, 0) AS INTEGER) AS price_key,
       CAST(round(CAST(l_extendedprice AS DECIMAL(38, 12)), 2) AS DOUBLE) AS cents FROM lineitem""",
 )
 def price_keys_and_cents(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.bround(F.col("l_discount") * 10000 * F.col("l_quantity") / 50, 0).cast("int").alias("price_key"),
+        "l_orderkey", "l_linenumber", Q.price_key(F.col("l_discount") * F.col("l_quantity") / 50).alias("price_key"),
         Q.half_up_cents(F.col("l_extendedprice")).cast("double").alias("cents"),
     )
 

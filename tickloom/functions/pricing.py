@@ -248,14 +248,15 @@ def settlement_moments(fixings: int = FIXINGS) -> Callable[..., Column]:
             ahead = (count == 0) & (left >= SETTLEMENT_WINDOW_S)
             times = np.where(ahead, left - SETTLEMENT_WINDOW_S + interval * k, left / n * k)
             growth = np.where(k <= n, np.expm1(vol * vol * times), 0.0)
-            if np.any(mu != 0):
-                means = np.where(k <= n, s0 * np.exp(mu * np.maximum(0.0, times)), 0.0)
+            # Per row, so that a row's price does not depend on what shares its batch.
+            mean = s0[:, 0].copy()
+            pairs = mean * mean * ((2.0 * (n - k) + 1.0) * growth).sum(axis=1)
+            drifting = np.flatnonzero(mu[:, 0] != 0)
+            if len(drifting):
+                means = np.where(k <= n, s0 * np.exp(mu * np.maximum(0.0, times)), 0.0)[drifting]
                 after = means.sum(axis=1, keepdims=True) - np.cumsum(means, axis=1)
-                mean = means.sum(axis=1) / n[:, 0]
-                pairs = (means * (means + 2.0 * after) * growth).sum(axis=1)
-            else:
-                mean = s0[:, 0]
-                pairs = mean * mean * ((2.0 * (n - k) + 1.0) * growth).sum(axis=1)
+                mean[drifting] = means.sum(axis=1) / n[drifting, 0]
+                pairs[drifting] = (means * (means + 2.0 * after) * growth[drifting]).sum(axis=1)
             return pd.DataFrame({"mean": mean, "variance": pairs / (n[:, 0] ** 2)})
 
     return moments
