@@ -11,8 +11,9 @@ would be quadratic, so the corpus is cut into shards in which all equal windows
    with the corpus, shard and passages meet in one task, which builds the shard's automaton with occurrence
    counts and streams the passages through it: at each word the state of the last ``WINDOW`` words tells how
    often they occur.  Equal passages are entered once, with their number.
-4. An anchor with more than ``HOT`` passages would be an unbounded shard.  Its windows are shards of their own:
-   a block of texts that has one twice knows that it repeats, and sends one copy on behalf of all.
+4. An anchor with more than ``HOT`` passages would be an unbounded shard.  Its windows are shards of their own,
+   named by 128-bit digests: a block of texts that has one twice knows that it repeats, and sends one digest on
+   behalf of all.
 5. Repeated windows go back to their texts, where their union is removed.
 
 Words and windows are compared by 64-bit hashes.  Null and empty texts have no words and keep the empty text;
@@ -35,6 +36,7 @@ from tickloom.session import cut
 WINDOW = 35
 GRAM = 8
 HOT = 1024
+DIGEST = 16  # bytes
 
 
 def window_anchors(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,6 +107,7 @@ def _passages(window: int, hot: int):
                 start = np.arange(ends[-1]) - np.repeat(ends - length, length) + np.repeat(first[many], length)
                 d, b = np.repeat(doc[many], length), np.repeat(base[many], length)
                 w = run_hashes(words.hashes, b + start, b + start + window, 0xA24BAED4963EE407).view(np.int64)
+                second = run_hashes(words.hashes, b + start, b + start + window, 0xD6E8FEB86659FD93)
                 kind, where, count = np.unique(w, return_inverse=True, return_counts=True)
                 local = count[where] > 1
                 one = np.zeros(len(kind), np.int64)
@@ -115,7 +118,7 @@ def _passages(window: int, hot: int):
                     rid.append(-1 if local[i] else int(rids[d[i]]))
                     lo.append(int(start[i]))
                     hi.append(int(start[i]))
-                    body.append(words.hashes[b[i] + start[i] : b[i] + start[i] + window])
+                    body.append(np.array([w[i], second[i].view(np.int64)]))  # a digest instead of the words
                 known = np.flatnonzero(local)
                 order = known[np.lexsort((start[known], d[known]))]
                 if len(order):
@@ -197,6 +200,8 @@ def repeated_windows(passages: list[tuple[int, int, int, bytes]], window: int) -
     for rid, lo, hi, body in passages:
         by_text.setdefault(body, []).append((rid, lo, hi))
     times = [sum(2 if rid < 0 else 1 for rid, _, _ in held) for held in by_text.values()]
+    if len(passages[0][3]) == DIGEST:  # a window of a hot anchor
+        return [p for held, n in zip(by_text.values(), times, strict=True) if n > 1 for p in held if p[0] >= 0]
     if len(by_text) == 1:
         return [p for p in next(iter(by_text.values())) if p[0] >= 0] if times[0] > 1 else []
     sequences = [np.frombuffer(body, np.uint64).tolist() for body in by_text]
@@ -283,7 +288,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     """Per row of ``docs`` (doc_id, text): _rid, doc_id, n_words, n_removed, the removed spans of words, kept text."""
     rows = with_row_id(docs).select("_rid", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     placed = anchors(rows, window, gram)
-    several = placed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    # Stored, so that a hot anchor's partition can be split when the passages are joined with it.
+    several = cut(placed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
     hits = placed.join(several.hint("merge"), "anchor").groupBy("_rid").agg(F.collect_list(F.struct("anchor", "lo", "hi", "n")).alias("hits"))
     # Both joins with the texts share one shuffle of them.
     passages = rows.join(hits.hint("merge"), "_rid").select("_rid", "doc_id", "text", "hits").mapInArrow(_passages(window, hot), _PASSAGE)
