@@ -31,9 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.components import component_labels
+from tickloom.llm.components import component_labels, salted_join
 from tickloom.llm.words import blocks, packed, with_row_id, words_of
-from tickloom.operators.slices import keyed_join
 from tickloom.session import cut
 
 WIDTH = 5
@@ -332,7 +331,7 @@ def tree_blocks(sets: DataFrame, most: int = BLOCK_SETS) -> tuple[DataFrame, Dat
     """
     prefix = sets.select("_rid", F.explode("prefix").alias("token"))
     lead = prefix.groupBy("token").agg(F.min("_rid").alias("leader"), F.max("_rid").alias("_top")).where("_top > leader").drop("_top")
-    member = cut(keyed_join(prefix, lead, ["token"], ["_rid"], how="inner").select("leader", "_rid").distinct())
+    member = cut(salted_join(prefix, lead, ["token"], ["_rid"], how="inner").select("leader", "_rid").distinct())
     sizes = cut(member.groupBy("leader").agg(F.count("*").alias("m")))
     body = sets.select("_rid", "n", "tokens")
     large = sizes.where(F.col("m") > most)
@@ -342,12 +341,12 @@ def tree_blocks(sets: DataFrame, most: int = BLOCK_SETS) -> tuple[DataFrame, Dat
     small = member.join(sizes.where(F.col("m") <= most).select("leader"), "leader", "left_semi")
     tasks = small.join(body, "_rid").select("leader", F.lit(0).alias("i"), F.lit(0).alias("j"), "_rid", "n", "tokens", F.lit(1).alias("probe"), F.col("_rid").alias("known"))
     heads = body.select(F.col("_rid").alias("leader"), F.col("n").alias("ln"), F.col("tokens").alias("ltokens")).join(large.select("leader"), "leader", "left_semi")
-    big = keyed_join(member.join(body, "_rid"), heads, ["leader"], ["_rid"], how="inner")
+    big = salted_join(member.join(body, "_rid"), heads, ["leader"], ["_rid"], how="inner")
     checked = cut(big.mapInArrow(_with_leader, "leader long, _rid long, linked boolean"))
     edges = checked.where("linked AND leader <> _rid").select(F.col("leader").alias("a"), F.col("_rid").alias("b"))
     open_ = checked.where("NOT linked").groupBy("leader").agg(F.count("*").alias("u"))
     grid = large.join(open_, "leader").select("leader", F.ceil(F.col("m") / most).cast("int").alias("gm"), F.ceil(F.col("u") / most).cast("int").alias("gu"))
-    placed = keyed_join(checked.join(body, "_rid"), grid, ["leader"], ["_rid"], how="inner").withColumn("h", F.xxhash64("_rid"))
+    placed = salted_join(checked.join(body, "_rid"), grid, ["leader"], ["_rid"], how="inner").withColumn("h", F.xxhash64("_rid"))
     cells = placed.select("*", F.pmod("h", F.col("gm").cast("long")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("gu") - 1)).alias("j")).withColumn("probe", F.lit(0))
     own = placed.where("NOT linked").select("*", F.explode(F.sequence(F.lit(0), F.col("gm") - 1)).alias("i"), F.pmod("h", F.col("gu").cast("long")).cast("int").alias("j")).withColumn("probe", F.lit(1))
     known = F.when(F.col("linked"), F.col("leader")).otherwise(F.col("_rid"))
@@ -370,10 +369,10 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, most: int = BLOCK_SETS
     tasks, direct = tree_blocks(sets, most)
     found = tasks.groupBy("leader", "i", "j").applyInArrow(_match, "a long, b long")
     labels = component_labels(found.union(direct))
-    named = cut(keyed_join(classes, labels.select(F.col("v").alias("rep"), "label"), ["rep"], ["rep"]).withColumn("label", F.coalesce("label", "rep")))
+    named = cut(salted_join(classes, labels.select(F.col("v").alias("rep"), "label"), ["rep"], ["rep"]).withColumn("label", F.coalesce("label", "rep")))
     best = named.groupBy("label").agg(F.min("class_doc").alias("component_id"), F.min("_best").alias("_best"))
-    full = keyed_join(named.drop("_best"), best, ["label"], ["rep"]).select("n", "d1", "d2", F.col("rep").alias("class_id"), "component_id", F.col("_best._rid").alias("_kept"))
-    out = keyed_join(filled.drop("levels"), full, ["n", "d1", "d2"], ["_rid"], how="inner")
+    full = salted_join(named.drop("_best"), best, ["label"], ["rep"]).select("n", "d1", "d2", F.col("rep").alias("class_id"), "component_id", F.col("_best._rid").alias("_kept"))
+    out = salted_join(filled.drop("levels"), full, ["n", "d1", "d2"], ["_rid"], how="inner")
     out = out.select("_rid", "doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id", (F.col("_rid") == F.col("_kept")).alias("keep"))
     empty = profile.where("n = 0").select("_rid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("_rid").alias("class_id"), F.lit(True).alias("keep"))
     return out.union(empty)
