@@ -176,7 +176,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, query_block: int =
     def blocks_with(state: DataFrame) -> DataFrame:
         """Every query block beside every candidate block."""
         held = place.join(state, "qid").groupBy("qb").agg(F.array_sort(F.collect_list(F.struct("at", "low", "width"))).alias("s"))
-        sent = left.join(held, "qb").mapInArrow(_attach, "qids binary, qvectors binary, low binary, width binary")
+        sent = cut(left.join(held, "qb").mapInArrow(_attach, "qids binary, qvectors binary, low binary, width binary"))
         return sent.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long")))).join(right, "cell")
 
     while True:
