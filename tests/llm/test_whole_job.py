@@ -2,7 +2,7 @@
 
 from conftest import DOCS
 
-from tickloom.llm import lines
+from tickloom.llm import decontaminate, lines
 
 
 def test_short_lines_repeat(stored):
@@ -14,3 +14,21 @@ def test_short_lines_repeat(stored):
     text = {r._rid: (r.doc_id, r.text) for r in lines.with_row_id(docs).collect()}
     got = sorted((text[r._rid][0] or 0, text[r._rid][1].split("\n")[r.no].split()) for r in lines.removed_lines(docs).collect())
     assert got == [(0, ["one", "two", "three", "four"]), (0, ["one", "two", "three", "four", "five", "six"]), (2, ["All", "rights", "reserved."]), (2, ["Home"]), (3, ["Home"])]
+
+
+def found(stored, rows, items):
+    docs, bench = stored(rows, "doc_id long, text string"), stored(items, "item_id long, text string")
+    return {(r.doc_id, r.item_id, r.verbatim) for r in decontaminate.contaminated(docs, bench).collect()}
+
+
+def test_every_run_of_an_item_is_judged(stored):
+    w = [f"v{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    number = [*w[:10], "17", *w[10:40], "17", *w[40:]]
+    other = [*w[:10], "23", *w[10:40], "23", *w[40:]]  # the same class
+    sums = [*w[:20], "stop", *"1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 21 22 23 24".split(), "end", "of", "it"]
+    items = [(1, " ".join(number)), (2, " ".join(other)), (3, " ".join(sums).replace("va", "sa"))]
+    rows = [
+        (1, " ".join(number).replace("17", "18", 1)), (2, " ".join(other).replace("23", "18", 1)), (3, items[2][1].replace("stop", "go")), (4, " ".join([*w[:6], "17", *w[7:13]])),
+        (5, " ".join(f"{a} {b}" for a, b in zip(w, "12345678901234567890"))),
+    ]
+    assert found(stored, rows, items) == {(1, 1, True), (2, 1, True), (3, 3, True)}

@@ -8,9 +8,11 @@ is left is lower-cased and cut at anything that is no letter or digit.  The step
 2. Every ``size``-token window of a class is joined by hash with every ``stride``-th window of each document.
    ``size + stride - 1`` is the shortest run that counts, so no such run is missed.  The windows of the
    benchmark are broadcast only if there are at most ``BROADCAST_WINDOWS`` (24 MB); else both sides shuffle.
-3. Hits become (row, class, offset) and are checked on the rows' whole texts: the longest run of equal
+3. Hits become (row, class, offset) and are checked on the rows' whole texts: every long run of equal
    template tokens at that offset, its literal tokens, and slot consistency (equal values in the item must be
    equal values in the document), which tells a re-parameterised question from a chance likeness.
+4. In runs without that consistency, ``RUN`` tokens that any item of the class holds word for word count, by
+   hash (``run`` is then ``RUN``).
 
 A row is contaminated by a class if a run covers ``RUN`` tokens (or the whole item, if that is shorter) and
 has at least ``LITERALS`` literal tokens.  Shorter items with fewer literals can't be told from chance and
@@ -62,26 +64,41 @@ def _kind(token: Column) -> Column:
     return F.when(first.isin(NUMBER, NAME, UNIT), first).otherwise(token)
 
 
-def benchmark_templates(benchmark: DataFrame) -> DataFrame:
-    """(item_id, tokens, values, m, need): one row per class of items with the same template and slot pattern."""
+def _literals(tokens: str | Column) -> Column:
+    return F.size(F.filter(tokens, lambda t: ~F.substring(t, 1, 1).isin(NUMBER, NAME, UNIT)))
+
+
+def _stretches(rows: DataFrame, first: Column) -> DataFrame:
+    """``rows`` once per ``RUN`` of their values with ``LITERALS`` literals: at (its place), h and literals."""
+    starts = F.when(F.size("values") >= RUN, F.sequence(F.lit(1), F.size("values") - RUN + 1))
+    part = F.transform(starts, lambda i: F.struct((first + i - 1).alias("at"), F.xxhash64(F.slice("values", i, RUN)).alias("h"), _literals(F.slice("values", i, RUN)).alias("literals")))
+    return rows.withColumn("s", F.explode(part)).where(F.col("s.literals") >= LITERALS).select(*(c for c in rows.columns if c not in ("values", "first")), "s.*")
+
+
+def _typed_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, values, tokens, class); items with the same template and slot pattern have the same class."""
     tokens = benchmark.select(F.col("item_id").cast("long").alias("item_id"), valued_tokens(F.col("text").cast("string")).alias("values"))
     typed = tokens.where("size(values) > 0").withColumn("tokens", F.transform("values", _kind))
     # Where each token's value stands first: the same for any choice of values.
-    pattern = typed.withColumn("pattern", F.transform("values", lambda v: F.array_position("values", v)))
-    classes = pattern.groupBy("tokens", "pattern").agg(F.min("item_id").alias("item_id"), F.min("values").alias("values"))
-    sized = classes.withColumn("m", F.size("tokens")).withColumn("need", F.least(F.lit(RUN), F.col("m")))
-    return sized.where(F.size(F.filter("tokens", lambda t: ~t.isin(NUMBER, NAME, UNIT))) >= LITERALS).drop("pattern")
+    pattern = F.transform("values", lambda v: F.array_position("values", v))
+    return typed.withColumn("class", F.xxhash64("tokens", pattern)).where(_literals("tokens") >= LITERALS)
+
+
+def benchmark_templates(typed: DataFrame) -> DataFrame:
+    """(class, tokens, item_id, values, m, need): one row per class of items."""
+    classes = typed.groupBy("class", "tokens").agg(F.min("item_id").alias("item_id"), F.min("values").alias("values"))
+    return classes.withColumn("m", F.size("tokens")).withColumn("need", F.least(F.lit(RUN), F.col("m")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(_rid, doc_id, item_id, run, slots, verbatim): the rows of a stored table that hold a benchmark item."""
     rows = with_row_id(docs)
-    items = cut(benchmark_templates(benchmark))
+    variants = cut(_typed_items(benchmark))
+    items = cut(benchmark_templates(variants))
     shortest = items.agg(F.min("need")).first()[0] or RUN
     size = min(SIZE, shortest)
     stride = shortest - size + 1
-    numbered = items.withColumn("class", F.xxhash64("tokens", "values", "item_id"))
-    windows = numbered.select("class", "m", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("m") - size + 1), lambda i: F.xxhash64(F.slice("tokens", i, size)))).alias("at", "h"))
+    windows = items.select("class", "m", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("m") - size + 1), lambda i: F.xxhash64(F.slice("tokens", i, size)))).alias("at", "h"))
     windows = cut(windows)
     small = windows.count() <= BROADCAST_WINDOWS
     # The tokens pass through a one-element array, and empty arrays are left to the join: so the regular
@@ -98,23 +115,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # Only the stretch of the document that lies against the item goes on.
     low = F.greatest(F.lit(0), F.col("hit.offset"))
     pairs = seen.select("_rid", "doc_id", "dv", F.explode("hits").alias("hit")).select("_rid", "doc_id", "hit.class", "hit.offset", F.slice("dv", low + 1, F.col("hit.m")).alias("dv"))
-    wanted = numbered.select("class", "item_id", "m", "need", F.col("values").alias("iv"))
-    part = pairs.join(wanted, "class").select("_rid", "doc_id", "item_id", "need", "dv", F.slice("iv", F.greatest(F.lit(0), F.col("offset")) - F.col("offset") + 1, F.col("m")).alias("iv"))
+    wanted = items.select("class", "item_id", "m", "need", F.col("values").alias("iv"))
+    part = pairs.join(wanted, "class").withColumn("first", F.greatest(F.lit(0), F.col("offset")) - F.col("offset"))
+    part = part.select("_rid", "doc_id", "item_id", "class", "need", "first", "dv", F.slice("iv", F.col("first") + 1, F.col("m")).alias("iv"))
     zipped = part.withColumn("z", F.zip_with("dv", "iv", lambda d, i: F.struct(d.alias("d"), i.alias("i"), F.coalesce(_kind(d) == _kind(i), F.lit(False)).alias("eq"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("cur"), F.lit(0).alias("best"), F.lit(0).alias("end"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("cur"), F.array().cast("array<struct<end:int,run:int>>").alias("runs"))
+    need = F.col("need")
+
+    def ended(s: Column) -> Column:
+        """The runs so far, with the one that ends here if it is long enough."""
+        return F.when(s["cur"] >= need, F.concat(s["runs"], F.array(F.struct(s["at"].alias("end"), s["cur"].alias("run"))))).otherwise(s["runs"])
 
     def step(s: Column, z: Column) -> Column:
-        at, cur = s["at"] + 1, F.when(z["eq"], s["cur"] + 1).otherwise(0)
-        return F.struct(at.alias("at"), cur.alias("cur"), F.greatest(cur, s["best"]).alias("best"), F.when(cur > s["best"], at).otherwise(s["end"]).alias("end"))
+        return F.struct((s["at"] + 1).alias("at"), F.when(z["eq"], s["cur"] + 1).otherwise(0).alias("cur"), F.when(z["eq"], s["runs"]).otherwise(ended(s)).alias("runs"))
 
-    runs = zipped.withColumn("r", F.aggregate("z", start, step)).where("r.best >= need")
-    stretch = runs.select("_rid", "doc_id", "item_id", F.col("r.best").alias("run"), F.slice("z", F.col("r.end") - F.col("r.best") + 1, F.col("r.best")).alias("z"))
+    runs = zipped.withColumn("r", F.explode(F.aggregate("z", start, step, ended)))
+    stretch = runs.select("_rid", "doc_id", "item_id", "class", (F.col("first") + F.col("r.end") - F.col("r.run")).alias("first"), F.col("r.run").alias("run"), F.slice("z", F.col("r.end") - F.col("r.run") + 1, F.col("r.run")).alias("z"))
     slots = F.filter("z", lambda z: F.substring(z["i"], 1, 1).isin(NUMBER, NAME, UNIT))
     held = stretch.withColumn("slots", slots).where((F.col("run") - F.size("slots")) >= LITERALS)
     distinct = F.size(F.array_distinct(F.transform("slots", lambda z: F.struct(z["i"], z["d"]))))
-    consistent = held.where(distinct == F.size(F.array_distinct(F.transform("slots", lambda z: z["i"]))))
+    held = cut(held.withColumn("consistent", distinct == F.size(F.array_distinct(F.transform("slots", lambda z: z["i"])))))
     verbatim = ~F.exists("slots", lambda z: z["i"] != z["d"])
-    best = consistent.select("_rid", "doc_id", "item_id", F.struct("run", verbatim.alias("verbatim"), F.size("slots").alias("slots")).alias("b"))
+    best = held.where("consistent").select("_rid", "doc_id", "item_id", F.struct("run", verbatim.alias("verbatim"), F.size("slots").alias("slots")).alias("b"))
+    # A run whose slots disagree may still hold a stretch of any item of the class word for word.
+    torn = held.where("NOT consistent").select("_rid", "doc_id", "item_id", "class", "first", F.transform("z", lambda z: z["d"]).alias("values"))
+    stretches = _stretches(torn, F.col("first")).join(_stretches(variants, F.lit(0)).select("class", "at", "h").distinct().hint("merge"), ["class", "at", "h"])
+    best = best.union(stretches.select("_rid", "doc_id", "item_id", F.struct(F.lit(RUN).alias("run"), F.lit(True).alias("verbatim"), (RUN - F.col("literals")).alias("slots")).alias("b")))
     return best.groupBy("_rid", "doc_id", "item_id").agg(F.max("b").alias("b")).select("_rid", "doc_id", "item_id", "b.run", "b.slots", "b.verbatim")
 
 
