@@ -32,3 +32,13 @@ def test_every_run_of_an_item_is_judged(stored):
         (5, " ".join(f"{a} {b}" for a, b in zip(w, "12345678901234567890"))),
     ]
     assert found(stored, rows, items) == {(1, 1, True), (2, 1, True), (3, 3, True)}
+
+
+def test_items_with_few_literals_match_exactly(stored):
+    items = [(1, "What is 37 times 49?"), (2, "日本の首都はどこですか"), (3, "1 2 3 4 5 6 7.5 8"), (4, "What is 37 times 49"), (5, "?!")]
+    rows = [
+        (1, "Tell me: what is 37 times 49, please"), (2, "What is 38 times 49?"), (3, "問。日本の首都はどこですか。"), (4, "0 1 2 3 4 5 6 7.5 8 9"), (5, "1 2 3 4 5 6 7 5 8"),
+        (6, "What is 37 times 49.5?"), (7, "He asked What is 37 times 49? " * 3), (8, None), (9, "?!"),
+    ]
+    assert found(stored, rows, items) == {(1, 1, True), (3, 2, True), (4, 3, True), (7, 1, True)}
+    assert found(stored, rows, items[1:2]) == {(3, 2, True)}

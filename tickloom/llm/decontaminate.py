@@ -15,8 +15,8 @@ is left is lower-cased and cut at anything that is no letter or digit.  The step
    hash (``run`` is then ``RUN``).
 
 A row is contaminated by a class if a run covers ``RUN`` tokens (or the whole item, if that is shorter) and
-has at least ``LITERALS`` literal tokens.  Shorter items with fewer literals can't be told from chance and
-match nothing.  Null and empty texts match nothing; repeated rows are judged each for itself; extra columns
+has at least ``LITERALS`` literal tokens.  Items with fewer literals can't be told from chance by their template:
+they match where all their words and numbers stand one after the other, found by hash and compared.  Null and empty texts match nothing; repeated rows are judged each for itself; extra columns
 of either table are ignored; an empty table gives an empty result.
 """
 
@@ -59,6 +59,11 @@ def valued_tokens(text: Column) -> Column:
     return F.regexp_extract_all(_marked(text, True), F.lit(rf"[{NUMBER}-{UNIT}][^{END}]*{END}|[\p{{L}}\p{{N}}]+"), F.lit(0))
 
 
+def plain_tokens(text: Column) -> Column:
+    """Lower-case words and numbers, whatever stands around them."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{N}+(?:[.,]\p{N}++)*+(?![\p{L}\p{N}])|[\p{L}\p{N}]+"), F.lit(0))
+
+
 def _kind(token: Column) -> Column:
     first = F.substring(token, 1, 1)
     return F.when(first.isin(NUMBER, NAME, UNIT), first).otherwise(token)
@@ -75,15 +80,51 @@ def _stretches(rows: DataFrame, first: Column) -> DataFrame:
     return rows.withColumn("s", F.explode(part)).where(F.col("s.literals") >= LITERALS).select(*(c for c in rows.columns if c not in ("values", "first")), "s.*")
 
 
-def _typed_items(benchmark: DataFrame) -> DataFrame:
+def _item_forms(benchmark: DataFrame) -> DataFrame:
+    """(item_id, text, forms): each item's values."""
+    text = F.col("text").cast("string")
+    forms = F.array_distinct(F.array(valued_tokens(text)))
+    return cut(benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text"), forms.alias("forms")).where("size(forms[0]) > 0"))
+
+
+def _typed_items(forms: DataFrame) -> DataFrame:
     """(item_id, values, tokens, class); items with the same template and slot pattern have the same class."""
-    tokens = benchmark.select(F.col("item_id").cast("long").alias("item_id"), valued_tokens(F.col("text").cast("string")).alias("values"))
-    typed = tokens.where("size(values) > 0").withColumn("tokens", F.transform("values", _kind))
+    typed = forms.select("item_id", F.explode("forms").alias("values")).withColumn("tokens", F.transform("values", _kind))
     # Where each token's value stands first: the same for any choice of values.
     pattern = F.transform("values", lambda v: F.array_position("values", v))
     return typed.withColumn("class", F.xxhash64("tokens", pattern)).where(_literals("tokens") >= LITERALS)
 
 
+def _exact_items(forms: DataFrame) -> DataFrame:
+    """(words, m, w, h, item_id, b): items with too few literals for a template; h names their first w words."""
+    few = forms.where(F.exists("forms", lambda v: _literals(v) < LITERALS))
+    form = F.col("forms")[0]
+    b = F.struct(F.size(form).alias("run"), F.lit(True).alias("verbatim"), (F.size(form) - _literals(form)).alias("slots"))
+    one = few.groupBy(plain_tokens(F.col("text")).alias("words")).agg(F.min(F.struct("item_id", b.alias("b"))).alias("one"))
+    sized = one.select("words", F.size("words").alias("m"), F.least(F.lit(SIZE), F.size("words")).alias("w"), "one.*")
+    return sized.withColumn("h", F.xxhash64(F.slice("words", F.lit(1), F.col("w"))))
+
+
+def _exact_matches(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """(_rid, doc_id, item_id, b): the rows that hold all words of an item, one after the other."""
+    sizes = [r["w"] for r in items.select("w").distinct().collect()]  # at most SIZE
+    small = items.count() <= BROADCAST_WINDOWS
+    words = rows.select("_rid", "doc_id", F.explode(F.array(plain_tokens(F.col("text").cast("string")))).alias("dw"))
+
+    def heads(w: int) -> Column:
+        starts = F.when(F.size("dw") >= w, F.sequence(F.lit(1), F.size("dw") - w + 1))
+        return F.coalesce(F.transform(starts, lambda i: F.struct(F.lit(w).alias("w"), i.alias("at"), F.xxhash64(F.slice("dw", i, w)).alias("h"))), F.array())
+
+    first = words.select("_rid", F.explode(F.concat(*map(heads, sizes)) if sizes else F.array().cast("array<struct<w:int,at:int,h:bigint>>")).alias("s")).select("_rid", "s.*")
+    known = items.select("w", "h", "m", "item_id")
+    # An item of few words is its own head, wherever it stands.
+    hits = first.join(F.broadcast(known) if small else known, ["w", "h"]).select("_rid", "item_id", F.when(F.col("m") > F.col("w"), F.col("at")).alias("at")).distinct()
+    found = cut(hits).groupBy("_rid").agg(F.collect_set(F.struct("item_id", "at")).alias("hits"))
+    both = words.join(found.hint("merge"), "_rid").select("_rid", "doc_id", "dw", F.explode("hits").alias("hit")).select("_rid", "doc_id", "dw", "hit.*")
+    whole = both.join(items.select("item_id", "words", "m", "b"), "item_id")
+    return whole.where(F.col("at").isNull() | (F.slice("dw", F.coalesce("at", F.lit(1)), F.col("m")) == F.col("words"))).select("_rid", "doc_id", "item_id", "b")
+
+
 def benchmark_templates(typed: DataFrame) -> DataFrame:
     """(class, tokens, item_id, values, m, need): one row per class of items."""
     classes = typed.groupBy("class", "tokens").agg(F.min("item_id").alias("item_id"), F.min("values").alias("values"))
@@ -93,7 +134,8 @@ def benchmark_templates(typed: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(_rid, doc_id, item_id, run, slots, verbatim): the rows of a stored table that hold a benchmark item."""
     rows = with_row_id(docs)
-    variants = cut(_typed_items(benchmark))
+    forms = _item_forms(benchmark)
+    variants = cut(_typed_items(forms))
     items = cut(benchmark_templates(variants))
     shortest = items.agg(F.min("need")).first()[0] or RUN
     size = min(SIZE, shortest)
@@ -141,6 +183,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     torn = held.where("NOT consistent").select("_rid", "doc_id", "item_id", "class", "first", F.transform("z", lambda z: z["d"]).alias("values"))
     stretches = _stretches(torn, F.col("first")).join(_stretches(variants, F.lit(0)).select("class", "at", "h").distinct().hint("merge"), ["class", "at", "h"])
     best = best.union(stretches.select("_rid", "doc_id", "item_id", F.struct(F.lit(RUN).alias("run"), F.lit(True).alias("verbatim"), (RUN - F.col("literals")).alias("slots")).alias("b")))
+    few = cut(_exact_items(forms))
+    if not few.isEmpty():
+        best = best.union(_exact_matches(rows, few))
     return best.groupBy("_rid", "doc_id", "item_id").agg(F.max("b").alias("b")).select("_rid", "doc_id", "item_id", "b.run", "b.slots", "b.verbatim")
 
 
