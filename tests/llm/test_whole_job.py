@@ -42,3 +42,15 @@ def test_items_with_few_literals_match_exactly(stored):
     ]
     assert found(stored, rows, items) == {(1, 1, True), (3, 2, True), (4, 3, True), (7, 1, True)}
     assert found(stored, rows, items[1:2]) == {(3, 2, True)}
+
+
+def test_short_items_inside_a_sentence(stored):
+    items = [
+        (1, "What is the capital city of the largest country in Europe"), (2, "New York is older than the next town up the river by ten or so"), (3, "Name the colour of a ripe lemon"),
+        (4, "Which of these is not round"),
+    ]
+    rows = [
+        (1, "see What is the capital city of the largest country in Europe"), (2, "we know, New York is older than the next town up the river by ten or so, they say"), (3, "please Name the colour of a ripe lemon"),
+        (4, "so: Which of these is not round? And Which of these is not round?"), (5, "see What is the capital city of the smallest country in Europe"), (6, "New York is older than the next town"), (7, items[1][1]),
+    ]
+    assert found(stored, rows, items) == {(1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (7, 2, True)}

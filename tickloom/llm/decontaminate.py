@@ -3,7 +3,8 @@
 Numbers, units after numbers, and names (capitalised words inside a sentence) become typed placeholders; what
 is left is lower-cased and cut at anything that is no letter or digit.  The steps:
 
-1. ``benchmark_templates``: items with the same template whose slots repeat in the same places are one class,
+1. ``benchmark_templates``: an item has one template at the start of a sentence and, if it starts with a
+   capitalised word, one inside a sentence.  Items with the same template whose slots repeat in the same places are one class,
    named by its smallest item_id, so a template with many variants is matched once.
 2. Every ``size``-token window of a class is joined by hash with every ``stride``-th window of each document.
    ``size + stride - 1`` is the shortest run that counts, so no such run is missed.  The windows of the
@@ -81,9 +82,13 @@ def _stretches(rows: DataFrame, first: Column) -> DataFrame:
 
 
 def _item_forms(benchmark: DataFrame) -> DataFrame:
-    """(item_id, text, forms): each item's values."""
+    """(item_id, text, forms): each item's values where it starts a sentence, and inside one.
+
+    Inside a sentence its leading capitalised words are a name.
+    """
     text = F.col("text").cast("string")
-    forms = F.array_distinct(F.array(valued_tokens(text)))
+    inside = valued_tokens(F.concat(F.lit("x "), text))
+    forms = F.array_distinct(F.array(valued_tokens(text), F.slice(inside, F.lit(2), F.size(inside))))
     return cut(benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text"), forms.alias("forms")).where("size(forms[0]) > 0"))
 
 
