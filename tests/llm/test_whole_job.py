@@ -1,8 +1,9 @@
 """Cases in which operators once did less than their whole job."""
 
 from conftest import DOCS
+from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, lines
+from tickloom.llm import decontaminate, lines, topk
 
 
 def test_short_lines_repeat(stored):
@@ -54,3 +55,14 @@ def test_short_items_inside_a_sentence(stored):
         (4, "so: Which of these is not round? And Which of these is not round?"), (5, "see What is the capital city of the smallest country in Europe"), (6, "New York is older than the next town"), (7, items[1][1]),
     ]
     assert found(stored, rows, items) == {(1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (7, 2, True)}
+
+
+def test_top_k_with_mixed_lengths(stored):
+    rows = [(i, [float((i * j) % 7 - 3) for j in range(1, 5)]) for i in range(30)] + [(30, [1.0, 2.0, 3.0, 4.0, 5.0]), (31, [2.0]), (32, [1.0] * 9)]
+    whole = {i: [int(64 * c) for c in v] for i, v in rows}
+    want = set()
+    for q in range(0, 33, 5):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:4]
+        want |= {(q, k + 1, i, -score) for k, (score, i) in enumerate(best)}
+    vectors = stored(rows, "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in topk.top_k(vectors, F.col("vec_id") % 5 == 0, 4).collect()} == want

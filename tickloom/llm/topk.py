@@ -11,7 +11,8 @@ products, computed exactly.  No pass keeps scores:
 2. The last pass sends the scores above the kth and, of its ties, the smallest ids that can still be needed.
 
 So a query and block send at most 2 k counts or rows, whatever the ties.  Ties go to the smaller vec_id.
-Rows with null or non-finite components, without vec_id, or shorter than the longest vector take no part.
+Rows with null or non-finite components or without vec_id take no part.  Vectors of different lengths are scored
+over the components that both have; no shared ones: 0.
 Repeated rows of a vec_id are candidates each for themselves; as a query the id is asked once, with its
 smallest vector.  A query's own id is never its candidate.  Fewer than k candidates: all of them.  A score of
 more than 61 bits raises.  An empty table gives an empty result.
@@ -37,12 +38,16 @@ LIMIT = 1 << 61
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): rows whose components are all finite, as integers in doubles; of one length, the longest."""
+    """(vec_id, v): rows whose components are all finite, as integers in doubles; of one length, padded with zeros."""
     v = F.col("embedding").cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(fine)
-    longest = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
-    return rows.where(F.size("embedding") == longest).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * SCALE).cast("double")).alias("v"))
+    # What only the longest row has meets nothing, so the second length is enough.
+    sizes = [r["n"] for r in rows.select(F.size("embedding").alias("n")).orderBy(F.desc("n")).limit(2).collect()]
+    width = max(1, min(sizes, default=1))
+    whole = F.transform(F.slice(v, 1, width), lambda x: F.floor(x * SCALE).cast("double"))
+    padded = F.concat(whole, F.array_repeat(F.lit(0.0), F.lit(width) - F.size(whole)))
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), padded.alias("v"))
 
 
 def _binary(arrays: list[np.ndarray]) -> pa.Array:
