@@ -1,9 +1,10 @@
 """Cases in which operators once did less than their whole job."""
 
+import pytest
 from conftest import DOCS
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, lines, topk
+from tickloom.llm import decontaminate, lines, mixing, topk
 
 
 def test_short_lines_repeat(stored):
@@ -66,3 +67,18 @@ def test_top_k_with_mixed_lengths(stored):
         want |= {(q, k + 1, i, -score) for k, (score, i) in enumerate(best)}
     vectors = stored(rows, "vec_id long, embedding array<double>")
     assert {tuple(r) for r in topk.top_k(vectors, F.col("vec_id") % 5 == 0, 4).collect()} == want
+
+
+def test_a_rare_cell_does_not_set_the_size(stored):
+    rows = [(i, "w " * (1 + i % 20), "en" if i % 3 else "de", "ab"[i % 2]) for i in range(4000)] + [(9999, "w w", "es", "c")]
+    docs = stored(rows, "doc_id long, text string, lang string, source string")
+    dims = {"source": F.col("source"), "lang": F.col("lang")}
+    for budget in (1.0, 0.5):
+        out = mixing.mixed(docs, dims, budget=budget).collect()
+        total, drawn = sum(r._tokens for r in out), sum(r._tokens * r._copies for r in out)
+        assert len(out) == 4001 and drawn / total == pytest.approx(budget, abs=0.03)
+        assert next(r._copies for r in out if r.doc_id == 9999) >= int(budget * next(r._weight for r in out if r.doc_id == 9999))
+        for dim in ("lang", "source"):
+            for name in {r[dim] for r in out}:
+                share = sum(r._weight * r._tokens for r in out if r[dim] == name) / total
+                assert sum(r._tokens * r._copies for r in out if r[dim] == name) / drawn == pytest.approx(share, abs=0.02)

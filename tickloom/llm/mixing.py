@@ -2,8 +2,10 @@
 
 Iterative proportional fitting scales the tokens of each (source, language, topic) cell until the totals of
 every source, language and topic meet their targets.  A cell's weight is its raked share over its share of the
-corpus.  Probabilities are the weights over the largest weight: the largest sample without repeats whose
-expected token shares meet all targets at once.
+corpus.  With a budget, a share of the corpus's tokens, a row is drawn budget x weight times: the whole copies of
+that, and one more by chance for what is left.  So the targets hold and the size is the budget, however small the
+rarest cell.  Without a budget nothing repeats: probabilities are the weights over the largest weight, and one
+rare cell can make the sample small.
 
 Targets default to each category's token share to the power ``TEMPERATURE``, which lifts small categories.
 The cells are summed before the shuffle; only one row a cell reaches the driver and is broadcast back, and more
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TEMPERATURE = 0.9
+BUDGET = 1.0  # of the corpus's tokens, in the registered query
 MAX_CELLS = 100_000
 ROUNDS = 500
 NONE = "(none)"
@@ -73,8 +76,8 @@ def rake(cells: list[tuple], tokens: np.ndarray, targets: list[dict | None], tem
     return w * total
 
 
-def mixed(docs: DataFrame, dims: dict[str, Column], targets: dict[str, dict] | None = None, seed: int = 17, tokens: Column | None = None) -> DataFrame:
-    """``docs`` with the dims' categories (``_dim_*``), _tokens, _weight, _probability and _sampled."""
+def mixed(docs: DataFrame, dims: dict[str, Column], targets: dict[str, dict] | None = None, seed: int = 17, tokens: Column | None = None, budget: float | None = None) -> DataFrame:
+    """``docs`` with the dims' categories (``_dim_*``), _tokens, _weight, _probability, _copies and _sampled (any copy)."""
     names = list(dims)
     counted = docs.withColumn("_tokens", token_count() if tokens is None else tokens)
     counted = counted.withColumns({f"_dim_{n}": F.coalesce(c.cast("string"), F.lit(NONE)) for n, c in dims.items()})
@@ -87,11 +90,14 @@ def mixed(docs: DataFrame, dims: dict[str, Column], targets: dict[str, dict] | N
     raked = rake(cells, held, [(targets or {}).get(n) for n in names])
     weight = np.divide(raked, held, out=np.zeros_like(held), where=held > 0)
     top = max(weight.max(), 1e-300) if len(rows) else 1.0
-    schema = T.StructType([T.StructField(k, T.StringType()) for k in keys] + [T.StructField("_weight", T.DoubleType()), T.StructField("_probability", T.DoubleType())])
-    table = [(*c, float(w), float(w / top) if t > 0 else 1.0) for c, w, t in zip(cells, weight, held, strict=True)]
+    schema = T.StructType([T.StructField(k, T.StringType()) for k in keys] + [T.StructField("_weight", T.DoubleType()), T.StructField("_expected", T.DoubleType())])
+    table = [(*c, float(w), float(w / top if budget is None else w * budget) if t > 0 else 1.0) for c, w, t in zip(cells, weight, held, strict=True)]
     cell = docs.sparkSession.createDataFrame(table, schema)
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    return counted.join(F.broadcast(cell), keys).withColumn("_sampled", draw < F.col("_probability"))
+    whole = F.floor("_expected")
+    copies = (whole + F.when(draw < F.col("_expected") - whole, 1).otherwise(0)).cast("long")
+    out = counted.join(F.broadcast(cell), keys).withColumns({"_probability": F.least(F.lit(1.0), F.col("_expected")), "_copies": copies})
+    return out.withColumn("_sampled", F.col("_copies") > 0).drop("_expected")
 
 
 def dimensions() -> dict[str, Column]:

@@ -47,10 +47,10 @@ def _template_decontamination(spark, sf_dir):
 
 @query("op7_mixing_to_targets")
 def _mixing_to_targets(spark, sf_dir):
-    out = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), mixing.dimensions())
+    out = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), mixing.dimensions(), budget=mixing.BUDGET)
     return out.select(
         "doc_id", F.col("_dim_source").alias("source"), F.col("_dim_lang").alias("lang"), F.col("_dim_topic").alias("topic"),
-        F.col("_tokens").alias("tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_sampled").alias("sampled"),
+        F.col("_tokens").alias("tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_sampled").alias("sampled"), F.col("_copies").alias("copies"),
     )
 
 
