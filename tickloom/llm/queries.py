@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, hard_negatives, language, lines, mixing, ngram_join, quality, sharding, substring, topk, warc
+from tickloom.llm import decontaminate, hard_negatives, language, licenses, lines, mixing, ngram_join, quality, sharding, substring, topk, warc, whitening
 from tickloom.llm.base import query, table
 from tickloom.llm.words import with_row_id
 
@@ -174,3 +174,40 @@ def _hard_negatives(spark, sf_dir):
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
     return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+@query("op12_whitening")
+def _whitening(spark, sf_dir):
+    # A deviation beyond a long, as tables of many millions of rows can have, is null here and whole in the operator.
+    return whitening.whitened(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def _license_sql() -> str:
+    """Every rule on every text that holds a gate word; containment by comparing a text's detections in pairs."""
+    rules = ", ".join(f"({k}, '{r.label}', {r.priority}, {licenses.SURE[r.priority]}, ['{"', '".join(r.gates)}'], '{licenses.over_words(r.pattern)}')" for k, r in enumerate(licenses.RULES))
+    return rf"""
+WITH rules(rule, label, priority, sure, gates, pattern) AS (VALUES {rules}),
+d AS (SELECT doc_id, row_number() OVER () AS r, trim(regexp_replace(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', '  ', 'g'), ' ') AS t FROM documents),
+w AS (SELECT doc_id, r, CASE WHEN t = '' THEN '' ELSE ' ' || t || ' ' END AS t, CASE WHEN t = '' THEN [] ELSE string_split(t, '  ') END AS words FROM d),
+m AS (
+  SELECT r, rule, label, priority, sure, regexp_extract_all(t, pattern) AS found, string_split_regex(t, pattern) AS gaps FROM w JOIN rules ON list_has_any(words, gates)
+  WHERE regexp_matches(t, pattern)
+), p AS (
+  SELECT * EXCLUDE (found, gaps), generate_subscripts(found, 1) AS i, unnest([(length(x) - length(replace(x, ' ', ''))) // 2 FOR x IN found]) AS len,
+         unnest([(length(x) - length(replace(x, ' ', ''))) // 2 FOR x IN gaps[:len(found)]]) AS gap FROM m
+), s AS (SELECT * EXCLUDE (gap, i), sum(gap + len) OVER (PARTITION BY r, rule ORDER BY i) - len AS start FROM p),
+kept AS (
+  SELECT * FROM s AS a WHERE priority = {licenses.BASE} OR NOT EXISTS (
+    SELECT 1 FROM s AS b WHERE b.r = a.r AND b.start <= a.start AND b.start + b.len >= a.start + a.len AND b.priority <= a.priority
+      AND (b.priority < a.priority OR b.len > a.len OR (b.len = a.len AND b.rule < a.rule)))
+), k AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(sure) AS score FROM kept GROUP BY r),
+b AS (SELECT r, count(*) AS n, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM s WHERE priority = {licenses.BASE} GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(b.labels, '') AS base_labels, coalesce(k.labels, '') AS labels, CAST(coalesce(k.score, 0) AS DOUBLE) AS score
+FROM w LEFT JOIN b USING (r) LEFT JOIN k USING (r)
+"""
+
+
+@query("op13_license_scan", _license_sql())
+def _license_scan(spark, sf_dir):
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
