@@ -43,7 +43,7 @@ def test_tolerant_scan_keeps_what_is_readable(spark, tmp_path):
 def test_envelopes_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a"b', 2.5)], "t long, s string, x double")
     rows = rec.envelope_rows(df, F.col("s"), F.lit("kind"), F.struct("x"), F.col("t"))
-    rec.append_envelopes(rows, str(tmp_path / "out"))
+    rec.append_envelopes(rows, str(tmp_path / "out"), F.lit("M1"), F.lit("events_1"))
     back = rec.scan_recordings(spark, str(tmp_path / "out")).first()
     assert (back.source, back.event_type, back.receive_ts_ms, json.loads(back.payload)) == ('a"b', "kind", 1, {"x": 2.5})
 

@@ -7,8 +7,19 @@ import zlib
 from collections.abc import Iterator
 
 from pyarrow import fs
+from pyspark.sql import DataFrame
 
 BLOCK = 1 << 20
+MAX_TASKS = 10_000
+
+
+def dealt(files: DataFrame, most: int = MAX_TASKS) -> DataFrame:
+    """A table of files with one of them a task, or evenly many where there are more than ``most``.
+
+    Names are short, so Spark would merge partitions by their size and let one task read everything.  The
+    number of partitions is given here, and the names are dealt one by one from a single list.
+    """
+    return files.coalesce(1).repartition(max(1, min(files.count(), most)))
 
 
 def read_blocks(path: str, size: int = BLOCK) -> Iterator[bytes]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,74 +13,65 @@ from pyspark.sql.window import Window
 from tickloom.functions.parsing import first_filled, iso_seconds, number
 from tickloom.functions.quoting import GRID_TYPE, default_grid, signed_by_aggressor
 from tickloom.operators.slices import keyed_join
-from tickloom.sources.files import gunzip_lines, read_blocks
 from tickloom.schemas import ENVELOPE, INDEX_EVENT, INDEX_ID, MARKET, ORDER, PAYLOAD, VENUES
+from tickloom.session import cut
+from tickloom.sources import recording_source
 
 FILE_PATTERN = "{events_,runner_}*.jsonl*"
+FAMILIES = "events_*.jsonl*|runner_*.jsonl*"
 
 
-def scan_recordings(spark: SparkSession, paths: str | Sequence[str], pattern: str | None = None) -> DataFrame:
-    """JSON-lines recordings (``.gz`` by suffix), blank lines skipped, with file and position columns.
-
-    ``block``/``line`` give the order of events inside a file.  Store the result
-    (``write_bronze``) rather than rescanning JSON in every job.
-    """
-    reader = spark.read.schema(ENVELOPE)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
-    raw = reader.json(paths if isinstance(paths, str) else list(paths))
-    return raw.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_modification_time").alias("modified"),
-        F.col("_metadata.file_block_start").cast("long").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-        *[F.col(c) for c in raw.columns],
-    )
+def _source(spark: SparkSession, paths: str | Sequence[str], pattern: str | None, options: dict[str, int | str]) -> DataFrame:
+    recording_source.register(spark)
+    reader = spark.read.format(recording_source.NAME).option("paths", json.dumps([paths] if isinstance(paths, str) else list(paths)))
+    for name, value in {"pattern": pattern, **options}.items():
+        if value is not None:
+            reader = reader.option(name, value)
+    return reader.load()
 
 
-def scan_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Tolerant scan: every non-blank line, with ``readable`` false where it is not JSON.
+def scan_lines(spark: SparkSession, paths: str | Sequence[str], pattern: str | None = None, **options: int) -> DataFrame:
+    """Tolerant scan: every line, with ``readable`` false where it is not JSON and null where it is blank.
 
-    A gzip file cut short fails Spark's text reader, so compressed files are listed
-    by Spark and read in tasks, a block at a time, as far as they reach;
-    ``complete`` tells whether the end was found.
+    Files are read in tasks of their own, plain ones in parts; a packed file cut short counts as far as it
+    reaches, and ``complete`` is false in the row without text that closes it.  Filters on ticker, day, name and
+    path keep other files from being opened.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    packed = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(paths).select("path", "modificationTime")
-    # All names that do not end in ".gz".
-    plain = (
-        spark.read.option("pathGlobFilter", "{*[!z],*[!g]z,*[!.]gz,z,gz}")
-        .text(paths)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_modification_time").alias("modified"),
-            F.col("_metadata.file_block_start").cast("long").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
-            "value",
-            F.lit(True).alias("complete"),
-        )
-    )
-
-    def unpack(batches):
-        import pandas as pd
-
-        for batch in batches:
-            for path, modified in zip(batch["path"], batch["modificationTime"]):
-                at, complete = 0, True
-                for lines, complete in gunzip_lines(read_blocks(path)):
-                    if lines:
-                        yield pd.DataFrame({"path": path, "modified": modified, "block": 0, "line": range(at, at + len(lines)), "value": lines, "complete": True})
-                        at += len(lines)
-                # One closing row carries the file's verdict.
-                yield pd.DataFrame({"path": [path], "modified": [modified], "block": [0], "line": [at], "value": [""], "complete": [complete]})
-
-    unpacked = packed.repartition("path").mapInPandas(unpack, "path string, modified timestamp, block bigint, line bigint, value string, complete boolean")
-    lines = plain.unionByName(unpacked)
+    lines = _source(spark, paths, pattern, options)
     # from_json turns broken text into a struct of nulls; only valid JSON parses as a variant.
     readable = F.try_parse_json("value").isNotNull()
     return lines.withColumn("readable", F.when(F.trim("value") != "", readable))
 
 
+def scan_recordings(
+    spark: SparkSession, paths: str | Sequence[str], pattern: str | None = None, tickers: Sequence[str] | None = None, days: Sequence[datetime.date] | None = None, **options: int
+) -> DataFrame:
+    """JSON-lines recordings (``.gz`` by suffix) as envelopes, unreadable and blank lines left out.
+
+    ``block``/``line`` give the order of events inside a file, whatever tasks read it.  ``tickers`` and ``days``
+    choose files by folder and date.  Store the result (``write_bronze``) rather than rescanning JSON in every job.
+    """
+    lines = _source(spark, paths, pattern, options).filter("line >= 0")
+    for column, wanted in (("ticker", tickers), ("day", days)):
+        if wanted is not None:
+            lines = lines.filter(F.col(column).isin(list(wanted)))
+    events = lines.filter(F.trim("value") != "").select("path", "modified", "block", "line", F.from_json("value", ENVELOPE).alias("e"))
+    return events.filter("e.event_type IS NOT NULL OR e.payload IS NOT NULL OR e.receive_ts_ms IS NOT NULL").select("path", "modified", "block", "line", "e.*")
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """Scanned lines with ``number``, their exact place in their file from 0, found in two passes.
+
+    The first pass counts the lines of every block; the sums of the blocks before are what a line's number in
+    its block lacks.  No task needs a whole file.
+    """
+    counts = lines.filter("line >= 0").groupBy("path", "block").agg((F.max("line") + 1).alias("_n"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    offsets = cut(counts.select("path", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_first")))
+    placed = keyed_join(lines, offsets, ["path", "block"], ["line"])
+    return placed.withColumn("number", F.when(F.col("line") >= 0, F.col("_first") + F.col("line"))).drop("_first")
+
+
 def envelope_rows(
     df: DataFrame, source: Column, event_type: Column, payload: Column, receive_ts_ms: Column, exchange_ts_ms: Column | None = None
 ) -> DataFrame:
@@ -93,17 +86,30 @@ def envelope_rows(
     )
 
 
-def append_envelopes(rows: DataFrame, path: str) -> None:
-    """Append rows as compressed JSON lines, payload nested as an object again."""
-    text = F.concat(
+def envelope_json(rows: DataFrame) -> Column:
+    """The JSON line of an envelope row, its payload nested as an object again."""
+
+    def text(name: str) -> Column:
+        held = F.to_json(F.struct(F.col(name).alias("v")))
+        return held.substr(F.lit(6), F.length(held) - 6)
+
+    return F.concat(
         F.lit('{"schema_version":'), F.col("schema_version"),
         F.lit(',"receive_ts_ms":'), F.col("receive_ts_ms"),
         F.lit(',"exchange_ts_ms":'), F.coalesce(F.col("exchange_ts_ms").cast("string"), F.lit("null")),
-        F.lit(',"source":'), F.to_json(F.struct(F.col("source").alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("source").alias("v")))) - 6),
-        F.lit(',"event_type":'), F.to_json(F.struct(F.col("event_type").alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("event_type").alias("v")))) - 6),
+        F.lit(',"source":'), text("source"), F.lit(',"event_type":'), text("event_type"),
         F.lit(',"payload":'), F.coalesce(F.col("payload"), F.lit("{}")), F.lit("}"),
-    )
-    rows.select(text.alias("value")).write.mode("append").option("compression", "gzip").text(path)
+    )
+
+
+def append_envelopes(rows: DataFrame, path: str, ticker: Column, fragment: Column, order: Sequence[str] = ("receive_ts_ms",), suffix: Column | str = ".jsonl.gz") -> None:
+    """Append rows as recordings, one file per ticker and fragment, in the given order; all or none become visible."""
+    recording_source.register(rows.sparkSession)
+    ending = F.lit(suffix) if isinstance(suffix, str) else suffix
+    named = rows.withColumns({"_ticker": ticker, "_fragment": fragment, "_suffix": ending, "_value": envelope_json(rows)})
+    placed = named.repartition("_ticker", "_fragment").sortWithinPartitions("_ticker", "_fragment", *order)
+    out = placed.select(*(F.col(f"_{c}").alias(c) for c in ("ticker", "fragment", "suffix", "value")))
+    out.write.format(recording_source.NAME).mode("append").option("path", path).save()
 
 
 def write_bronze(events: DataFrame, path: str) -> None:

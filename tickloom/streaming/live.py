@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickloom.plans.variants import ToxicityTax
 from tickloom.schemas import ENVELOPE
+from tickloom.sources import recording_source
 from tickloom.streaming.stateful import Composite, FlowWindow, Sampler, SequencedBook, VenueBook, stateful
 
 
@@ -24,6 +25,17 @@ def envelope_stream(spark: SparkSession, path: str, files_per_trigger: int = 100
     )
 
 
+def recording_stream(spark: SparkSession, path: str, pattern: str = "*", **options: int) -> DataFrame:
+    """Recordings that land in ``path`` as a stream of envelopes, with file, place, ticker and ``received``."""
+    recording_source.register(spark)
+    reader = spark.readStream.format(recording_source.NAME).option("path", path).option("pattern", pattern)
+    for name, value in options.items():
+        reader = reader.option(name, value)
+    lines = reader.load().filter("line >= 0")
+    events = lines.select("path", "ticker", "modified", "block", "line", F.from_json("value", ENVELOPE).alias("e")).filter("e.event_type IS NOT NULL")
+    return events.select("path", "ticker", "modified", "block", "line", "e.*").withColumn("received", F.timestamp_millis("receive_ts_ms"))
+
+
 def ingest(stream: DataFrame, out: str, checkpoint: str, once: bool = False):
     """Append envelopes to the day-partitioned event table; exactly once by the sink's log."""
     writer = (
