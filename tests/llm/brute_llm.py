@@ -7,6 +7,8 @@ import hashlib
 import math
 import re
 
+import regex
+
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -58,9 +60,9 @@ def removed_lines(rows: list[tuple]) -> list[tuple]:
     for k in order:
         for no, line in enumerate((rows[k][1] or "").split("\n") if rows[k][1] is not None else []):
             w = WORDS.findall(line)
-            if len(w) < 5:
+            if not w:
                 continue
-            s = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+            s = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
             if any(4 * len(s & t) >= 3 * len(s | t) for t in seen):
                 out.append((k, no))
             seen.append(s)
@@ -75,3 +77,81 @@ def top_k(rows: list[tuple], every: int, k: int) -> list[tuple]:
             scores = sorted(((-sum(a * b for a, b in zip(v, c, strict=True)), j) for j, c in fine if j != i))[:k]
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores)]
     return out
+
+
+# The placeholders' rules, as the operator's docstring states them.
+UNITS = "km|cm|mm|m|kg|mg|g|lb|lbs|miles?|meters?|metres?|feet|inch(?:es)?|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|liters?|litres?|ml"
+END = r"(?![\p{L}\p{N}])"
+
+
+def template(text: str) -> list[tuple]:
+    """(kind, value) per token: "#" a number, "u" a unit after a number, "N" a name, "" a literal."""
+    out, last, at = [], None, 0
+    number = regex.compile(rf"(?<![\p{{L}}\p{{N}}])\d+(?:[.,]\d+)*+(?:(?= ?(?:{UNITS}){END})|{END})")
+    unit = regex.compile(rf" ?(?:{UNITS}){END}")
+    while at < len(text):
+        if (m := number.match(text, at)) and (at == 0 or not regex.match(r"[\p{L}\p{N}]", text[at - 1])):
+            out.append(("#", m[0], at))
+            at = m.end()
+            if u := unit.match(text, at):
+                out.append(("u", u[0].strip().lower(), at))
+                at = u.end()
+            continue
+        if m := regex.compile(r"[\p{L}\p{N}]+(?:['’-]+[\p{L}'’-]*)?" if text[at].isupper() else r"[\p{L}\p{N}]+").match(text, at):
+            word = regex.compile(r"[\p{L}\p{N}]+").match(text, at)
+            inside = at >= 2 and text[at - 1] == " " and (regex.match(r"[\p{L}\p{N},;]", text[at - 2]) or (at >= 3 and text[at - 2] == " " and regex.match(r"[\p{L}\p{N},;]", text[at - 3])))
+            name = regex.compile(rf"\p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]*)*{END}").match(text, at)
+            if inside and name and text[at].isupper():
+                out.append(("N", name[0].lower(), at))
+                at = name.end()
+                continue
+            out.append(("", word[0].lower(), at))
+            at = word.end()
+            continue
+        at += 1
+    return [(k, v) for k, v, _ in out]
+
+
+def plain(text: str) -> list[str]:
+    return regex.findall(r"\p{N}+(?:[.,]\p{N}++)*+(?![\p{L}\p{N}])|[\p{L}\p{N}]+", text.lower())
+
+
+def _stretches(same: list[bool], least: int) -> list[tuple]:
+    out, at = [], 0
+    for i, s in enumerate([*same, False]):
+        if not s:
+            if i - at >= least:
+                out.append((at, i))
+            at = i + 1
+    return out
+
+
+def contaminated(text: str, items: list[str], run: int = 13, literals: int = 5) -> bool:
+    """Whether a text holds one of the items, by laying every item against every place of the text."""
+    doc, words = template(text), plain(text)
+    forms = []
+    for item in items:
+        tokens = plain(item)
+        m = len(tokens)
+        for offset in range(-m + 1, len(words)) if m >= literals else ():
+            if _stretches([0 <= offset + i < len(words) and words[offset + i] == tokens[i] for i in range(m)], min(run, m)):
+                return True
+        both = [template(item), template("x " + item)[1:]]
+        if any(sum(k == "" for k, _ in f) < literals for f in both) and m and any(words[i : i + m] == tokens for i in range(len(words))):
+            return True
+        forms += [f for f in both if sum(k == "" for k, _ in f) >= literals]
+    for item in forms:
+        m = len(item)
+        twins = [f for f in forms if [k if k else v for k, v in f] == [k if k else v for k, v in item] and [f.index(v) for v in f] == [item.index(v) for v in item]]
+        for offset in range(-m + 1, len(doc)):
+            same = [0 <= offset + i < len(doc) and (doc[offset + i] == item[i] or (doc[offset + i][0] == item[i][0] != "")) for i in range(m)]
+            for a, b in _stretches(same, min(run, m)):
+                pairs = {(item[i], doc[offset + i]) for i in range(a, b) if item[i][0]}
+                if sum(item[i][0] == "" for i in range(a, b)) < literals:
+                    continue
+                if len(pairs) == len({p for p, _ in pairs}):
+                    return True
+                for i in range(a, b - run + 1):
+                    if any(doc[offset + i : offset + i + run] == t[i : i + run] and sum(k == "" for k, _ in t[i : i + run]) >= literals for t in twins):
+                        return True
+    return False

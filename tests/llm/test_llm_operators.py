@@ -87,7 +87,7 @@ def test_automaton_counts():
 
 def test_line_dedup(stored, odd_docs):
     docs = stored([(i, t, "en", "a", 0, "x", "k") for i, t in generated(7)] + odd_docs, DOCS)
-    table = lines.with_row_id(docs).select("_rid", "doc_id", "text").collect()
+    table = lines.with_row_id(docs).select("_rid", "doc_id", "text").orderBy("_rid").collect()
     place = {r._rid: k for k, r in enumerate(table)}
     got = sorted((place[r._rid], r.no) for r in lines.removed_lines(docs).collect())
     assert got == removed_lines([(r.doc_id, r.text) for r in table])

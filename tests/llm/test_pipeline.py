@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import pyarrow as pa
+import pytest
 from brute_llm import components
 
 import __spark_entry__ as entry
@@ -46,8 +47,9 @@ def test_stages(spark, tmp_path):
     words = [set(i.lower().split()) for i in items]
     assert all(max(len(w & set(r.text.lower().split())) for w in words) >= decontaminate.RUN - 3 for r in gone)
     # Mixing: the drawn rows are those below their probability.
-    drawn = {r.doc_id for r in mixing.mixed(tables[3], mixing.dimensions()).where("_sampled").collect()}
-    assert {r.doc_id for r in rows[4]} == drawn
+    drawn = mixing.mixed(tables[3], mixing.dimensions(), budget=mixing.KEEP, repeats=False).collect()
+    assert {r.doc_id for r in rows[4]} == {r.doc_id for r in drawn if r._sampled}
+    assert sum(r._tokens * r._probability for r in drawn) == pytest.approx(mixing.KEEP * sum(r._tokens for r in drawn), rel=1e-6)
     # Sharding: every row, gapless slots.
     assert Counter(r.doc_id for r in rows[5]) == Counter(r.doc_id for r in rows[4])
     for s in {r.shard for r in rows[5]}:

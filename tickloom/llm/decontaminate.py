@@ -17,7 +17,10 @@ is left is lower-cased and cut at anything that is no letter or digit.  The step
 
 A row is contaminated by a class if a run covers ``RUN`` tokens (or the whole item, if that is shorter) and
 has at least ``LITERALS`` literal tokens.  Items with fewer literals can't be told from chance by their template:
-they match where all their words and numbers stand one after the other, found by hash and compared.  Null and empty texts match nothing; repeated rows are judged each for itself; extra columns
+they match where all their words and numbers stand one after the other, found by hash and compared.  Apart from
+templates, ``RUN`` words of an item one after the other (or all, if it has from ``LITERALS`` to ``RUN``) count in any letter case, which
+decides what templates take for names: the same windows over lower-case words, compared word by word.  The
+characters U+E001 to U+E004, which stand for placeholders, are read as separators.  Null and empty texts match nothing; repeated rows are judged each for itself; extra columns
 of either table are ignored; an empty table gives an empty result.
 """
 
@@ -44,7 +47,8 @@ _NAME = rf"{_WORD[:6]}(?<=[\p{{L}}\p{{N}},;\x{{e001}}-\x{{e004}}] {{1,2}}\p{{Lu}
 def _marked(text: Column, keep: bool) -> Column:
     """The text with placeholders; with ``keep`` each holds its value, up to END."""
     put = (lambda kind: f" {kind}$0{END} ") if keep else (lambda kind: f" {kind} ")
-    numbered = F.regexp_replace(text, _NUMBER, put(NUMBER))
+    free = F.translate(text, NUMBER + NAME + UNIT + END, "    ")
+    numbered = F.regexp_replace(free, _NUMBER, put(NUMBER))
     unit = F.regexp_replace(numbered, rf"(?<=[{END if keep else NUMBER}] {{1,2}})(?:{UNITS}){_CLOSE}", put(UNIT))
     united = F.when(numbered.contains(NUMBER), unit).otherwise(numbered)
     return F.lower(F.regexp_replace(united, _NAME, put(NAME)))
@@ -136,29 +140,76 @@ def benchmark_templates(typed: DataFrame) -> DataFrame:
     return classes.withColumn("m", F.size("tokens")).withColumn("need", F.least(F.lit(RUN), F.col("m")))
 
 
+def _plain_items(forms: DataFrame, variants: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, named, words, m, need): items by their words alone; named is the item that names their class."""
+    named = variants.select("class", F.col("item_id").alias("_i")).join(items.select("class", "item_id"), "class").groupBy("_i").agg(F.min("item_id").alias("named"))
+    words = forms.groupBy(plain_tokens(F.col("text")).alias("words")).agg(F.min("item_id").alias("item_id"))
+    words = words.join(named.withColumnRenamed("_i", "item_id"), "item_id", "left").withColumn("named", F.coalesce("named", "item_id"))
+    return words.withColumn("m", F.size("words")).where(F.col("m") >= LITERALS).withColumn("need", F.least(F.lit(RUN), F.col("m")))
+
+
+def _windows(items: DataFrame, tokens: str, name: str, size: int) -> DataFrame:
+    """(name, m, at, h): every window of the items' tokens."""
+    starts = F.sequence(F.lit(1), F.col("m") - size + 1)
+    return items.select(name, "m", F.posexplode(F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i, size)))).alias("at", "h"))
+
+
+def _lined_up(tokens: DataFrame, items: DataFrame, held: str, name: str) -> DataFrame:
+    """(_rid, name, m, offset): where every ``stride``-th window of a row's tokens meets a window of an item."""
+    shortest = items.agg(F.min("need")).first()[0] or RUN
+    size = min(SIZE, shortest)
+    stride = shortest - size + 1
+    windows = cut(_windows(items, held, name, size))
+    small = windows.count() <= BROADCAST_WINDOWS
+    starts = F.when(F.size("tokens") >= size, F.sequence(F.lit(1), F.size("tokens") - size + 1, F.lit(stride)))
+    strided = tokens.select("_rid", F.posexplode_outer(F.transform(starts, lambda i: F.xxhash64(F.slice("tokens", i, size)))).alias("k", "h"))
+    return strided.join(F.broadcast(windows) if small else windows, "h").select("_rid", name, "m", (F.col("k") * stride - F.col("at")).alias("offset")).distinct()
+
+
+def _runs_of(z: Column, equal, need: Column) -> Column:
+    """(end, run) of every run of at least ``need`` equal elements of the array ``z``."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("cur"), F.array().cast("array<struct<end:int,run:int>>").alias("runs"))
+
+    def ended(s: Column) -> Column:
+        """The runs so far, with the one that ends here if it is long enough."""
+        return F.when(s["cur"] >= need, F.concat(s["runs"], F.array(F.struct(s["at"].alias("end"), s["cur"].alias("run"))))).otherwise(s["runs"])
+
+    def step(s: Column, e: Column) -> Column:
+        return F.struct((s["at"] + 1).alias("at"), F.when(equal(e), s["cur"] + 1).otherwise(0).alias("cur"), F.when(equal(e), s["runs"]).otherwise(ended(s)).alias("runs"))
+
+    return F.aggregate(z, start, step, ended)
+
+
+def _case_blind(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(_rid, doc_id, item_id, b): rows of (text, plain hits) that hold a run of an item's words in any letter case."""
+    words = texts.where("size(plain) > 0").select("_rid", "doc_id", "plain", F.explode(F.array(plain_tokens(F.col("text")))).alias("dw"))
+    hit = words.select("_rid", "doc_id", "dw", F.explode("plain").alias("hit"))
+    low = F.greatest(F.lit(0), F.col("hit.offset"))
+    part = hit.select("_rid", "doc_id", "hit.item_id", "hit.offset", F.slice("dw", low + 1, F.col("hit.m")).alias("dw")).join(items.select("item_id", "named", "words", "need"), "item_id")
+    against = F.slice("words", F.greatest(F.lit(0), -F.col("offset")) + 1, F.greatest(F.size("dw"), F.lit(1)))
+    zipped = part.withColumn("z", F.zip_with("dw", against, lambda d, i: F.coalesce(d == i, F.lit(False))))
+    runs = zipped.select("_rid", "doc_id", F.col("named").alias("item_id"), F.explode(_runs_of(F.col("z"), lambda e: e, F.col("need"))).alias("r"))
+    return runs.select("_rid", "doc_id", "item_id", F.struct(F.col("r.run").alias("run"), F.lit(True).alias("verbatim"), F.lit(0).alias("slots")).alias("b"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(_rid, doc_id, item_id, run, slots, verbatim): the rows of a stored table that hold a benchmark item."""
     rows = with_row_id(docs)
     forms = _item_forms(benchmark)
     variants = cut(_typed_items(forms))
     items = cut(benchmark_templates(variants))
-    shortest = items.agg(F.min("need")).first()[0] or RUN
-    size = min(SIZE, shortest)
-    stride = shortest - size + 1
-    windows = items.select("class", "m", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("m") - size + 1), lambda i: F.xxhash64(F.slice("tokens", i, size)))).alias("at", "h"))
-    windows = cut(windows)
-    small = windows.count() <= BROADCAST_WINDOWS
     # The tokens pass through a one-element array, and empty arrays are left to the join: so the regular
     # expressions are evaluated once a row and not again in filters that Spark would derive.
     tokens = rows.select("_rid", F.explode(F.array(template_tokens(F.col("text").cast("string")))).alias("tokens"))
-    starts = F.when(F.size("tokens") >= size, F.sequence(F.lit(1), F.size("tokens") - size + 1, F.lit(stride)))
-    strided = tokens.select("_rid", F.posexplode_outer(F.transform(starts, lambda i: F.xxhash64(F.slice("tokens", i, size)))).alias("k", "h"))
-    hits = strided.join(F.broadcast(windows) if small else windows, "h").select("_rid", "class", "m", (F.col("k") * stride - F.col("at")).alias("offset"))
-    hits = cut(hits.distinct())
+    words = rows.select("_rid", F.explode(F.array(plain_tokens(F.col("text").cast("string")))).alias("tokens"))
+    wordy = cut(_plain_items(forms, variants, items))
+    none = F.lit(None).cast("struct<item_id:bigint,m:int,offset:int>")
+    by_template = _lined_up(tokens, items, "tokens", "class").select("_rid", F.struct("class", "m", "offset").alias("hit"), none.alias("plain"))
+    by_words = _lined_up(words, wordy, "words", "item_id").select("_rid", F.lit(None).cast("struct<class:bigint,m:int,offset:int>").alias("hit"), F.struct("item_id", "m", "offset").alias("plain"))
     # Always one shuffle of the texts: whether the hits could be broadcast depends on the corpus.
-    grouped = hits.groupBy("_rid").agg(F.collect_set(F.struct("class", "m", "offset")).alias("hits"))
+    grouped = cut(by_template.union(by_words)).groupBy("_rid").agg(F.collect_set("hit").alias("hits"), F.collect_set("plain").alias("plain"))
     texts = rows.select("_rid", F.col("doc_id"), F.col("text").cast("string").alias("text")).join(grouped.hint("merge"), "_rid")
-    seen = texts.select("_rid", "doc_id", "hits", F.explode(F.array(valued_tokens(F.col("text")))).alias("dv"))
+    seen = texts.where("size(hits) > 0").select("_rid", "doc_id", "hits", F.explode(F.array(valued_tokens(F.col("text")))).alias("dv"))
     # Only the stretch of the document that lies against the item goes on.
     low = F.greatest(F.lit(0), F.col("hit.offset"))
     pairs = seen.select("_rid", "doc_id", "dv", F.explode("hits").alias("hit")).select("_rid", "doc_id", "hit.class", "hit.offset", F.slice("dv", low + 1, F.col("hit.m")).alias("dv"))
@@ -166,17 +217,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     part = pairs.join(wanted, "class").withColumn("first", F.greatest(F.lit(0), F.col("offset")) - F.col("offset"))
     part = part.select("_rid", "doc_id", "item_id", "class", "need", "first", "dv", F.slice("iv", F.col("first") + 1, F.col("m")).alias("iv"))
     zipped = part.withColumn("z", F.zip_with("dv", "iv", lambda d, i: F.struct(d.alias("d"), i.alias("i"), F.coalesce(_kind(d) == _kind(i), F.lit(False)).alias("eq"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("cur"), F.array().cast("array<struct<end:int,run:int>>").alias("runs"))
-    need = F.col("need")
-
-    def ended(s: Column) -> Column:
-        """The runs so far, with the one that ends here if it is long enough."""
-        return F.when(s["cur"] >= need, F.concat(s["runs"], F.array(F.struct(s["at"].alias("end"), s["cur"].alias("run"))))).otherwise(s["runs"])
-
-    def step(s: Column, z: Column) -> Column:
-        return F.struct((s["at"] + 1).alias("at"), F.when(z["eq"], s["cur"] + 1).otherwise(0).alias("cur"), F.when(z["eq"], s["runs"]).otherwise(ended(s)).alias("runs"))
-
-    runs = zipped.withColumn("r", F.explode(F.aggregate("z", start, step, ended)))
+    runs = zipped.withColumn("r", F.explode(_runs_of(F.col("z"), lambda e: e["eq"], F.col("need"))))
     stretch = runs.select("_rid", "doc_id", "item_id", "class", (F.col("first") + F.col("r.end") - F.col("r.run")).alias("first"), F.col("r.run").alias("run"), F.slice("z", F.col("r.end") - F.col("r.run") + 1, F.col("r.run")).alias("z"))
     slots = F.filter("z", lambda z: F.substring(z["i"], 1, 1).isin(NUMBER, NAME, UNIT))
     held = stretch.withColumn("slots", slots).where((F.col("run") - F.size("slots")) >= LITERALS)
@@ -188,6 +229,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     torn = held.where("NOT consistent").select("_rid", "doc_id", "item_id", "class", "first", F.transform("z", lambda z: z["d"]).alias("values"))
     stretches = _stretches(torn, F.col("first")).join(_stretches(variants, F.lit(0)).select("class", "at", "h").distinct().hint("merge"), ["class", "at", "h"])
     best = best.union(stretches.select("_rid", "doc_id", "item_id", F.struct(F.lit(RUN).alias("run"), F.lit(True).alias("verbatim"), (RUN - F.col("literals")).alias("slots")).alias("b")))
+    best = best.union(_case_blind(texts, wordy))
     few = cut(_exact_items(forms))
     if not few.isEmpty():
         best = best.union(_exact_matches(rows, few))
@@ -196,5 +238,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
+    docs = with_row_id(docs)
     found = cut(contaminated(docs, benchmark).select("_rid").distinct())
-    return with_row_id(docs).join(found.hint("merge"), "_rid", "left_anti").drop("_rid")
+    return docs.join(found.hint("merge"), "_rid", "left_anti").drop("_rid")

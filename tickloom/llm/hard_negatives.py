@@ -203,7 +203,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, positives: int = 5, ne
 
     def best(anchors: DataFrame, k: int) -> DataFrame:
         sent = _anchor_blocks(anchors).withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
-        found = sent.join(candidates, "cell").drop("cell").mapInArrow(_mine(fields, k), "anchor_id long, place long, vec_id long, score long")
+        found = sent.join(candidates.hint("merge"), "cell").drop("cell").mapInArrow(_mine(fields, k), "anchor_id long, place long, vec_id long, score long")
         rank = F.row_number().over(Window.partitionBy("anchor_id", "place").orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -137,14 +137,16 @@ def score_texts(texts: pa.Array, model: LanguageModel) -> tuple[list[str], np.nd
 
 def language_column(model: LanguageModel, df: DataFrame, text: str = "text") -> Column:
     """Struct (lang_pred, score) of each row's text."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    # Plain lists and arrays: broadcasts are unpickled where this package may not be installed.
+    shared = df.sparkSession.sparkContext.broadcast((list(map(str, model.languages)), model.logp, model.prior))
 
     @F.arrow_udf("lang_pred string, score double")
     def predict(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = LanguageModel(*shared.value)
         for column in columns:
             names, scores = [], [np.zeros(0)]
             for block in blocks(iter([pa.RecordBatch.from_arrays([column], ["text"])])):
-                got, score = score_texts(block.column("text"), shared.value)
+                got, score = score_texts(block.column("text"), model)
                 names += got
                 scores.append(score)
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores))], ["lang_pred", "score"])

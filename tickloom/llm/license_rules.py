@@ -157,14 +157,14 @@ mpl-2.0 | mozilla | this source code form is subject to the terms of the mozilla
 mpl-1.1 | mozilla | the contents of this file are subject to the mozilla public license version 1 1
 epl-1.0 | eclipse | this program and the accompanying materials are made available under the terms of the eclipse public license v1 0
 epl-2.0 | eclipse | this program and the accompanying materials are made available under the terms of the eclipse public license (?:v )?2 0
-cddl | cddl | the contents of this file are subject to the terms of the common development and distribution license(?: cddl)?
+cddl | distribution | the contents of this file are subject to the terms of the common development and distribution license(?: cddl)?
 bsl-1.0 | boost | distributed under the boost software license version 1 0
 bsl-1.0 | permission | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
 zlib | altered | altered source versions must be plainly marked as such and must not be misrepresented as being the original software
 zlib | origin | the origin of this software must not be misrepresented you must not claim that you wrote the original software
 unlicense | unencumbered | this is free and unencumbered software released into the public domain
 wtfpl | fuck | you just do what the fuck you want to
-beerware | beer | as long as you retain this notice you can do whatever you want with this stuff
+beerware | retain | as long as you retain this notice you can do whatever you want with this stuff
 ofl-1.1 | font | this font software is licensed under the sil open font license version 1 1
 python-2.0 | psf | psf is making python available to licensee on an as is basis
 openssl | openssl | this product includes software developed by the openssl project for use in the openssl toolkit
@@ -180,7 +180,7 @@ public-domain | domain | (?:this (?:work|file|text|software|image|document) (?:i
 public-domain | domain | no (?:known )?copyright restrictions public domain
 all-rights-reserved | reserved | copyright (?:c )?(?:[^ ]+ ){1,8}all rights reserved
 proprietary | confidential | proprietary and confidential unauthorized copying
-proprietary | proprietary | this (?:software|program|material|document) (?:is|contains) (?:the )?(?:proprietary|confidential)(?: and (?:proprietary|confidential))?(?: information)?
+proprietary | proprietary confidential | this (?:software|program|material|document) (?:is|contains) (?:the )?(?:proprietary|confidential)(?: and (?:proprietary|confidential))?(?: information)?
 proprietary | permission | may not be (?:reproduced|copied|distributed|republished|redistributed) without (?:the )?(?:prior |express |prior written |express written |written )?permission
 """
 
@@ -198,7 +198,7 @@ mpl | mozilla mpl | (?:mozilla public licen[cs]e|mpl)
 epl | eclipse | eclipse public licen[cs]e
 edl | eclipse | eclipse distribution licen[cs]e
 eupl | eupl european | (?:european union public licen[cs]e|eupl)
-cddl | cddl | (?:common development and distribution licen[cs]e )?cddl
+cddl | cddl development | (?:common development and distribution licen[cs]e(?: cddl)?|cddl)
 cpl | public | common public licen[cs]e
 bsd | bsd | bsd(?: style)? licen[cs]e[ds]?
 mit | mit | mit licen[cs]e[ds]

@@ -72,7 +72,11 @@ _SENT = "range long, block long, body binary"
 
 
 def _send(width: int, bits: int):
-    """Per block of texts: a message for each hash range, and one (range -1) about the texts themselves."""
+    """Per block of texts: a message for each hash range, and one (range -1) about the texts themselves.
+
+    A shingle that several texts of the block hold is sent once, with their number; the block's own message says
+    which of its entries follow which other one.  So a very common shingle is one entry a block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
@@ -83,42 +87,52 @@ def _send(width: int, bits: int):
             # Only the first of equal sets in the block speaks for them.
             first = ~pd.DataFrame({"n": size, "a": d1, "b": d2}).duplicated().to_numpy() & (size > 0)
             about = [rid, size, d1, d2, first, ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)]
-            ranges, bodies = [-1], [np.stack([np.asarray(x, np.int64) for x in about])]
-            doc = (keys >> np.uint64(48)).astype(np.int64)
-            keep = first[doc]
-            doc, keys = doc[keep], keys[keep]
+            keys = keys[first[(keys >> np.uint64(48)).astype(np.int64)]]
             token = keys & np.uint64((1 << 48) - 1)
-            part = (token >> np.uint64(48 - bits)).astype(np.int64)
-            order = np.argsort(part.astype(np.uint16) if bits <= 16 else part, kind="stable")
-            doc, part = doc[order], part[order]
-            low = ((token[order] << np.uint64(bits) >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            order = np.argsort(token, kind="stable")
+            ordered = token[order]
+            lead = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, bool)
+            starts = np.flatnonzero(lead)
+            copies = np.diff(np.append(starts, len(ordered)))
+            followers, leaders = order[~lead], np.repeat(order[starts], copies - 1)
+            doc = (keys[order[starts]] >> np.uint64(48)).astype(np.uint16)
+            head = np.array([len(size), len(doc), len(followers)], np.uint32).tobytes()
+            own = head + np.stack([np.asarray(x, np.int64) for x in about]).tobytes() + doc.tobytes() + followers.astype(np.uint32).tobytes() + leaders.astype(np.uint32).tobytes()
+            ranges, bodies = [-1], [own]
+            part = (ordered[starts] >> np.uint64(48 - bits)).astype(np.int64)
+            low = ((ordered[starts] << np.uint64(bits) >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             cut_at = np.flatnonzero(np.diff(part)) + 1
             for lo, hi in zip([0, *cut_at], [*cut_at, len(part)], strict=True):
                 if hi > lo:
+                    several = np.flatnonzero(copies[lo:hi] > 1)
                     ranges.append(int(part[lo]))
-                    bodies.append(np.concatenate([np.bincount(doc[lo:hi], minlength=len(size)).astype(np.uint32), low[lo:hi]]))
-            body = pa.array([len(size).to_bytes(4, "little") + b.tobytes() for b in bodies], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int64()), pa.array([int(rid[0])] * len(ranges), pa.int64()), body], ["range", "block", "body"])
+                    bodies.append(np.concatenate([[hi - lo], low[lo:hi], several, copies[lo:hi][several] - 1]).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int64()), pa.array([int(rid[0])] * len(ranges), pa.int64()), pa.array(bodies, pa.binary())], ["range", "block", "body"])
 
     return run
 
 
 def _count(table: pa.Table) -> pa.Table:
     """One hash range: answer every message with each shingle's level, 0 if no other set has it."""
-    bodies = table.column("body").to_pylist()
     if table.num_rows == 0 or table.column("range")[0].as_py() < 0:
         return table
-    heads = [int.from_bytes(b[:4], "little") for b in bodies]
-    tokens = [np.frombuffer(b, np.uint32, offset=4 + 4 * h) for b, h in zip(bodies, heads, strict=True)]
+    tokens, weights = [], []
+    for body in table.column("body").to_pylist():
+        words = np.frombuffer(body, np.uint32)
+        n, more = int(words[0]), (len(words) - 1 - int(words[0])) // 2
+        weight = np.ones(n, np.int64)
+        weight[words[1 + n : 1 + n + more]] += words[1 + n + more :]
+        tokens.append(words[1 : 1 + n])
+        weights.append(weight)
     flat = np.concatenate(tokens)
     order = np.argsort(flat, kind="stable")
     ordered = flat[order]
     edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    df = np.diff(np.append(edge, len(flat)))
+    df = np.add.reduceat(np.concatenate(weights)[order], edge)
     level = np.empty(len(flat), np.uint8)
-    level[order] = np.repeat(np.log2(df).astype(np.uint8), df)
+    level[order] = np.repeat(np.log2(df).astype(np.uint8), np.diff(np.append(edge, len(flat))))
     ends = np.cumsum([len(t) for t in tokens])
-    out = [b[: 4 + 4 * h] + level[e - len(t) : e].tobytes() for b, h, t, e in zip(bodies, heads, tokens, ends, strict=True)]
+    out = [level[e - len(t) : e].tobytes() for t, e in zip(tokens, ends, strict=True)]
     return table.set_column(table.schema.get_field_index("body"), "body", pa.array(out, pa.binary()))
 
 
@@ -128,17 +142,25 @@ _PROFILE = "_rid long, doc_id long, n long, d1 long, d2 long, levels binary"
 def _profile(table: pa.Table) -> pa.Table:
     """One block of texts: sizes and digests, and the levels of sets that can link at all."""
     rows = sorted(zip(table.column("range").to_pylist(), table.column("body").to_pylist(), strict=True), key=lambda r: r[0])
-    head = int.from_bytes(rows[0][1][:4], "little")
-    rid, n, d1, d2, first, valid, ids = np.frombuffer(rows[0][1], np.int64, offset=4).reshape(7, head)
+    own = rows[0][1]
+    head, sent, after = (int(x) for x in np.frombuffer(own, np.uint32, 3))
+    at = 12 + 56 * head
+    rid, n, d1, d2, first, valid, ids = np.frombuffer(own, np.int64, 7 * head, 12).reshape(7, head)
+    doc = np.frombuffer(own, np.uint16, sent, at)
+    followers, leaders = np.frombuffer(own, np.uint32, 2 * after, at + 2 * sent).reshape(2, after)
+    size = np.where(first == 1, n, 0)
+    edge = np.concatenate([[0], np.cumsum(size)])
+    # Answers come in the order of the hashes; entries are wanted text by text.
+    level = np.zeros(edge[-1], np.uint8)
+    sending = np.ones(edge[-1], bool)
+    sending[followers] = False
+    answers = np.frombuffer(b"".join(b for _, b in rows[1:]), np.uint8)
+    level[sending] = answers[np.argsort(doc, kind="stable")]
+    level[followers] = level[leaders]
+    shared = np.bincount(np.repeat(np.arange(head), size)[level > 0], minlength=head)
     levels: list[bytes | None] = [None] * head
-    if len(rows) > 1:
-        held = np.stack([np.frombuffer(b, np.uint32, count=head, offset=4) for _, b in rows[1:]]).astype(np.int64)
-        level = np.concatenate([np.frombuffer(b, np.uint8, offset=4 + 4 * head) for _, b in rows[1:]])
-        doc = np.concatenate([np.repeat(np.arange(head), h) for h in held])
-        level, shared = level[np.argsort(doc, kind="stable")], np.bincount(doc[level > 0], minlength=head)
-        edge = np.concatenate([[0], np.cumsum(held.sum(axis=0))])
-        for i in np.flatnonzero((first == 1) & (n > 0) & (DEN * shared >= NUM * n)):
-            levels[i] = level[edge[i] : edge[i + 1]].tobytes()
+    for i in np.flatnonzero((size > 0) & (DEN * shared >= NUM * n)):
+        levels[i] = level[edge[i] : edge[i + 1]].tobytes()
     doc_id = pa.array([int(v) if ok else None for v, ok in zip(ids, valid, strict=True)], pa.int64())
     return pa.table([pa.array(rid), doc_id, pa.array(n), pa.array(d1), pa.array(d2), pa.array(levels, pa.binary())], ["_rid", "doc_id", "n", "d1", "d2", "levels"])
 
@@ -146,7 +168,7 @@ def _profile(table: pa.Table) -> pa.Table:
 def profiles(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     """Per row of (_rid, doc_id, text): set size n, digests d1 and d2, and levels (null: can't link)."""
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(16, max(4, int(total / 6 / RANGE_TOKENS).bit_length()))
+    bits = min(32, max(4, int(total / 6 / RANGE_TOKENS).bit_length()))  # the rest of a shingle's 48 bits is sent
     sent = rows.select("_rid", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_send(width, bits), _SENT)
     # Messages about the texts are dealt by block; the others are dealt by range.
     group = F.when(F.col("range") < 0, -1 - F.pmod(F.xxhash64("block"), F.lit(1 << bits))).otherwise(F.col("range"))
@@ -380,5 +402,6 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, most: int = BLOCK_SETS
 
 def keep_one_per_component(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row of each component, with the columns of ``docs``."""
+    docs = with_row_id(docs)
     kept = ngram_components(docs, width).where("keep").select("_rid")
-    return with_row_id(docs).join(kept.hint("merge"), "_rid", "left_semi").drop("_rid")
+    return docs.join(kept.hint("merge"), "_rid", "left_semi").drop("_rid")

@@ -129,7 +129,7 @@ WITH l AS (
   SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS no, unnest(string_split(text, chr(10))) AS line FROM documents
 ), w AS (SELECT doc_id, no, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM l),
 s AS (
-  SELECT doc_id, no, list_sort(list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])) AS s FROM w WHERE len(w) >= 5
+  SELECT doc_id, no, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])) END AS s FROM w WHERE len(w) > 0
 ), d AS (SELECT s, min((doc_id, no)) AS f, row_number() OVER () AS id FROM s GROUP BY s),
 t AS (SELECT id, f, len(s) AS n, unnest(s) AS x FROM d),
 p AS (

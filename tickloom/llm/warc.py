@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.slices import keyed_join
 from tickloom.session import checkpoint_dir, cut
+from tickloom.sources.files import dealt
 
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 32 << 20
@@ -207,7 +208,7 @@ RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_byt
 
 
 def read_archives(files: DataFrame, folder: str, payloads: bool = True, block: int = BLOCK) -> DataFrame:
-    """One row a record of the archives named by ``files`` (path); each file is read front to back."""
+    """One row a record of the archives named by ``files`` (path); each file is read front to back, in a task of its own as long as they are few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = _store(folder)
@@ -226,7 +227,7 @@ def read_archives(files: DataFrame, folder: str, payloads: bool = True, block: i
             yield pa.RecordBatch.from_pylist(rows, RECORD)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    return files.select("path").repartition(F.col("path")).mapInArrow(run, schema)
+    return dealt(files.select("path")).mapInArrow(run, schema)
 
 
 def archive_folder(spark) -> str:

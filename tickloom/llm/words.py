@@ -6,15 +6,21 @@ no text is cut.  Words and runs of words are named by 64-bit hashes of their byt
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.session import cut
+
 BLOCK_BYTES = 1 << 20  # of text handled at once; one longer text is a block of its own
+BLOCK_ROWS = 1 << 15  # of a block: places of texts are packed in 16 bits
+ROW_BITS = 40  # of a row id; the rest numbers files
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -24,12 +30,35 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def with_row_id(docs: DataFrame, name: str = "_rid") -> DataFrame:
-    """Number the rows of a stored table.
+    """Number the rows of a stored table by file and place in the file; a table that has ``name`` stays as it is.
 
-    doc_id may be null or repeated, so rows are told apart by their place in the scan.  A task that is run
-    again numbers its rows as before, because a scan's splits do not change.
+    doc_id may be null or repeated, so rows are told apart by where they stand.  Files count in the order of their
+    paths, and a row's place in its Parquet file depends on nothing else: not on how a scan is cut into tasks, which
+    moves with the cluster's parallelism, nor on reruns.  So rows of one scan can be joined with those of a later
+    one.  A table that isn't a scan of Parquet files is written to the shared folder first; call this once for it.
+    The list of files, which the driver makes for every scan, is the only thing broadcast.
     """
-    return docs.withColumn(name, F.monotonically_increasing_id())
+    if name in docs.columns:
+        return docs
+    placed = _placed(docs)
+    if placed is None:
+        placed = _placed(cut(docs))
+    files = sorted({url for url in placed.inputFiles()})
+    if len(files) >= 1 << (63 - ROW_BITS):
+        raise ValueError(f"{len(files)} files; row ids have room for {1 << (63 - ROW_BITS)}")
+    listed = docs.sparkSession.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(files)), "array<string>")).alias("_number", "_url"))
+    # Paths are compared as they are listed: with their special characters encoded.
+    number = listed.select("_url", F.shiftleft(F.col("_number").cast("long"), ROW_BITS).alias("_start"))
+    joined = placed.join(F.broadcast(number), "_url")
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), (F.col("_start") + F.col("_at")).alias(name))
+
+
+def _placed(docs: DataFrame) -> DataFrame | None:
+    """``docs`` with the file and the place of each row; None where Spark doesn't know them."""
+    try:
+        return docs.select("*", F.input_file_name().alias("_url"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        return None
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -111,13 +140,14 @@ def words_of(texts: pa.Array, fold: bool = False) -> Words:
     return Words(data, start, end, doc, first, run_hashes(data, start, end, _BYTE_BASE))
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of bounded text size."""
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BLOCK_BYTES, rows: int = BLOCK_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of bounded text size and number."""
     for batch in batches:
         _, off = text_bytes(batch.column(column))
         at = 0
         while at < batch.num_rows:
             upto = max(at + 1, int(np.searchsorted(off, off[at] + most, side="right")) - 1)
+            upto = min(upto, at + rows)
             yield batch.slice(at, upto - at)
             at = upto
 
