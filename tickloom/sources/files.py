@@ -20,9 +20,8 @@ def dealt(files: DataFrame, most: int = MAX_TASKS) -> DataFrame:
     Names are short, so Spark would merge partitions by their size and let one task read everything.  The
     number of partitions is given here, and the names are dealt one by one from a single list.
     """
-    # The number keeps Spark from merging both steps into one that deals from many lists.
     listed = files.coalesce(1).withColumn("_n", F.monotonically_increasing_id())
-    return listed.repartition(max(1, min(files.count(), most))).drop("_n")
+    return listed.repartitionByRange(max(1, min(files.count(), most)), "_n").drop("_n")
 
 
 def read_blocks(path: str, size: int = BLOCK) -> Iterator[bytes]:
