@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from tickloom.catalog.streams import drain, landed
 from tickloom.sources.venues import depth_updates
 from tickloom.streaming import live
-from tickloom.streaming.stateful import Composite, FlowWindow, Sampler, SequencedBook, VenueBook
+from tickloom.operators.venue_book import venue_books
+from tickloom.streaming.ladder import SIDES, Ladder
+from tickloom.streaming.stateful import Composite, FlowWindow, Sampler, SequencedBook
 
 
 def in_pieces(make, rows, cuts):
@@ -116,12 +118,30 @@ def level(p, q):
 
 
 def venue_rows(rows):
-    return pd.DataFrame(rows, columns=["receive_ts_ms", "sequence", "part", "kind", "bids", "asks"]).assign(checksum=None)
+    return pd.DataFrame(rows, columns=["receive_ts_ms", "sequence", "part", "kind", "bids", "asks"]).assign(checksum=None, line=0)
+
+
+def ladder_in_pieces(make, rows, cuts):
+    """Feed piece by piece; between pieces only what changed is stored, level by level."""
+    out, stored, at, ready = [], {s: {} for s in SIDES}, None, False
+    for a, z in zip([0, *cuts], [*cuts, len(rows)]):
+        if a == z:
+            continue
+        book = make()
+        book.load(at, ready, {s: [(p, *level) for p, level in levels.items()] for s, levels in stored.items()})
+        out.append(book.feed(rows.iloc[a:z].reset_index(drop=True)))
+        at, ready = book.at, book.ready
+        for side in SIDES:
+            gone, put = book.changes(side)
+            for price in gone:
+                del stored[side][price]
+            stored[side] |= {p: (text, qty) for p, text, qty in put}
+    return pd.concat([o for o in out if len(o)], ignore_index=True)
 
 
 def test_venue_book_prices_are_values():
     rows = venue_rows([(1, None, 0, "snapshot", [level("100.5", "1"), level("99", "1")], [level("101", "2")]), (2, None, 0, "update", [level("100.50", "0")], [])])
-    got = in_pieces(VenueBook, rows, [1])
+    got = ladder_in_pieces(Ladder, rows, [1])
     assert [[b["price"] for b in g] for g in got.bids] == [["100.5", "99"], ["99"]]
 
 
@@ -131,7 +151,7 @@ def test_venue_book_sequence_over_parts_and_channels():
         (3, 9, 1, "update", [level("10.2", "7")], []), (4, 12, 0, "update", [level("1", "1")], []), (5, 13, 0, "update", [level("2", "1")], []),
     ])
     for cuts in ([], [1, 3, 4, 6]):
-        got = in_pieces(lambda: VenueBook(enforce_sequence=True), rows, cuts)
+        got = ladder_in_pieces(lambda: Ladder(enforce_sequence=True), rows, cuts)
         assert got.status.tolist() == ["book", "book", "book", "sequence_gap"]
         assert got.asks.iloc[2][0]["price"] == "10.5" and got.bids.iloc[2][0]["price"] == "10"
         assert (got.expected.iloc[3], got.received.iloc[3]) == (10, 12)
@@ -150,3 +170,49 @@ def test_grace_survives_later_batches(spark):
     stream = landed(df, "receive_ts_ms").withColumn("received", F.timestamp_millis("receive_ts_ms")).withWatermark("received", "1 second")
     got = {(r.ticker, r.reason) for r in drain(live.finalised_windows(stream, 60_000)).collect()}
     assert got == {("W1", "grace"), ("W2", "close_marker")}
+
+
+def looped_ladders(rows, depth):
+    """Plain statement of the bounded book: sort everything after every message."""
+    books, out = {}, []
+    for r in sorted(rows, key=lambda r: (r[2], r[3])):
+        venue, symbol, t, line, kind, bids, asks = r
+        if kind == "snapshot":
+            books[venue, symbol] = ({}, {})
+        if (venue, symbol) not in books:
+            continue
+        sides = books[venue, symbol]
+        for side, levels in zip(sides, (bids, asks)):
+            for l in levels:
+                side.pop(float(l["price"]), None)
+                if float(l["qty"]) > 0:
+                    side[float(l["price"])] = float(l["qty"])
+        bid, ask = dict(sorted(sides[0].items(), reverse=True)[:depth]), dict(sorted(sides[1].items())[:depth])
+        books[venue, symbol] = (bid, ask)
+        if bid and ask and max(bid) < min(ask):
+            out.append((symbol, line, tuple(bid.items()), tuple(ask.items())))
+    return sorted(out)
+
+
+def test_bounded_books_in_batch_and_stream(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(500):
+        deep = r.random() < 0.05
+        lv = lambda lo: [level(f"{lo + r.randrange(30)}.{r.choice(['5', '50'])}", str(r.choice([0, 1, 2.5, 7]))) for _ in range(12 if deep else r.randrange(3))]
+        rows.append(("v", r.choice("xyz"), i // 2, i, "snapshot" if deep else "update", lv(60), lv(92)))
+    schema = "venue string, symbol string, receive_ts_ms long, line long, kind string, bids array<struct<price:string,qty:string>>, asks array<struct<price:string,qty:string>>"
+    updates = spark.createDataFrame(rows, schema).withColumns({"part": F.lit(0), "sequence": F.lit(None).cast("long"), "checksum": F.lit(None).cast("long")})
+    want = looped_ladders(rows, 4)
+    for found in (venue_books(updates, 4, truncate=True, width_ms=20), venue_books(updates, 4, truncate=True, width_ms=10_000), drain(live.venue_book_stream(landed(updates, "receive_ts_ms"), 4, truncate=True))):
+        got = sorted((b.symbol, b.line, *(tuple((float(l.price), float(l.qty)) for l in side) for side in (b.bids, b.asks))) for b in found.collect())
+        assert got == want and len(want) > 100
+
+
+def test_idle_books_are_forgotten(spark):
+    one = [level("1", "1")], [level("2", "1")]
+    rows = [("v", "x", 1_000, 1, "snapshot", *one), ("v", "y", 900_000, 2, "snapshot", *one), ("v", "y", 1_800_000, 3, "update", *one), ("v", "x", 2_000_000, 4, "update", *one), ("v", "y", 2_000_000, 5, "update", *one)]
+    schema = "venue string, symbol string, receive_ts_ms long, line long, kind string, bids array<struct<price:string,qty:string>>, asks array<struct<price:string,qty:string>>"
+    updates = spark.createDataFrame(rows, schema).withColumns({"part": F.lit(0), "sequence": F.lit(None).cast("long"), "checksum": F.lit(None).cast("long"), "received": F.timestamp_millis("receive_ts_ms")})
+    stream = landed(updates, "receive_ts_ms").withWatermark("received", "1 second")
+    assert sorted(b.line for b in drain(live.venue_book_stream(stream, idle_ms=1_000_000)).collect()) == [1, 2, 3, 5]

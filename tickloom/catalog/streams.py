@@ -7,10 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.catalog.base import DAY, EVENTS_SQL, HOUR, events, query, table
+from tickloom.catalog.base import DAY, EVENTS_SQL, HOUR, events, query, rounded, table
 from tickloom.catalog.market import _BEST_SQL
 from tickloom.catalog.ordered import SAMPLE_SQL, SIGNED_SQL, signed
 from tickloom.catalog.recording import derived_events
+from tickloom.operators.linear import LinearModel
+from tickloom.operators.venue_book import venue_books
+from tickloom.plans.variants import ToxicityTax
 from tickloom.session import checkpoint_dir, cut
 from tickloom.sources import recordings as rec
 from tickloom.sources.venues import depth_updates, venue_trades
@@ -178,12 +181,113 @@ def venue_book_checksum(spark, sf_dir):
     return d.select("line", "venue", book_checksum(F.col("bids"), F.col("asks")).alias("crc"))
 
 
-@query("stream_venue_book")
+@query(
+    "stream_venue_book",
+    f"""WITH {EVENTS_SQL}, v AS (SELECT *, t // 1000 AS ms, event_type = 'view' OR k % 2 = 0 AS snap FROM e WHERE event_type IN ('view', 'click', 'error')),
+    p AS (SELECT *, count(*) FILTER (snap) OVER (PARTITION BY event_type ORDER BY ms, event_id) AS epoch FROM v), x AS (SELECT *, max(k) OVER w AS hi, min(k) OVER w AS lo FROM p WHERE epoch > 0 WINDOW w AS (PARTITION BY event_type, epoch ORDER BY ms, event_id))
+    SELECT CASE event_type WHEN 'view' THEN 'binance' WHEN 'click' THEN 'kraken' ELSE 'coinbase' END AS venue, CASE event_type WHEN 'click' THEN 'BTC/USD' ELSE 'BTC' END AS symbol, ms AS receive_ts_ms, 'book' AS status, 1 AS levels FROM x WHERE hi = lo""",
+)
 def stream_venue_book(spark, sf_dir):
     updates = landed(depth_updates(venue_messages(spark, sf_dir)).withColumn("symbol", F.coalesce("symbol", F.lit("BTC"))), "receive_ts_ms")
     return drain(live.venue_book_stream(updates, 10, truncate=True)).select("venue", "symbol", "receive_ts_ms", "status", F.size("bids").alias("levels"))
 
 
+LADDER_DEPTH = 6
+_LADDER_SQL = f"""WITH RECURSIVE {EVENTS_SQL}, u AS (SELECT user_id % 7 AS s, event_id, event_id % 61 = 0 AS snap, CAST(100 - k AS DOUBLE) AS bp, CAST(CASE WHEN event_id % 5 = 0 THEN 0 ELSE 1 + k % 4 END AS DOUBLE) AS bq,
+      CAST(101 + k % 37 AS DOUBLE) AS ap, CAST(CASE WHEN event_id % 7 = 0 THEN 0 ELSE 1 + k % 3 END AS DOUBLE) AS aq, row_number() OVER (PARTITION BY user_id % 7 ORDER BY t // 1000, event_id) AS i FROM e WHERE event_type IN ('view', 'click', 'error')),
+    b AS (SELECT 0::BIGINT AS i, s, -1::BIGINT AS event_id, false AS ready, []::STRUCT(p DOUBLE, q DOUBLE)[] AS bids, []::STRUCT(p DOUBLE, q DOUBLE)[] AS asks FROM (SELECT DISTINCT s FROM u)
+      UNION ALL SELECT u.i, u.s, u.event_id, b.ready OR u.snap,
+        CASE WHEN b.ready OR u.snap THEN list_slice(list_reverse_sort(list_concat(list_filter(CASE WHEN u.snap THEN [] ELSE b.bids END, lambda x: x.p <> u.bp), CASE WHEN u.bq > 0 THEN [{{'p': u.bp, 'q': u.bq}}] ELSE [] END)), 1, {LADDER_DEPTH}) ELSE [] END,
+        CASE WHEN b.ready OR u.snap THEN list_slice(list_sort(list_concat(list_filter(CASE WHEN u.snap THEN [] ELSE b.asks END, lambda x: x.p <> u.ap), CASE WHEN u.aq > 0 THEN [{{'p': u.ap, 'q': u.aq}}] ELSE [] END)), 1, {LADDER_DEPTH}) ELSE [] END
+      FROM b JOIN u ON u.s = b.s AND u.i = b.i + 1)
+    SELECT 'S' || s AS symbol, event_id AS line, CAST(len(bids) AS INTEGER) AS bid_levels, CAST(len(asks) AS INTEGER) AS ask_levels, bids[1].p AS bid, asks[1].p AS ask, list_sum([x.p * x.q FOR x IN bids]) AS bid_value,
+      list_sum([x.p * x.q FOR x IN asks]) AS ask_value FROM b WHERE ready AND len(bids) > 0 AND len(asks) > 0 AND bids[1].p < asks[1].p"""
+
+
+def ladder_updates(spark, sf_dir) -> DataFrame:
+    """Updates of one level a side, some of which take it away; every 61st event is a snapshot."""
+    e = events(spark, sf_dir).filter(F.col("event_type").isin("view", "click", "error"))
+    k, n = F.col("k"), F.col("event_id")
+    level = lambda p, q: F.array(F.struct(p.cast("string").alias("price"), q.cast("string").alias("qty")))
+    return e.select(
+        F.lit("venue").alias("venue"), F.concat(F.lit("S"), F.col("user_id") % 7).alias("symbol"), F.floor(F.col("t") / 1000).cast("long").alias("receive_ts_ms"), n.alias("line"), F.lit(0).alias("part"),
+        F.when(n % 61 == 0, "snapshot").otherwise("update").alias("kind"), F.lit(None).cast("long").alias("sequence"), F.lit(None).cast("long").alias("checksum"),
+        level(100 - k, F.when(n % 5 == 0, 0).otherwise(1 + k % 4)).alias("bids"), level(101 + k % 37, F.when(n % 7 == 0, 0).otherwise(1 + k % 3)).alias("asks"),
+    )
+
+
+def _ladder_rows(books: DataFrame) -> DataFrame:
+    value = lambda side: F.aggregate(side, F.lit(0.0), lambda s, x: s + x["price"].cast("double") * x["qty"].cast("double"))
+    best = lambda side: F.get(side, F.lit(0))["price"].cast("double")
+    return books.select("symbol", "line", F.size("bids").alias("bid_levels"), F.size("asks").alias("ask_levels"), best("bids").alias("bid"), best("asks").alias("ask"), value("bids").alias("bid_value"), value("asks").alias("ask_value"))
+
+
+@query("venue_ladder", _LADDER_SQL)
+def venue_ladder(spark, sf_dir):
+    """Books that forget levels beyond six, in batch."""
+    return _ladder_rows(venue_books(ladder_updates(spark, sf_dir), LADDER_DEPTH, truncate=True, width_ms=5 * DAY // 1000))
+
+
+@query("stream_venue_ladder", _LADDER_SQL)
+def stream_venue_ladder(spark, sf_dir):
+    """The same books as a stream over several micro-batches."""
+    return _ladder_rows(drain(live.venue_book_stream(landed(ladder_updates(spark, sf_dir), "receive_ts_ms"), LADDER_DEPTH, truncate=True)))
+
+
+SILENCE_MS, LATE_MS = DAY // 1000, 60_000
+
+
+@query(
+    "stream_silence_alerts",
+    f"""WITH {EVENTS_SQL}, x AS (SELECT CAST(user_id AS VARCHAR) AS source, t // 1000 AS ms FROM e), n AS (SELECT *, lead(ms) OVER (PARTITION BY source ORDER BY ms) AS next, (SELECT max(ms) FROM x) - {LATE_MS} AS mark FROM x),
+    l AS (SELECT *, CASE WHEN CAST(source AS BIGINT) % 10 = 0 THEN {2 * SILENCE_MS} ELSE {SILENCE_MS} END AS limit_ms FROM n)
+    SELECT source, ms AS last_ts_ms, CAST(limit_ms AS BIGINT) AS limit_ms FROM l WHERE next - ms > limit_ms OR (next IS NULL AND ms + limit_ms <= mark)""",
+)
+def stream_silence_alerts(spark, sf_dir):
+    """Users of whom nothing is heard for a day, or two for every tenth."""
+    rows = event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("source"), F.floor(F.col("t") / 1000).cast("long").alias("receive_ts_ms"))
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").filter("user_id % 10 = 0").select(F.col("user_id").cast("string").alias("u")).distinct()
+    limits = {r["u"]: 2 * SILENCE_MS for r in users.collect()}
+    timed = rows.withColumn("received", F.timestamp_millis("receive_ts_ms")).withWatermark("received", f"{LATE_MS} milliseconds")
+    return drain(live.silence_alerts(timed, limits, SILENCE_MS))
+
+
+GATE = LinearModel("logistic", ("adv_flow_5s", "adv_own_depth_delta", "trades_5s", "adv_ext_imbalance"), (0.5, 0.0, 3.0, 0.0), (20.0, 30.0, 2.0, 1.0), (0.8, -0.6, 0.3, 9.0), 0.2, (0.0, 1e12), 10, {"base_rate": "0.4"})
+SPAN_MS, SHORT_MS, STEP_MS = 6 * HOUR // 1000, HOUR // 1000, DAY // 1000
+
+
+def _tax_sql(sign: str, own: str) -> str:
+    score = f"0.2 + 0.8 * ({sign}flow_5s - 0.5) / 20.0 - 0.6 * (-{own}) / 30.0 + 0.3 * (trades_5s - 3.0) / 2.0"
+    return f"round(greatest(0, 1 / (1 + exp(-least(30, greatest(-30, {score})))) - 0.4) / 0.6 * 0.02, 8) + 0.0"
+
+
+@query(
+    "stream_live_toxicity",
+    SAMPLE_SQL.replace("FROM e) a ASOF LEFT JOIN e b", "FROM d) a ASOF LEFT JOIN d b").replace(f", n AS (", ", d AS (SELECT * FROM e WHERE event_type <> 'purchase'), n AS (", 1).replace(
+        "SELECT user_id, event_id, t FROM walk",
+        f""", x AS (SELECT d.*, w.value AS was FROM d ASOF LEFT JOIN (SELECT e.user_id, e.t, e.value FROM walk JOIN e USING (event_id)) w ON d.user_id = w.user_id AND d.t > w.t),
+    f AS (SELECT x.event_id, x.user_id, x.value, x.was, coalesce(sum(CASE WHEN p.k % 2 = 0 THEN p.value ELSE -p.value END), 0) AS flow_5s, count(p.t) AS trades_5s,
+      coalesce(sum(CASE WHEN p.k % 2 = 0 THEN p.value ELSE -p.value END) FILTER (p.t // 1000 >= x.t // 1000 - {SHORT_MS}), 0) AS flow_1s
+      FROM x LEFT JOIN e p ON p.user_id = x.user_id AND p.event_type = 'purchase' AND p.t // 1000 >= x.t // 1000 - {SPAN_MS} AND p.t <= x.t GROUP BY ALL),
+    y AS (SELECT *, coalesce(value - was, 0) AS bid_size_delta, coalesce((100 - value) - (100 - was), 0) AS ask_size_delta FROM f)
+    SELECT event_id AS line, round(flow_5s, 6) + 0.0 AS flow_5s, round(flow_1s, 6) + 0.0 AS flow_1s, trades_5s, round(bid_size_delta, 6) + 0.0 AS bid_size_delta, round(ask_size_delta, 6) + 0.0 AS ask_size_delta,
+      {_tax_sql("-", "bid_size_delta")} AS bid_tax, {_tax_sql("", "ask_size_delta")} AS ask_tax FROM y""",
+    ),
+)
+def stream_live_toxicity(spark, sf_dir):
+    """Purchases are trades, all other events decisions; spans are hours here and size changes are sampled daily."""
+    e = event_stream(spark, sf_dir)
+    is_trade = F.col("event_type") == "purchase"
+    size = F.when(~is_trade, F.col("value"))
+    known = {name: F.lit(0.0) for name in ("imb_top1", "imb_top3", "microprice_minus_mid", "spread", "mid", "gbm_fair", "seconds_to_close")}
+    rows = e.select(
+        F.col("user_id").cast("string").alias("ticker"), F.floor(F.col("t") / 1000).cast("long").alias("ts_ms"), F.col("event_id").alias("line"),
+        F.when(is_trade, F.when(F.col("k") % 2 == 0, F.col("value")).otherwise(-F.col("value"))).alias("signed"), size.alias("bid_size"), (100 - size).alias("ask_size"),
+    )
+    fed = drain(live.toxicity_stream(live.live_features(rows, STEP_MS, SPAN_MS, SHORT_MS).withColumns(known), ToxicityTax((GATE,))))
+    return rounded(fed.select("line", "flow_5s", "flow_1s", "trades_5s", "bid_size_delta", "ask_size_delta", F.round("bid_tax", 8).alias("bid_tax"), F.round("ask_tax", 8).alias("ask_tax")), 8)
+
+
 _PRINTS_SQL = f"""{EVENTS_SQL}, p AS (SELECT 'S' || (event_id % 50) AS symbol, event_id AS line, event_id // 50 % 3 AS v, CASE WHEN event_type = 'purchase' THEN t // 1000 - 5 ELSE t // 1000 END AS ts_ms,
       CASE WHEN event_type = 'purchase' THEN value ELSE 100.625 + k END AS price FROM e WHERE event_type = 'purchase' OR (event_type = 'signup' AND k % 5 <> 0))"""
 _LATEST_SQL = ", ".join(

@@ -12,7 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tickloom.plans.variants import ToxicityTax
 from tickloom.schemas import ENVELOPE
 from tickloom.sources import recording_source
-from tickloom.streaming.stateful import Composite, FlowWindow, Sampler, SequencedBook, VenueBook, stateful
+from tickloom.streaming.stateful import Composite, FlowWindow, Sampler, SequencedBook, stateful
+from tickloom.streaming.timed import LiveFeatures, Silence, VenueBooks, with_state
 
 
 def envelope_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -77,19 +78,17 @@ def flow_grid(trades: DataFrame, span: str = "5 seconds", step: str = "250 milli
     )
 
 
-def venue_book_stream(updates: DataFrame, depth: int = 10, truncate: bool = False, enforce_sequence: bool = False, verify_checksum: bool = False) -> DataFrame:
-    """Books per venue and symbol from ``depth_updates``.
+def venue_book_stream(
+    updates: DataFrame, depth: int = 10, truncate: bool = False, enforce_sequence: bool = False, verify_checksum: bool = False, idle_ms: int | None = None
+) -> DataFrame:
+    """Books per venue and symbol from ``depth_updates``, of which the state store holds one entry a level.
 
     Sequences are checked within a key, so ``enforce_sequence`` is for connections
-    that carry one symbol; take ``depth_updates(..., all_channels=True)`` with it.
+    that carry one symbol; take ``depth_updates(..., all_channels=True)`` with it.  With ``idle_ms`` (and a watermark) a
+    book is forgotten when event time has passed its last message by so much.
     """
-    out = (
-        "venue string, symbol string, receive_ts_ms bigint, status string, bids array<struct<price:string,qty:string>>, "
-        "asks array<struct<price:string,qty:string>>, expected bigint, received bigint"
-    )
-    return stateful(
-        updates, ["venue", "symbol"], ["receive_ts_ms", "line", "part"], lambda: VenueBook(depth, truncate, enforce_sequence, verify_checksum), VenueBook.STATE, out
-    )
+    books = VenueBooks(depth, truncate, enforce_sequence, verify_checksum, idle_ms)
+    return with_state(updates, ["venue", "symbol"], books, VenueBooks.OUT, timed=idle_ms is not None)
 
 
 def composite_stream(prints: DataFrame, max_age_ms: int = 2_000) -> DataFrame:
@@ -99,22 +98,11 @@ def composite_stream(prints: DataFrame, max_age_ms: int = 2_000) -> DataFrame:
 
 
 def silence_alerts(stream: DataFrame, limits_ms: dict[str, int], default_ms: int = 300_000) -> DataFrame:
-    """One alert row per source each time nothing has come from it for its limit (processing time)."""
+    """One alert per source for each time that nothing has come from it for its limit, in event time.
 
-    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        limit = limits_ms.get(key[0], default_ms)
-        if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
-            yield pd.DataFrame({"source": [key[0]], "last_ts_ms": [last], "limit_ms": [limit]})
-            return
-        newest = max(int(b["receive_ts_ms"].max()) for b in batches)
-        state.update((max(newest, state.get[0]) if state.exists else newest,))
-        state.setTimeoutDuration(limit)
-
-    return stream.select("source", "receive_ts_ms").groupBy("source").applyInPandasWithState(
-        watch, "source string, last_ts_ms bigint, limit_ms bigint", "last_ts_ms long", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    Needs source, ``receive_ts_ms`` and a watermark on a column of the same time.
+    """
+    return with_state(stream, ["source"], Silence(limits_ms, default_ms), Silence.OUT)
 
 
 def finalised_windows(stream: DataFrame, grace_ms: int = 3_600_000) -> DataFrame:
@@ -154,8 +142,15 @@ def compact_on_final(finals: DataFrame, compact: Callable[[DataFrame], None], ch
     return finals.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
 
 
+def live_features(rows: DataFrame, sample_ms: int = 250, span_ms: int = 5_000, short_ms: int = 1_000) -> DataFrame:
+    """Flow and size changes at every decision of a stream of trades and decisions (see ``LiveFeatures``)."""
+    added = {"flow_5s": "double", "flow_1s": "double", "trades_5s": "bigint", "bid_size_delta": "double", "ask_size_delta": "double"}
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "signed"]
+    return with_state(rows, ["ticker"], LiveFeatures(sample_ms, span_ms, short_ms), ", ".join([*kept, *(f"{n} {t}" for n, t in added.items())]), timed=False)
+
+
 def toxicity_stream(samples: DataFrame, gate: ToxicityTax) -> DataFrame:
-    """Per-side toxicity tax on a stream of samples; venue features are unknown live and impute to the mean."""
+    """Per-side toxicity tax on a stream of decisions; venue features are unknown live and impute to the mean."""
     blind = samples.withColumn("ext_micro_lead_bps", F.lit(None).cast("double")).withColumn("ext_imbalance", F.lit(None).cast("double"))
     _, bid_tax, ask_tax = gate.columns(F.col("gbm_fair"))
     return blind.withColumn("bid_tax", bid_tax).withColumn("ask_tax", ask_tax)

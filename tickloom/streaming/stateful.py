@@ -9,9 +9,7 @@ Rows of one key must arrive in order from batch to batch.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator, Sequence
-from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -155,93 +153,6 @@ class SequencedBook:
         )
 
 
-class VenueBook:
-    """Outside book of one venue and symbol with absolute quantities.
-
-    Levels are keyed by the price's value; the venue's own text is kept for the
-    checksum.  Levels beyond ``depth`` are forgotten where the venue truncates.
-    Messages of any channel carry the sequence (kind ``other`` has no levels); a
-    message may come in several parts with one number.  A jump or a wrong
-    checksum empties the book until the next snapshot and is reported.
-    """
-
-    STATE = "sequence long, part long, ready boolean, bids array<struct<p:string,q:string>>, asks array<struct<p:string,q:string>>"
-
-    def __init__(self, depth: int = 10, truncate: bool = False, enforce_sequence: bool = False, verify_checksum: bool = False) -> None:
-        self.depth, self.truncate, self.enforce, self.verify = depth, truncate, enforce_sequence, verify_checksum
-        self.at: tuple[int, int] | None = None  # sequence and part of the last message taken
-        self.ready = False
-        self.books: dict[str, dict[Decimal, tuple[str, str]]] = {"bids": {}, "asks": {}}
-
-    def load(self, state: tuple) -> None:
-        self.at, self.ready = (None if state[0] is None else (state[0], state[1])), bool(state[2])
-        self.books = {s: {Decimal(p): (p, q) for p, q in levels} for s, levels in zip(("bids", "asks"), state[3:])}
-
-    def dump(self) -> tuple:
-        sequence, part = self.at or (None, None)
-        return (sequence, part, self.ready, list(self.books["bids"].values()), list(self.books["asks"].values()))
-
-    def best(self, side: str) -> list[tuple[str, str]]:
-        ranked = sorted(self.books[side], reverse=side == "bids")[: self.depth]
-        return [self.books[side][p] for p in ranked]
-
-    def checksum(self) -> int:
-        digits = "".join(v.replace(".", "").lstrip("0") or "0" for side in ("asks", "bids") for level in self.best(side)[:10] for v in level)
-        return zlib.crc32(digits.encode())
-
-    def _emptied(self, status: str, expected: int, received: int) -> dict:
-        self.books, self.ready = {"bids": {}, "asks": {}}, False
-        return {"status": status, "expected": expected, "received": received}
-
-    def _in_turn(self, sequence, part: int) -> dict | bool:
-        """True for a message that comes in turn, False for an old one, a report for one after a gap."""
-        if not self.enforce or pd.isna(sequence):
-            return True
-        here, last = (int(sequence), int(part)), self.at
-        if last and here <= last:
-            return False
-        self.at = here
-        if last and here[0] > last[0] + 1:
-            self.at = None
-            return self._emptied("sequence_gap", last[0] + 1, here[0])
-        return True
-
-    def _put(self, side: str, levels) -> None:
-        book = self.books[side]
-        for level in levels if levels is not None else ():
-            price = Decimal(str(level["price"]))
-            if price > 0:
-                book.pop(price, None)
-                if Decimal(str(level["qty"])) > 0:
-                    book[price] = (str(level["price"]), str(level["qty"]))
-        if self.truncate:
-            self.books[side] = {Decimal(p): (p, q) for p, q in self.best(side)}
-
-    def _answer(self, row) -> dict | None:
-        turn = self._in_turn(row.sequence, row.part)
-        if turn is not True:
-            return turn or None
-        if row.kind == "snapshot":
-            self.books, self.ready = {"bids": {}, "asks": {}}, True
-        if row.kind == "other" or not self.ready:
-            return None
-        for side in ("bids", "asks"):
-            self._put(side, getattr(row, side))
-        if self.verify and not pd.isna(row.checksum) and (mine := self.checksum()) != int(row.checksum):
-            return self._emptied("checksum_mismatch", int(row.checksum), mine)
-        bids, asks = self.best("bids"), self.best("asks")
-        if not bids or not asks or Decimal(bids[0][0]) >= Decimal(asks[0][0]):
-            return None
-        shown = {s: [{"price": p, "qty": q} for p, q in levels] for s, levels in (("bids", bids), ("asks", asks))}
-        return {"status": "book", **shown}
-
-    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
-        blank = {"bids": None, "asks": None, "expected": None, "received": None}
-        answers = [(row.receive_ts_ms, self._answer(row)) for row in rows.itertuples(index=False)]
-        out = pd.DataFrame([{"receive_ts_ms": t, **blank, **a} for t, a in answers if a], columns=["receive_ts_ms", "status", *blank])
-        return out.astype({"expected": "Int64", "received": "Int64"})
-
-
 class FlowWindow:
     """Signed flow over rolling spans at every event, by differences of running sums over the trades kept."""
 

@@ -100,7 +100,7 @@ class VenueBooks(StatefulProcessor):
             held = {side: [(price, *level) for (price,), level in levels.iterator()] for side, levels in self.levels.items()}
             book.load(None if sequence is None else (sequence, part), ready, held)
         batch = _ordered(rows, self.ORDER)
-        out = book.feed(batch)
+        out = pd.concat([self._fed(book, batch.iloc[a:z], a in breaks) for a, z, breaks in self._pieces(batch, until)], ignore_index=True)
         for side, levels in self.levels.items():
             gone, put = book.changes(side)
             for price in gone:
@@ -116,8 +116,25 @@ class VenueBooks(StatefulProcessor):
         if len(out):
             yield out.assign(venue=key[0], symbol=key[1])[[c.split(" ")[0] for c in _columns(self.OUT)]]
 
+    def _pieces(self, batch: pd.DataFrame, until: int | None) -> list[tuple[int, int, set[int]]]:
+        """Stretches of the batch that no idle time parts, and where such a time ended."""
+        times = batch["receive_ts_ms"].to_numpy(dtype=np.int64)
+        if self.idle_ms is None:
+            return [(0, len(times), set())]
+        before = times[0] if until is None else until - self.idle_ms
+        breaks = np.flatnonzero(np.diff(times, prepend=before) > self.idle_ms).tolist()
+        edges = sorted({0, *breaks})
+        return [(a, z, set(breaks)) for a, z in zip(edges, [*edges[1:], len(times)])]
+
+    @staticmethod
+    def _fed(book: Ladder, rows: pd.DataFrame, forgotten: bool) -> pd.DataFrame:
+        if forgotten:
+            book.empty()
+            book.at = None
+        return book.feed(rows)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """A book that nothing has come for is forgotten."""
+        """A book that nothing has come for is forgotten, as it would be at the next message."""
         if self.place.exists() and self.place.get()[3] == expiredTimerInfo.getExpiryTimeInMs():
             self.place.clear()
             for levels in self.levels.values():
@@ -166,7 +183,10 @@ class LiveFeatures(StatefulProcessor):
         upto = len(held) + np.cumsum(traded)
         decisions = np.flatnonzero(~traded)
         keep = ts >= now[-1] - self.span
-        self.trades.put([(int(t), float(s)) for t, s in zip(ts[keep], np.diff(sums)[keep])])
+        if keep.any():
+            self.trades.put([(int(t), float(s)) for t, s in zip(ts[keep], np.diff(sums)[keep])])
+        else:
+            self.trades.clear()
         if not len(decisions):
             return
         at, upto = now[decisions], upto[decisions]
