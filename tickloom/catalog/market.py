@@ -185,12 +185,16 @@ def book_best_levels(spark, sf_dir):
     f AS (SELECT *, (coalesce(sg[1] * 0.15, 0) + coalesce(sg[2] * 0.35, 0) + coalesce(sg[3] * 0.3, 0) + coalesce(sg[4] * 0.2, 0)) /
       (CASE WHEN sg[1] IS NULL THEN 0 ELSE 0.15 END + CASE WHEN sg[2] IS NULL THEN 0 ELSE 0.35 END + CASE WHEN sg[3] IS NULL THEN 0 ELSE 0.3 END + CASE WHEN sg[4] IS NULL THEN 0 ELSE 0.2 END) AS bl FROM e2)
     SELECT {TICKER_SQL} AS ticker, event_id + 10 AS line, round(greatest(1e-6, 0.5 * sqrt(ev) + 0.5 * bl) * 1e6, 4) AS sigma_e6, round(sqrt(ev) * 1e6, 4) AS ewma_e6,
+      round(sg[1] * 1e6, 4) AS s10_e6, round(sg[2] * 1e6, 4) AS s60_e6, round(sg[3] * 1e6, 4) AS s300_e6, round(sg[4] * 1e6, 4) AS s1800_e6,
       round(list_sum(list_transform(list_filter(ab, lambda a: a > greatest(5 * ab[len(ab) // 2 + 1], 1e-12)), lambda a: a * a)) / list_sum(sq), 8) AS jump FROM f""".replace("round(list_sum(list_transform(list_filter(ab", "round(coalesce(list_sum(list_transform(list_filter(ab").replace("lambda a: a * a)) / list_sum(sq), 8)", "lambda a: a * a)), 0) / list_sum(sq), 8)"),
 )
 def multi_horizon_volatility(spark, sf_dir):
     state = index_state(derived_windows(spark, sf_dir)).filter("vol is not null")
     return rounded(
-        state.select("ticker", "line", F.round(F.col("vol.sigma_per_s") * 1e6, 4).alias("sigma_e6"), F.round(F.col("vol.ewma_sigma_per_s") * 1e6, 4).alias("ewma_e6"), F.col("vol.jump_ratio").alias("jump")), 8
+        state.select(
+            "ticker", "line", F.round(F.col("vol.sigma_per_s") * 1e6, 4).alias("sigma_e6"), F.round(F.col("vol.ewma_sigma_per_s") * 1e6, 4).alias("ewma_e6"),
+            *(F.round(F.col(f"vol.sigma_{h}s") * 1e6, 4).alias(f"s{h}_e6") for h in (10, 60, 300, 1800)), F.col("vol.jump_ratio").alias("jump"),
+        ), 8,
     )
 
 

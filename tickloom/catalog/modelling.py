@@ -115,12 +115,30 @@ def calibration_deciles(spark, sf_dir):
     return rounded(reports.decile_calibration(scored_documents(spark, sf_dir), "p", "o"))
 
 
-from tickloom.operators.bootstrap import DRAWS, SEED  # noqa: E402
+from tickloom.operators.bootstrap import DRAWS, SEED, STEPS  # noqa: E402
+
+
+def draws_sql(keys: str = "") -> str:
+    """CTEs from p(keys, x, i, n) to the draws' means m(keys, draw, mean)."""
+    k = f"{keys}, " if keys else ""
+    join = " AND ".join(["a.pick = p.i", *(f"a.{c.strip()} = p.{c.strip()}" for c in keys.split(",") if c.strip())])
+    steps = "b", "(a * a + 12345) % 2147483647"
+
+    def hashed(i: str, seed: int) -> str:
+        return f"(((draw * 1000003 + {i} * 7919 + {seed} * 104729 + 1) % 2147483647) * 48271) % 2147483647"
+
+    limits = ", ".join(f"CAST(least(2147483647, floor(2147483647 * ({' + '.join(f'exp(-lam) * pow(lam, {j}) / factorial({j})' for j in range(s + 1))}))) AS BIGINT) AS z{s}" for s in range(STEPS))
+    count = " + ".join(f"CAST(u >= z{s} AS INTEGER)" for s in range(STEPS))
+    return f"""lam AS (SELECT DISTINCT {k}n, greatest(0.0::DOUBLE, 1 - 8 / sqrt(n)) AS lam FROM p), th AS (SELECT {k}n, {limits} FROM lam),
+    h1 AS (SELECT p.*, draw, {hashed("i", SEED)} AS a FROM p, range({DRAWS}) AS r(draw)), h2 AS (SELECT * EXCLUDE (a), {steps[1]} AS b FROM h1), h3 AS (SELECT * EXCLUDE (b), (b * b + draw + 1) % 2147483647 AS u FROM h2),
+    c AS (SELECT {k}draw, n, sum(({count}) * x) AS t, CAST(sum({count}) AS BIGINT) AS d FROM h3 JOIN th USING ({k}n) GROUP BY {k}draw, n),
+    g0 AS (SELECT {k}draw, n, unnest(range(0, greatest(0, n - d))) AS j FROM c), g1 AS (SELECT *, {hashed("j", SEED + 1)} AS a FROM g0), g2 AS (SELECT * EXCLUDE (a), {steps[1]} AS b FROM g1),
+    a AS (SELECT * EXCLUDE (b), (b * b + draw + 1) % 2147483647 % n AS pick FROM g2), e0 AS (SELECT {", ".join(f"a.{c.strip()}" for c in keys.split(",") if c.strip())}{", " if keys else ""}a.draw, sum(x) AS more FROM a JOIN p ON {join} GROUP BY ALL),
+    m AS (SELECT {k}draw, (t + coalesce(more, 0)) / greatest(d, n) AS mean FROM c LEFT JOIN e0 USING ({k}draw))"""
+
 
 _DRAWS_SQL = f"""v AS (SELECT user_id, avg(value) AS x FROM events GROUP BY user_id), p AS (SELECT x, row_number() OVER (ORDER BY user_id) - 1 AS i, count(*) OVER () AS n FROM v),
-    d AS (SELECT draw, i, n, (((draw * 1000003 + i * 7919 + {SEED} * 104729 + 1) % 2147483647) * 48271) % 2147483647 AS a FROM p, range({DRAWS}) AS r(draw)),
-    f AS (SELECT draw, n, (a * a + 12345) % 2147483647 AS b FROM d), g AS (SELECT draw, n, (b * b + draw + 1) % 2147483647 % n AS pick FROM f),
-    m AS (SELECT g.draw, avg(p.x) AS mean FROM g JOIN p ON p.i = g.pick GROUP BY g.draw)"""
+    {draws_sql()}"""
 
 
 def _user_means(spark, sf_dir):
@@ -158,11 +176,9 @@ def _outcomes(spark, sf_dir):
     )
 
 
-_PAIR_DRAWS_SQL = f"""x AS (SELECT variant, k, v, row_number() OVER (PARTITION BY variant, k ORDER BY ticker) - 1 AS i, count(*) OVER (PARTITION BY variant, k) AS n
+_PAIR_DRAWS_SQL = f"""p AS (SELECT variant, k, v AS x, row_number() OVER (PARTITION BY variant, k ORDER BY ticker) - 1 AS i, count(*) OVER (PARTITION BY variant, k) AS n
       FROM (SELECT variant, 'm' AS k, d_markout AS v, ticker FROM j UNION ALL SELECT variant, 's', d_settle, ticker FROM j) WHERE v IS NOT NULL AND variant <> '1'),
-    d AS (SELECT variant, k, draw, n, (((draw * 1000003 + i * 7919 + {SEED} * 104729 + 1) % 2147483647) * 48271) % 2147483647 AS a FROM x, range({DRAWS}) AS r(draw)),
-    f AS (SELECT variant, k, draw, n, (a * a + 12345) % 2147483647 AS b FROM d), g AS (SELECT variant, k, draw, (b * b + draw + 1) % 2147483647 % n AS pick FROM f),
-    m AS (SELECT g.variant, g.k, g.draw, avg(x.v) AS mean FROM g JOIN x ON x.variant = g.variant AND x.k = g.k AND x.i = g.pick GROUP BY ALL),
+    {draws_sql("variant, k")},
     q AS (SELECT variant, k, mean, row_number() OVER (PARTITION BY variant, k ORDER BY mean) - 1 AS rk FROM m),
     ci AS (SELECT variant, {", ".join(f"round(max(mean) FILTER (k = '{k}' AND rk = {int(p * DRAWS)}), 6) AS {name}" for k, c in (("m", "d_markout"), ("s", "d_settle")) for p, name in ((0.025, f"{c}_low"), (0.975, f"{c}_high")))} FROM q GROUP BY variant)"""
 
