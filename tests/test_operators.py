@@ -6,12 +6,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators.asof import asof_join
-from tickloom.operators.bootstrap import bootstrap_ci, bootstrap_draws
+from tickloom.functions.quoting import KEY_SCALE
+from tickloom.operators.book import sweep
+from tickloom.operators.bootstrap import PRIME, bootstrap_ci, bootstrap_draws, thinning
 from tickloom.operators.flow import rolling
 from tickloom.operators.linear import fit_logistic, fit_ridge
 from tickloom.operators.quality import consecutive, sustained
-from tickloom.operators.sampling import greedy_reference, greedy_sample
+from tickloom.operators.sampling import forced_sample, greedy_reference, greedy_sample
 from tickloom.operators.slices import reflected_running_sum, running
+from tickloom.operators.volatility import HORIZON_WEIGHTS, multi_horizon_forecast
 
 
 @pytest.fixture(scope="module")
@@ -114,8 +117,116 @@ def test_bootstrap_chunks_cover_all_windows(spark):
     values = spark.createDataFrame([(i, float(i)) for i in range(100)], "w long, x double")
     low, high = bootstrap_ci(values, [], "x", "w", draws=300).select("low", "high").first()
     assert 35 < low < 49.5 < high < 64
-    chunked = bootstrap_draws(values, [], "x", "w", draws=300, chunk=16).toPandas()["mean"]
-    assert abs(chunked.mean() - 49.5) < 1.5 and 2.0 < chunked.std() < 4.0
+    means = {c: bootstrap_draws(values, [], "x", "w", draws=300, chunk=c).orderBy("draw").toPandas()["mean"].to_numpy() for c in (7, 16, 1000)}
+    np.testing.assert_allclose(means[7], means[16])
+    np.testing.assert_allclose(means[7], means[1000])
+    assert abs(means[16].mean() - 49.5) < 1.5 and 2.0 < means[16].std() < 4.0
+    # More windows than the picks made one by one: the counts carry most of a draw.
+    many = bootstrap_draws(spark.range(20_000).selectExpr("id AS w", "CAST(id % 100 AS DOUBLE) AS x"), [], "x", "w", draws=400, chunk=3000).toPandas()["mean"]
+    assert abs(many.mean() - 49.5) < 0.05 and 0.85 < many.std() / (28.87 / np.sqrt(20_000)) < 1.15
+
+
+def test_bootstrap_limits_are_poisson_steps():
+    limits = thinning(10_000)
+    mean = 1 - 8 / 100
+    assert limits[0] == pytest.approx(PRIME * np.exp(-mean), abs=2) and limits[1] == pytest.approx(PRIME * np.exp(-mean) * (1 + mean), abs=2)
+    assert thinning(50)[0] == PRIME and sorted(limits) == limits
+
+
+def looped_volatility(ticks):
+    """One tick after the other over the whole history, as the rule is stated."""
+    seconds, out = [], []
+    for ms, price in ticks:
+        sec = ms // 1000
+        if price > 0 and seconds and seconds[-1][0] == sec:
+            seconds[-1] = (sec, price)
+        elif price > 0 and (not seconds or sec > seconds[-1][0]):
+            seconds.append((sec, price))
+        else:
+            continue
+        while seconds[0][0] * 1000 < ms - 3_600_000:
+            seconds.pop(0)
+        returns = [(b[0], np.log(b[1] / a[1]) / np.sqrt(b[0] - a[0])) for a, b in zip(seconds, seconds[1:])]
+        if len(returns) < 3:
+            out.append(None)
+            continue
+        variance = returns[0][1] ** 2
+        for _, r in returns[1:]:
+            variance = 0.5 ** (1 / 60) * variance + (1 - 0.5 ** (1 / 60)) * r * r
+        sigmas = {}
+        for h in (10, 60, 300, 1800):
+            inside = [r for s, r in returns if s > returns[-1][0] - h]
+            sigmas[h] = np.sqrt(sum(r * r for r in inside) / len(inside)) if len(inside) >= 3 else None
+        known = {h: s for h, s in sigmas.items() if s is not None}
+        if not known:
+            out.append(None)
+            continue
+        blended = sum(HORIZON_WEIGHTS[h] * s for h, s in known.items()) / sum(HORIZON_WEIGHTS[h] for h in known)
+        sizes = sorted(abs(r) for _, r in returns)
+        cutoff, total = max(5 * sizes[len(sizes) // 2], 1e-12), sum(a * a for a in sizes)
+        jump = sum(a * a for a in sizes if a > cutoff) / total if total > 0 else 0.0
+        out.append((max(1e-6, 0.5 * np.sqrt(variance) + 0.5 * blended), np.sqrt(variance), *(sigmas[h] for h in (10, 60, 300, 1800)), jump))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_volatility_over_more_than_its_history(spark, seed):
+    r = np.random.default_rng(seed)
+    ms, price, rows = 7_199_000_000, 100.0, []
+    for i in range(2500):
+        ms += int(r.choice([0, 300, 1000, 1700, 9000, 400_000], p=[0.1, 0.3, 0.25, 0.1, 0.248, 0.002]))
+        price *= 1 + r.normal() * 1e-4 * (20 if r.random() < 0.03 else 1) * (r.random() > 0.1)
+        rows.append(("a", ms, i, ms - int(r.choice([0, 0, 0, 2500])), float(price) if r.random() > 0.02 else -1.0))
+    assert rows[-1][1] - rows[0][1] > 5_400_000
+    df = spark.createDataFrame(rows, "k string, t long, seq long, tick_ms long, price double")
+    got = {x.seq: x.vol for x in multi_horizon_forecast(df, ["k"], "t", "seq", "tick_ms", "price", width=60_000).collect()}
+    want, at = looped_volatility([(x[3], x[4]) for x in rows]), 0
+    # The loop answers for kept ticks only, in order.
+    assert len(got) == len(want)
+    for seq, expected in zip(sorted(got), want):
+        vol = got[seq]
+        assert (vol is None) == (expected is None)
+        if expected is not None:
+            np.testing.assert_allclose([np.nan if v is None else v for v in vol], [np.nan if v is None else v for v in expected], rtol=1e-8, atol=1e-15)
+
+
+def test_forced_sample_does_not_depend_on_slices(spark):
+    r = random.Random(3)
+    t, rows = 0, []
+    for i in range(400):
+        t += r.choice([0, 1, 40, 90, 300])
+        rows.append((r.choice("ab"), t, i, r.random() < 0.1))
+    df = spark.createDataFrame(rows, "k string, t long, seq long, must boolean")
+    want = []
+    last = {}
+    for k, now, i, must in rows:
+        if must or k not in last or now - last[k] >= 250:
+            last[k] = now
+            want.append(i)
+    for width in (250, 1000, 100_000):
+        assert sorted(x.seq for x in forced_sample(df, ["k"], "t", "seq", 250, width, F.col("must")).collect()) == want
+
+
+def test_best_levels_of_a_sweep():
+    r = random.Random(5)
+    kinds, snaps, sides, keys, sizes, want, book = [], [], [], [], [], [], {"bid": {}, "ask": {}}
+    for side in ("bid", "ask"):
+        for key in (5, 6, 7) if side == "bid" else (9, 10):
+            kinds, snaps, sides, keys, sizes = kinds + [0], snaps + [None], sides + [side], keys + [key], sizes + [float(key)]
+            book[side][key] = float(key)
+    for _ in range(300):
+        snap = r.random() < 0.05
+        kinds, snaps, sides, keys, sizes = kinds + [1], snaps + [snap], sides + [None], keys + [None], sizes + [None]
+        if snap:
+            book = {"bid": {}, "ask": {}}
+        for _ in range(r.randint(0, 3)):
+            side, key, size = r.choice(["bid", "ask"]), r.randint(1, 8), r.choice([0.0, 1.5, 4.0])
+            kinds, snaps, sides, keys, sizes = kinds + [2], snaps + [None], sides + [side], keys + [key], sizes + [size]
+            book[side][key] = size
+        live = {s: sorted(((k, v) for k, v in book[s].items() if v > 0), reverse=s == "bid") for s in book}
+        want.append(tuple(x for s in ("bid", "ask") for x in ((live[s][0][0] / KEY_SCALE, live[s][0][1], sum(v for _, v in live[s][:3])) if live[s] else (None, 0.0, 0.0))))
+    at, got = sweep(kinds, snaps, sides, keys, sizes, 3)
+    assert got == want and [kinds[i] for i in at] == [1] * 300
 
 
 def test_ridge_and_logistic_match_numpy(spark):

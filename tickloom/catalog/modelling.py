@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from tickloom.catalog.base import DAY, EVENTS_SQL, HOUR, events, query, rounded, table
@@ -222,6 +224,22 @@ def results_by_regime(spark, sf_dir):
     return rounded(reports.by_regime(table(spark, sf_dir, "lineitem"), dims, [F.avg("l_extendedprice").alias("mean")]), 4)
 
 
+_REGIME_SETS = _REGIMES | {"size": ("l_extendedprice", (10_000, 30_000, 60_000)), "line": ("l_linenumber", (2, 5))}
+
+
+@query(
+    "results_by_regime_sets",
+    f"""WITH b AS (SELECT *, {", ".join(f"CAST({_band_sql(c, e)} AS INTEGER) AS {n}" for n, (c, e) in _REGIME_SETS.items())} FROM lineitem)
+    SELECT {", ".join(_REGIME_SETS)}, concat_ws('+', {", ".join(f"CASE WHEN grouping({n}) = 0 THEN '{n}' END" for n in _REGIME_SETS)}) AS by, count(*) AS n, round(avg(l_extendedprice), 4) AS mean, round(avg(l_discount), 8) AS discounted
+    FROM b GROUP BY GROUPING SETS ({", ".join(f"({', '.join(c)})" for k in range(3) for c in combinations(_REGIME_SETS, k))})""",
+)
+def results_by_regime_sets(spark, sf_dir):
+    """Five regimes, alone and in pairs, from one pass."""
+    dims = {n: reports.banded(F.col(c), e) for n, (c, e) in _REGIME_SETS.items()}
+    out = reports.by_regime_sets(table(spark, sf_dir, "lineitem"), dims, [F.round(F.avg("l_extendedprice"), 4).alias("mean"), F.round(F.avg("l_discount"), 8).alias("discounted")])
+    return rounded(out, 8)
+
+
 @query(
     "regime_filter",
     f"""WITH {EVENTS_SQL}, f AS (SELECT event_id, avg(value) OVER w AS m, count(value) OVER w AS c FROM e WINDOW w AS (PARTITION BY event_type ORDER BY t RANGE BETWEEN {DAY} PRECEDING AND 1 PRECEDING))

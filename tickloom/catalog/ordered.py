@@ -12,7 +12,7 @@ from tickloom.operators.flow import rolling
 from tickloom.operators.metrics import hit_rate, window_ic
 from tickloom.operators.quality import changes_only, consecutive, max_gap, sequence_gaps, sustained
 from tickloom.operators.reconcile import feed_divergence, position_divergence
-from tickloom.operators.sampling import greedy_sample
+from tickloom.operators.sampling import forced_sample, greedy_sample
 from tickloom.operators.slices import reflected_running_sum, running
 from tickloom.plans.fills import markouts
 from tickloom.sources.venues import composite_price
@@ -177,6 +177,28 @@ def greedy_sample_daily(spark, sf_dir):
     return greedy_sample(e, USER, "t", "event_id", DAY, 5 * DAY).select("user_id", "event_id", "t")
 
 
+FORCED_SQL = SAMPLE_SQL.replace("b.t AS nt FROM", "least(b.t, a.f) AS nt FROM").replace(
+    "(SELECT user_id, t, event_id, t + ", "(SELECT user_id, t, event_id, min(CASE WHEN event_id % 17 = 0 THEN t END) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS f, t + "
+)
+
+
+@query("greedy_sample_forced", FORCED_SQL)
+def greedy_sample_forced(spark, sf_dir):
+    """A day between kept rows, but every 17th event passes."""
+    e = events(spark, sf_dir).select("user_id", "t", "event_id")
+    return forced_sample(e, USER, "t", "event_id", DAY, 5 * DAY, F.col("event_id") % 17 == 0).select("user_id", "event_id", "t")
+
+
+@query("stream_greedy_sample_forced", FORCED_SQL)
+def stream_greedy_sample_forced(spark, sf_dir):
+    """The same rule over several micro-batches."""
+    from tickloom.catalog.streams import drain, event_stream
+    from tickloom.streaming import live
+
+    rows = event_stream(spark, sf_dir).select("user_id", "event_id", "t", (F.col("event_id") % 17 == 0).alias("must"))
+    return drain(live.sampled_stream(rows, DAY, ["user_id"], "t", ["t", "event_id"], force="must")).drop("must")
+
+
 @query(
     "reflected_running_size",
     f"""WITH {EVENTS_SQL}, s AS (SELECT event_id, user_id, event_type, t, CAST(k - 55 AS BIGINT) AS d FROM e),

@@ -16,11 +16,11 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.operators.slices import SLICE, slice_of
+from tickloom.operators.slices import SLICE, running, slice_of
 
 
 def _next_index(times: np.ndarray, interval: float) -> np.ndarray:
@@ -163,6 +163,16 @@ def greedy_sample(
     return clustered(line, group, ["_head", t, *seqs]).mapInArrow(keep, df.schema)
 
 
+def forced_sample(df: DataFrame, keys: Sequence[str], t: str, seq: str | Sequence[str], interval: int, width: int, force: Column) -> DataFrame:
+    """``greedy_sample`` in which rows with ``force`` always pass, and start the throttle anew.
+
+    A forced row decides all that follows, so the rows from one to the next are a key of their own: their count
+    so far names it, and its first row, the forced one, is kept by the rule.
+    """
+    counted = running(df, list(keys), t, seq, width, {"_epoch": ("sum", F.when(force, 1).otherwise(0).cast("long"))})
+    return greedy_sample(counted, [*keys, "_epoch"], t, seq, interval, width).drop("_epoch")
+
+
 def greedy_reference(times: Iterable[float], interval: float) -> list[float]:
     """Plain statement of the rule, for tests."""
     kept: list[float] = []

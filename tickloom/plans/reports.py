@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +48,18 @@ def by_regime(df: DataFrame, dimensions: dict[str, Column], metrics: Sequence[Co
     return tagged.filter("band is not null").groupBy("dimension", "band").agg(F.count(F.lit(1)).alias("n"), *metrics)
 
 
+def by_regime_sets(df: DataFrame, dimensions: dict[str, Column], metrics: Sequence[Column], most: int = 2) -> DataFrame:
+    """Metrics overall and by every combination of up to ``most`` regime dimensions, in one aggregation.
+
+    ``by`` names the dimensions of a row's combination, set apart by plus signs; the others' columns are null.  A
+    row without a band in a dimension counts where that dimension isn't asked for, and under null where it is.
+    """
+    banded_rows = df.withColumns({name: band.cast("int") for name, band in dimensions.items()})
+    sets = [list(c) for n in range(most + 1) for c in combinations(dimensions, n)]
+    by = F.concat_ws("+", *[F.when(F.grouping(name) == 0, F.lit(name)) for name in dimensions])
+    return banded_rows.groupingSets(sets, *dimensions).agg(by.alias("by"), F.count(F.lit(1)).alias("n"), *metrics)
+
+
 def daily_stability(outcomes: DataFrame, day: Column, value: str, keys: Sequence[str] = ("variant",)) -> DataFrame:
     """Mean and total per day and variant; flags a variant whose gain comes from one day only."""
     daily = outcomes.groupBy(*keys, day.alias("day")).agg(F.count(F.lit(1)).alias("windows"), F.avg(value).alias("mean"), F.sum(value).alias("total"))
