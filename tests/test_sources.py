@@ -2,13 +2,15 @@ import gzip
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from recording import metadata, write_recording
 from tickloom.operators.linear import LinearModel, load_models, save_models
 from tickloom.sources import recordings as rec
 from tickloom.sources.manifest import file_manifest, ready, reclaim, recording_flags, verified
-from tickloom.sources.stores import load_features, not_stored, read_store, select_existing, write_store
+from tickloom.sources.stores import load_features, load_fills, not_stored, read_store, select_existing, write_store
+from tickloom.sources.versions import ConcurrentWrite, VersionLog
 
 
 def test_scan_order_and_market(spark, tmp_path):
@@ -96,3 +98,41 @@ def test_metadata_has_a_default_grid(spark):
     raw = {**metadata("Z"), "price_ranges": []}
     df = spark.createDataFrame([(json.dumps(raw),)], "payload string").select(*rec.market_columns(F.col("payload")))
     assert [tuple(r) for r in df.first().price_ranges] == [(0.0, 1.0, 0.01)]
+
+
+def test_a_failed_write_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    rows = spark.createDataFrame([(f"T{i:02d}", 1000 + i, float(i)) for i in range(40)], "ticker string, ts_ms long, mid double")
+    assert write_store(rows.repartition(4), path) == 1
+    broken = spark.createDataFrame([("T05", 1), ("T06", 0)], "ticker string, ts_ms long").withColumn("mid", F.when(F.col("ts_ms") == 0, F.raise_error(F.lit("no")).cast("double")).otherwise(0.5))
+    with pytest.raises(Exception, match="no"):
+        write_store(broken, path, overwrite=True)
+    assert read_store(spark, path).count() == 40 and VersionLog(spark, path).versions() == [1]
+    # A writer that comes second finds its version taken, and nothing of it is seen.
+    log = VersionLog(spark, path)
+    base, files = log.snapshot()
+    write_store(rows.filter("ticker = 'T01'").withColumn("mid", F.lit(-1.0)), path, overwrite=True)
+    with pytest.raises(ConcurrentWrite):
+        log.commit(base, files, [], list(files))
+    assert {r.mid for r in read_store(spark, path, ["T01"]).collect()} == {-1.0} and read_store(spark, path).count() == 40
+    assert read_store(spark, path, version=1).filter("ticker = 'T01'").first().mid == 1.0
+    for i in range(12):
+        write_store(rows.filter(f"ticker = 'T{i:02d}'").withColumn("mid", F.lit(100.0)), path, overwrite=True)
+    now = read_store(spark, path)
+    assert now.count() == 40 and now.filter("mid = 100").count() == 12
+    assert VersionLog(spark, path).expire(1) > 0 and read_store(spark, path).count() == 40
+
+
+def test_a_ticker_filter_skips_files(spark, tmp_path):
+    path = str(tmp_path / "store")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(4000).selectExpr("format_string('T%03d', id % 200) AS ticker", "id AS ts_ms", "id / 7.0 AS mid")
+        write_store(rows.repartition(4), path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    whole, some = read_store(spark, path), read_store(spark, path, ["T007"])
+    assert some.count() == 20 and len(some.inputFiles()) < len(whole.inputFiles())
+    allowed = load_fills(spark, path, spark.createDataFrame([("T007",), ("T150",)], "ticker string"))
+    assert allowed.count() == 40 and len(allowed.inputFiles()) < len(whole.inputFiles())
+    assert len(read_store(spark, path, since_ms=10**9).inputFiles()) <= 1 and read_store(spark, path, since_ms=10**9).count() == 0

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.catalog.base import query, rounded
 from tickloom.catalog.market import START_SQL, TICKER_SQL
-from tickloom.catalog.recording import BASE_MS, DERIVED_SQL, EXCHANGE, WINDOW_MS, derived_events
+from tickloom.catalog.recording import BASE_MS, DERIVED_SQL, EXCHANGE, WINDOW_MS, derived_events, derived_windows
 from tickloom.catalog.streams import fresh_folder
 from tickloom.operators.audit import audit
 from tickloom.operators.slices import running
@@ -21,6 +21,8 @@ from tickloom.sources import recording_source
 from tickloom.sources import recordings as rec
 from tickloom.sources.files import dealt
 from tickloom.sources.manifest import file_manifest, recording_flags
+from tickloom.sources.stores import compact, load_fills
+from tickloom.sources.versions import VersionLog
 
 NOW_MS = BASE_MS + 10**9
 BLOCK = 4096  # bytes, so that small files have many blocks too
@@ -206,3 +208,25 @@ def stream_recordings(spark, sf_dir):
     events = spark.read.parquet(out)
     starts = F.to_date(F.timestamp_millis(F.lit(BASE_MS) + F.regexp_extract("ticker", r"(\d+)", 1).cast("long") * WINDOW_MS))
     return events.groupBy("ticker", "event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("path").contains("events_a")).alias("in_first")).withColumn("day", starts)
+
+
+@query(
+    "store_compaction",
+    f"""WITH {DERIVED_SQL} SELECT {TICKER_SQL} AS ticker, count(*) AS n, CASE WHEN w % 2 = 1 OR w % 3 = 0 THEN CAST(sum(count) AS DOUBLE) END AS contracts, round(sum(CASE WHEN w % 3 = 0 THEN -price ELSE price END), 4) AS prices,
+      3 AS version FROM trade GROUP BY w""",
+)
+def store_compaction(spark, sf_dir):
+    """Trades of final windows, stored in three versions: half of the windows without counts, the rest with, a third replaced."""
+    windows, path = derived_windows(spark, sf_dir), f"{fresh_folder(spark)}/store"
+    final = rec.final_windows(windows.markets, NOW_MS / 1000).select("ticker")
+    number = F.regexp_extract("ticker", r"(\d+)", 1).cast("int")
+
+    def trades(w) -> DataFrame:
+        return w.trades.select("ticker", F.col("receive_ts_ms").alias("ts_ms"), "price", "count")
+
+    compact(spark, windows, path, final.filter(number % 2 == 0), lambda w: trades(w).drop("count"))
+    compact(spark, windows, path, final, trades)
+    compact(spark, windows, path, final.filter(number % 3 == 0), lambda w: trades(w).withColumn("price", -F.col("price")), overwrite=True)
+    stored = load_fills(spark, path, final)
+    version = VersionLog(spark, path).snapshot()[0]
+    return rounded(stored.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.sum("count").alias("contracts"), F.sum("price").alias("prices"), F.lit(version).alias("version")), 4)

@@ -1,4 +1,4 @@
-"""Feature, label and model stores as parquet tables."""
+"""Feature and label stores as versioned tables (see ``versions``)."""
 
 from __future__ import annotations
 
@@ -6,28 +6,32 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tickloom.plans.fit import BOOK_FEATURES, EXT_FEATURES, VALUE_TARGET
 from tickloom.plans.variants import MIRRORED_FEATURES
 from tickloom.session import cut
+from tickloom.sources.versions import VersionLog, holding
 
 # Columns the fits consume (state, target, outcome, features of any set or side); absent ones (older files) read as null.
 FIT_COLUMNS = sorted({"seconds_to_close", "gbm_fair", "mid", "outcome_yes", VALUE_TARGET, *BOOK_FEATURES, *EXT_FEATURES, *(set(MIRRORED_FEATURES) - {n for n in MIRRORED_FEATURES if n.startswith("adv_")})})
-# A day is split by a hash of the ticker, so replacing one ticker rewrites a part of its days only.
-PARTS = 16
-PART = "_part"
+MAX_NAMED = 10_000  # tickers that choose files one by one; more of them choose by their range
 
 
-def read_store(spark: SparkSession, path: str, parts: bool = False) -> DataFrame | None:
-    """The stored table, or None when nothing has been written yet."""
-    try:
-        stored = spark.read.option("mergeSchema", "true").parquet(path)
-        return stored if parts else stored.drop(PART)
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" in str(missing) or "UNABLE_TO_INFER_SCHEMA" in str(missing):
-            return None
-        raise
+def read_store(spark: SparkSession, path: str, tickers: Sequence[str] | None = None, since_ms: int | None = None, until_ms: int | None = None, version: int | None = None) -> DataFrame | None:
+    """The stored table (of a version), or None when nothing has been written yet.
+
+    Files whose tickers or times lie outside what is wanted are not read.
+    """
+    log = VersionLog(spark, path)
+    found = log.snapshot(version)
+    if found is None:
+        return None
+    files = list(found[1].values())
+    chosen = holding(files, tickers, since=since_ms, until=until_ms)
+    rows = log.read(chosen or files[:1])
+    if not chosen:
+        rows = rows.limit(0)
+    return rows if tickers is None else rows.filter(F.col("ticker").isin(list(tickers)))
 
 
 def not_stored(candidates: DataFrame, stored: DataFrame | None, key: str = "ticker") -> DataFrame:
@@ -35,35 +39,28 @@ def not_stored(candidates: DataFrame, stored: DataFrame | None, key: str = "tick
     return candidates if stored is None else candidates.join(stored.select(key).distinct(), key, "left_anti")
 
 
-def _parted(rows: DataFrame, t: str) -> DataFrame:
-    return rows.withColumns({"day": F.to_date(F.timestamp_millis(t)), PART: F.pmod(F.xxhash64("ticker"), F.lit(PARTS)).cast("int")})
-
-
-def write_store(rows: DataFrame, path: str, t: str = "ts_ms", overwrite: bool = False) -> None:
-    """Append rows by day of ``t``; ``overwrite`` replaces the tickers present in ``rows``, on all days.
+def write_store(rows: DataFrame, path: str, t: str = "ts_ms", overwrite: bool = False) -> int:
+    """Append rows as a new version; ``overwrite`` replaces the tickers present in ``rows``.  Returns the version.
 
-    Rows are range-clustered by (day, ticker) so a ticker filter skips files and
-    a heavy ticker still spreads over several writers.  A replacement rewrites
-    the (day, part) folders that hold one of the tickers, with what else is in them.
+    Rows are clustered by (ticker, time), so a ticker filter skips files and a heavy ticker still spreads over several
+    writers.  A replacement rewrites the files that hold one of the tickers, with what else is in them.
     """
-    new = _parted(rows, t)
-    stored = read_store(rows.sparkSession, path, parts=True) if overwrite else None
-    emptied = []
-    if stored is not None:
-        new = cut(new)
-        tickers = cut(new.select("ticker", PART).distinct())
-        old = stored.join(tickers, ["ticker", PART], "left_semi").select("day", PART)
-        touched = cut(old.union(new.select("day", PART)).distinct())
-        # Written first: the folders that are read here are the ones to be replaced.
-        stay = cut(stored.join(touched, ["day", PART], "left_semi").join(tickers.select("ticker"), "ticker", "left_anti"))
-        new = stay.unionByName(new, allowMissingColumns=True)
-        emptied = touched.join(new.select("day", PART).distinct(), ["day", PART], "left_anti").collect()
-    clustered = new.repartitionByRange("day", PART, "ticker", t).sortWithinPartitions("day", PART, "ticker", t)
-    writer = clustered.write.partitionBy("day", PART).mode("overwrite" if overwrite else "append")
-    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
-    for r in emptied:  # a replaced ticker left nothing there
-        folder = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/day={r['day']}/{PART}={r[PART]}")
-        folder.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+    log = VersionLog(rows.sparkSession, path)
+    base, files = log.snapshot() or (0, {})
+    removed: list[str] = []
+    if overwrite and files:
+        rows = cut(rows)
+        tickers = cut(rows.select("ticker").distinct())
+        low, high = tickers.agg(F.min("ticker"), F.max("ticker")).first()
+        near = holding(list(files.values()), low=low, high=high) if low is not None else []
+        if near:
+            named = log.read(near).withColumn("_file", F.concat_ws("/", F.element_at(F.split(F.input_file_name(), "/"), -2), F.element_at(F.split(F.input_file_name(), "/"), -1)))
+            hit = named.select("ticker", "_file").join(tickers, "ticker", "left_semi").select("_file").distinct()
+            removed = [r["_file"] for r in hit.collect()]  # files of the log
+        if removed:
+            stay = log.read([files[p] for p in removed]).join(tickers, "ticker", "left_anti")
+            rows = stay.unionByName(rows, allowMissingColumns=True)
+    return log.commit(base, files, log.write_files(rows, "ticker", t), removed)
 
 
 def select_existing(df: DataFrame, columns: Sequence[str], cast: str | None = "double") -> DataFrame:
@@ -78,12 +75,19 @@ def select_existing(df: DataFrame, columns: Sequence[str], cast: str | None = "d
 
 
 def _allowed(spark: SparkSession, path: str, tickers: DataFrame | None) -> DataFrame:
-    """Rows of the allowed tickers; joining on the part as well lets Spark skip the other parts' folders."""
-    stored = spark.read.option("mergeSchema", "true").parquet(path)
+    """Rows of the allowed tickers, from files that may hold them."""
     if tickers is None:
-        return stored
-    wanted = tickers.select("ticker", F.pmod(F.xxhash64("ticker"), F.lit(PARTS)).cast("int").alias(PART))
-    return stored.join(wanted, ["ticker", PART], "left_semi")
+        return read_store(spark, path)
+    log = VersionLog(spark, path)
+    _, files = log.snapshot()
+    names = [r[0] for r in tickers.select("ticker").distinct().limit(MAX_NAMED + 1).collect()]
+    if len(names) <= MAX_NAMED:
+        chosen = holding(list(files.values()), names)
+    else:
+        low, high = tickers.agg(F.min("ticker"), F.max("ticker")).first()
+        chosen = holding(list(files.values()), low=low, high=high)
+    rows = log.read(chosen) if chosen else log.read(list(files.values())[:1]).limit(0)
+    return rows.join(tickers.select("ticker"), "ticker", "left_semi")
 
 
 def load_features(spark: SparkSession, path: str, tickers: DataFrame | None = None) -> DataFrame:
@@ -92,7 +96,7 @@ def load_features(spark: SparkSession, path: str, tickers: DataFrame | None = No
 
 
 def load_fills(spark: SparkSession, path: str, tickers: DataFrame | None = None) -> DataFrame:
-    return _allowed(spark, path, tickers).drop(PART)
+    return _allowed(spark, path, tickers)
 
 
 def compact(spark: SparkSession, windows, path: str, final: DataFrame, build, t: str = "ts_ms", overwrite: bool = False) -> DataFrame:
