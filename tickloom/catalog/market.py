@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.catalog.base import query, rounded
+from tickloom.catalog.scalar import cdf_cte
 from tickloom.catalog.recording import DERIVED_SQL, EXCHANGE, SLICE_MS, WINDOW_MS, BASE_MS, derived_events, derived_windows, laid_out
 from tickloom.operators.audit import audit as audit_files
 from tickloom.operators.metrics import window_ic
@@ -153,14 +154,15 @@ def book_level_sizes(spark, sf_dir):
     return changes.select("ticker", T, "line", "side", "price_key", "size")
 
 
-_BEST_SQL = f"""WITH {_LEVELS_SQL}, grid AS (SELECT DISTINCT w, epoch, side, p FROM lv),
+_BEST_CTES = f"""{_LEVELS_SQL}, grid AS (SELECT DISTINCT w, epoch, side, p FROM lv),
     pt AS (SELECT v.w, v.t, v.event_id, v.valid, grid.side, grid.p, v.epoch FROM v LEFT JOIN grid ON grid.w = v.w AND grid.epoch = v.epoch),
     sz AS (SELECT pt.w, pt.t, pt.event_id, pt.valid, pt.side, pt.p, coalesce(l.size, 0) AS size FROM pt ASOF LEFT JOIN (SELECT *, (t, event_id) AS pos FROM lv) l
       ON l.w = pt.w AND l.epoch = pt.epoch AND l.side = pt.side AND l.p = pt.p AND (pt.t, pt.event_id) >= l.pos),
     rk AS (SELECT *, row_number() OVER (PARTITION BY w, t, event_id, side ORDER BY CASE WHEN side = 'bid' THEN -p ELSE p END) AS rn FROM sz WHERE size > 0),
     b AS (SELECT w, t, event_id, max(p) FILTER (side = 'bid' AND rn = 1) / 100.0::DOUBLE AS bid, max(p) FILTER (side = 'ask' AND rn = 1) / 100.0::DOUBLE AS ask,
       sum(size) FILTER (side = 'bid' AND rn = 1) AS bid_size, sum(size) FILTER (side = 'ask' AND rn = 1) AS ask_size,
-      sum(size) FILTER (side = 'bid' AND rn <= 3) AS bid_depth, sum(size) FILTER (side = 'ask' AND rn <= 3) AS ask_depth FROM rk GROUP BY w, t, event_id)
+      sum(size) FILTER (side = 'bid' AND rn <= 3) AS bid_depth, sum(size) FILTER (side = 'ask' AND rn <= 3) AS ask_depth FROM rk GROUP BY w, t, event_id)"""
+_BEST_SQL = f"""WITH {_BEST_CTES}
     SELECT {TICKER_SQL} AS ticker, v.t AS receive_ts_ms, CASE WHEN v.event_id = -1 THEN 2 ELSE v.event_id + 10 END AS line, v.valid, bid, ask, CAST(coalesce(bid_size, 0) AS DOUBLE) AS bid_size, CAST(coalesce(ask_size, 0) AS DOUBLE) AS ask_size,
       CAST(coalesce(bid_depth, 0) AS DOUBLE) AS bid_depth, CAST(coalesce(ask_depth, 0) AS DOUBLE) AS ask_depth FROM v LEFT JOIN b USING (w, t, event_id) WHERE v.valid"""
 
@@ -171,9 +173,7 @@ def book_best_levels(spark, sf_dir):
     return book.filter("valid").select("ticker", T, "line", "valid", "bid", "ask", "bid_size", "ask_size", "bid_depth", "ask_depth")
 
 
-@query(
-    "multi_horizon_volatility",
-    f"""WITH {DERIVED_SQL}, s AS (SELECT w, event_id, t, tick_ms // 1000 AS sec, price FROM ticks), cl AS (SELECT w, sec, arg_max(price, event_id) AS price FROM s GROUP BY w, sec),
+_VOL_CTES = f"""s AS (SELECT w, event_id, t, tick_ms // 1000 AS sec, price FROM ticks), cl AS (SELECT w, sec, arg_max(price, event_id) AS price FROM s GROUP BY w, sec),
     cr AS (SELECT w, sec, ln(price / lag(price) OVER o) / sqrt(sec - lag(sec) OVER o) AS r FROM cl WINDOW o AS (PARTITION BY w ORDER BY sec)),
     tk AS (SELECT s.w, s.event_id, s.sec, ln(s.price / p.price) / sqrt(s.sec - p.sec) AS r FROM s ASOF LEFT JOIN cl p ON p.w = s.w AND s.sec > p.sec),
     h AS (SELECT tk.w, tk.event_id, tk.sec, list_concat((SELECT coalesce(list({{'sec': cr.sec, 'r': cr.r}} ORDER BY cr.sec), []) FROM cr WHERE cr.w = tk.w AND cr.sec < tk.sec AND cr.r IS NOT NULL),
@@ -183,10 +183,16 @@ def book_best_levels(spark, sf_dir):
     e2 AS (SELECT *, list_reduce(sq, lambda a, b: a * {0.5 ** (1 / 60)!r} + (1 - {0.5 ** (1 / 60)!r}) * b) AS ev,
       list_transform(hz, lambda q: CASE WHEN len(q) >= 3 THEN sqrt(list_sum(list_transform(q, lambda p: p.r * p.r)) / len(q)) END) AS sg FROM g),
     f AS (SELECT *, (coalesce(sg[1] * 0.15, 0) + coalesce(sg[2] * 0.35, 0) + coalesce(sg[3] * 0.3, 0) + coalesce(sg[4] * 0.2, 0)) /
-      (CASE WHEN sg[1] IS NULL THEN 0 ELSE 0.15 END + CASE WHEN sg[2] IS NULL THEN 0 ELSE 0.35 END + CASE WHEN sg[3] IS NULL THEN 0 ELSE 0.3 END + CASE WHEN sg[4] IS NULL THEN 0 ELSE 0.2 END) AS bl FROM e2)
+      (CASE WHEN sg[1] IS NULL THEN 0 ELSE 0.15 END + CASE WHEN sg[2] IS NULL THEN 0 ELSE 0.35 END + CASE WHEN sg[3] IS NULL THEN 0 ELSE 0.3 END + CASE WHEN sg[4] IS NULL THEN 0 ELSE 0.2 END) AS bl FROM e2)"""
+_JUMP_SQL = "coalesce(list_sum(list_transform(list_filter(ab, lambda a: a > greatest(5 * ab[len(ab) // 2 + 1], 1e-12)), lambda a: a * a)), 0) / list_sum(sq)"
+
+
+@query(
+    "multi_horizon_volatility",
+    f"""WITH {DERIVED_SQL}, {_VOL_CTES}
     SELECT {TICKER_SQL} AS ticker, event_id + 10 AS line, round(greatest(1e-6, 0.5 * sqrt(ev) + 0.5 * bl) * 1e6, 4) AS sigma_e6, round(sqrt(ev) * 1e6, 4) AS ewma_e6,
       round(sg[1] * 1e6, 4) AS s10_e6, round(sg[2] * 1e6, 4) AS s60_e6, round(sg[3] * 1e6, 4) AS s300_e6, round(sg[4] * 1e6, 4) AS s1800_e6,
-      round(list_sum(list_transform(list_filter(ab, lambda a: a > greatest(5 * ab[len(ab) // 2 + 1], 1e-12)), lambda a: a * a)) / list_sum(sq), 8) AS jump FROM f""".replace("round(list_sum(list_transform(list_filter(ab", "round(coalesce(list_sum(list_transform(list_filter(ab").replace("lambda a: a * a)) / list_sum(sq), 8)", "lambda a: a * a)), 0) / list_sum(sq), 8)"),
+      round({_JUMP_SQL}, 8) AS jump FROM f""",
 )
 def multi_horizon_volatility(spark, sf_dir):
     state = index_state(derived_windows(spark, sf_dir)).filter("vol is not null")
@@ -277,9 +283,70 @@ def queue_fills(spark, sf_dir):
     return out.select("ticker", "quote_id", "fill_ts_ms", "fill_side", "fill_price", "fill_count")
 
 
-@query("feature_table")
+def _fresh_sql(clock: str, value: str) -> str:
+    """Values of the venues heard from in the last two seconds, sorted."""
+    return f"list_sort(list_filter([{', '.join(f'CASE WHEN t - {clock}{v} <= 2000 THEN {value}{v} END' for v in range(3))}], lambda x: x IS NOT NULL))"
+
+
+_OUTSIDE_SQL = "100 * (1 + (value - 45) / 40000)"
+_CARRIED = {"bbo": "bbo", "idx": "idx", "trade_ms": "trade_ms", **{f"{n}{v}": f"{n}{v}" for n in ("sp_ts", "sp", "l2_ts", "l2_mi", "l2_im") for v in range(3)}}
+# What a sample of the derived recording holds, step by step: one time line, its state, the throttle, flows, targets.
+SAMPLES_SQL = f"""{_BEST_CTES}, {_VOL_CTES},
+    x0 AS (SELECT w, t, event_id + 10 AS line, event_type, value, k, event_id FROM r UNION ALL SELECT w, {START_SQL}, 2, 'first', NULL, NULL, -1 FROM n0
+      UNION ALL SELECT w, {START_SQL} + {WINDOW_MS}, {1 << 40}, 'close', NULL, NULL, NULL FROM n0),
+    x1 AS (SELECT x0.*, CASE WHEN v.w IS NOT NULL THEN {{'valid': v.valid, 'bid': b.bid, 'ask': b.ask, 'bs': b.bid_size, 'az': b.ask_size, 'bd': b.bid_depth, 'ad': b.ask_depth}} END AS bbo,
+      CASE WHEN x0.event_type = 'error' THEN {{'p': round(100 * (1 + (x0.value - 50) / 50000), 4), 'sigma': CASE WHEN f.ev IS NOT NULL AND f.bl IS NOT NULL THEN greatest(1e-6, 0.5 * sqrt(f.ev) + 0.5 * f.bl) END, 'jump': {_JUMP_SQL}}} END AS idx, CASE WHEN x0.event_type = 'purchase' THEN x0.t END AS trade_ms
+      FROM x0 LEFT JOIN v ON v.w = x0.w AND v.event_id = x0.event_id AND x0.event_type IN ('click', 'view', 'first') LEFT JOIN b ON b.w = v.w AND b.event_id = v.event_id LEFT JOIN f ON f.w = x0.w AND f.event_id = x0.event_id),
+    x2 AS (SELECT *, {", ".join(f"CASE WHEN event_type = 'signup' AND k % 2 = {kind} AND k % 3 = {venue} THEN {value} END AS {name}{venue}"
+      for kind, name, value in ((0, "sp_ts", "coalesce(nullif(t - k * 10, 0), t)"), (0, "sp", _OUTSIDE_SQL), (1, "l2_ts", "t"), (1, "l2_mi", f"{_OUTSIDE_SQL} + (k - 50) / 1000"), (1, "l2_im", "(k - 50) / 60")) for venue in range(3))} FROM x1),
+    x3 AS (SELECT w, t, line, {", ".join(f"last_value({c} IGNORE NULLS) OVER o AS {c}" for c in _CARRIED)} FROM x2 WINDOW o AS (PARTITION BY w ORDER BY t, line ROWS UNBOUNDED PRECEDING)),
+    x4 AS (SELECT * FROM x3 WHERE bbo.valid AND bbo.bid IS NOT NULL AND bbo.ask IS NOT NULL AND idx.p IS NOT NULL AND idx.sigma IS NOT NULL),
+    u0 AS (SELECT w, t, min(line) AS line FROM x4 GROUP BY w, t), u1 AS (SELECT a.w, a.t, a.line, c.t AS nt FROM (SELECT *, t + 250 AS probe FROM u0) a ASOF LEFT JOIN u0 c ON a.w = c.w AND a.probe <= c.t),
+    walk AS (SELECT w, t, line, nt FROM u1 QUALIFY row_number() OVER (PARTITION BY w ORDER BY t) = 1 UNION ALL SELECT u1.w, u1.t, u1.line, u1.nt FROM walk JOIN u1 ON u1.w = walk.w AND u1.t = walk.nt),
+    y0 AS (SELECT x4.*, (bbo.bid + bbo.ask) / 2 AS mid, greatest(0, {START_SQL} // 1000 + {WINDOW_MS // 1000} - t / 1000.0::DOUBLE) AS secs, {_fresh_sql("sp_ts", "sp")} AS sps, {_fresh_sql("l2_ts", "l2_mi")} AS mis, {_fresh_sql("l2_ts", "l2_im")} AS ims FROM x4 JOIN walk USING (w, t, line)),
+    y1 AS (SELECT y0.w, y0.t, y0.line, {", ".join(f"coalesce(sum(CASE WHEN taker = 'bid' THEN count ELSE -count END) FILTER (trade.t >= y0.t - {ms}), 0) AS {n}" for n, ms in (("flow_1s", 1000), ("flow_5s", 5000), ("flow_30s", 30000)))}, count(*) FILTER (trade.t >= y0.t - 5000) AS trades_5s
+      FROM y0 LEFT JOIN trade ON trade.w = y0.w AND trade.t >= y0.t - 30000 AND (trade.t < y0.t OR (trade.t = y0.t AND trade.event_id + 10 <= y0.line)) GROUP BY ALL),
+    y2 AS (SELECT y0.*, flow_1s, flow_5s, flow_30s, trades_5s, bbo.bs - lag(bbo.bs) OVER o AS d_bid, bbo.az - lag(bbo.az) OVER o AS d_ask,
+      list_sum(list_transform(range(1, 61), lambda i: (2 * (60 - i) + 1) * (CASE WHEN secs >= 60 THEN secs - 60 + i ELSE secs / 60 * i END))) AS s1, idx.sigma * idx.sigma AS vv,
+      list_sum(list_transform(range(1, 61), lambda i: (2 * (60 - i) + 1) * pow(CASE WHEN secs >= 60 THEN secs - 60 + i ELSE secs / 60 * i END, 2))) AS s2,
+      list_sum(list_transform(range(1, 61), lambda i: (2 * (60 - i) + 1) * pow(CASE WHEN secs >= 60 THEN secs - 60 + i ELSE secs / 60 * i END, 3))) AS s3
+      FROM y0 JOIN y1 USING (w, t, line) WINDOW o AS (PARTITION BY w ORDER BY t)),
+    y3 AS (SELECT *, (vv * s1 + vv * vv * s2 / 2 + vv * vv * vv * s3 / 6) / 3600 AS rv FROM y2), y4 AS (SELECT *, rv - rv * rv / 2 + rv * rv * rv / 3 AS lgv FROM y3),
+    y5 AS (SELECT *, CASE WHEN secs > 0 THEN (ln(100.0::DOUBLE) - (ln(idx.p) - 0.5 * lgv)) / sqrt(lgv) ELSE 0 END AS zz FROM y4), {cdf_cte("y6", "y5", "zz", "below")},
+    fair AS (SELECT * EXCLUDE (s1, s2, s3, vv, rv, lgv, zz), CASE WHEN secs > 0 THEN greatest(0.001, least(0.999, 1 - below)) WHEN idx.p >= 100 THEN 1 ELSE 0 END AS gbm FROM y6),
+    lt AS (SELECT w, arg_max(price, (tick_ms, -event_id)) AS last_tick FROM ticks GROUP BY w),
+    won AS (SELECT w, CASE WHEN w % 3 = 0 THEN CASE WHEN w % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0 END WHEN last_tick IS NOT NULL THEN CASE WHEN CAST(last_tick AS DECIMAL(18, 2)) >= 100 THEN 1.0 ELSE 0.0 END END AS outcome FROM n0 LEFT JOIN lt USING (w)),
+    gaps AS (SELECT w, max(gap) AS gap FROM (SELECT w, (tick_ms - lag(tick_ms) OVER (PARTITION BY w ORDER BY t, event_id)) / 1000.0::DOUBLE AS gap FROM ticks) GROUP BY w)"""
+
+
+def _target_sql(ms: int) -> str:
+    return f"t{ms} AS (SELECT a.w, a.t, CASE WHEN c.t <= a.t + {ms} + 1500 THEN c.mid - a.mid END AS move FROM (SELECT *, t + {ms} AS probe FROM fair) a ASOF LEFT JOIN fair c ON a.w = c.w AND a.probe <= c.t)"
+
+
+# Digits that are compared; sigma is per second and small.
+DIGITS = {"sigma_per_s": 12, "gbm_fair": 7, "gbm_fair_minus_mid": 7, "z_moneyness": 7}
+_FEATURES = {
+    "schema_version": "1", "ticker": TICKER_SQL, "ts_ms": "t", "seconds_to_close": "secs", "mid": "mid", "spread": "bbo.ask - bbo.bid", "bid": "bbo.bid", "ask": "bbo.ask", "bid_size": "CAST(bbo.bs AS DOUBLE)", "ask_size": "CAST(bbo.az AS DOUBLE)",
+    "microprice_minus_mid": "(bbo.ask * bbo.bs + bbo.bid * bbo.az) / (bbo.bs + bbo.az) - mid", "imb_top1": "(bbo.bs - bbo.az) / (bbo.bs + bbo.az)", "imb_top3": "(bbo.bd - bbo.ad) / (bbo.bd + bbo.ad)", "depth_top3": "CAST(bbo.bd + bbo.ad AS DOUBLE)",
+    "bid_size_delta": "CAST(coalesce(d_bid, 0) AS DOUBLE)", "ask_size_delta": "CAST(coalesce(d_ask, 0) AS DOUBLE)", "flow_1s": "CAST(flow_1s AS DOUBLE)", "flow_5s": "CAST(flow_5s AS DOUBLE)", "flow_30s": "CAST(flow_30s AS DOUBLE)", "trades_5s": "trades_5s",
+    "last_trade_age_ms": "t - trade_ms", "brti": "idx.p", "ext_basis_bps": "(sps[len(sps) // 2 + 1] - idx.p) / idx.p * 10000", "ext_dispersion_bps": "CASE WHEN len(sps) > 1 THEN (sps[-1] - sps[1]) / idx.p * 10000 END",
+    "ext_micro_lead_bps": "(mis[len(mis) // 2 + 1] - idx.p) / idx.p * 10000", "ext_imbalance": "ims[len(ims) // 2 + 1]", "ext_venues_fresh": "CAST(len(sps) AS INTEGER)", "sigma_per_s": "idx.sigma", "jump_ratio": "idx.jump",
+    "z_moneyness": "ln(idx.p / 100) / (idx.sigma * sqrt(greatest(1e-9, secs)))", "gbm_fair": "gbm", "gbm_fair_minus_mid": "gbm - mid", "final_minute_count": "0", "outcome_yes": "outcome", "quality_flags": "CASE WHEN gap > 5 THEN 'brti_gap' ELSE '' END",
+    "fwd_mid_delta_1s": "t1000.move", "fwd_mid_delta_5s": "t5000.move", "fwd_mid_delta_30s": "t30000.move",
+}
+_EXACT = {"schema_version", "ticker", "ts_ms", "trades_5s", "last_trade_age_ms", "ext_venues_fresh", "final_minute_count", "quality_flags"}
+FEATURES_SQL = f"""{SAMPLES_SQL}, {_target_sql(1000)}, {_target_sql(5000)}, {_target_sql(30000)},
+    features AS (SELECT {", ".join(f"{e} AS {n}" for n, e in _FEATURES.items())} FROM fair JOIN won USING (w) LEFT JOIN gaps USING (w) JOIN t1000 USING (w, t) JOIN t5000 USING (w, t) JOIN t30000 USING (w, t))"""
+
+
+def features_rounded(df):
+    """Doubles at the digits that both engines agree on."""
+    return df.select(*[F.col(n) if n in _EXACT else (F.round(n, DIGITS.get(n, 6)) + F.lit(0.0)).alias(n) for n in df.columns])
+
+
+@query("feature_table", f"WITH RECURSIVE {FEATURES_SQL} SELECT {', '.join(n if n in _EXACT else f'round({n}, {DIGITS.get(n, 6)}) + 0.0 AS {n}' for n in _FEATURES)} FROM features")
 def features(spark, sf_dir):
-    return feature_table(derived_windows(spark, sf_dir))
+    return features_rounded(feature_table(derived_windows(spark, sf_dir)))
 
 
 def _simulated(spark, sf_dir, spec="baseline"):
