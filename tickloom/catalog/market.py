@@ -10,14 +10,15 @@ from tickloom.catalog.recording import DERIVED_SQL, EXCHANGE, SLICE_MS, WINDOW_M
 from tickloom.operators.audit import audit as audit_files
 from tickloom.operators.metrics import window_ic
 from tickloom.operators.quality import window_quality
+from tickloom.operators.settlement import WINDOW_END_TOLERANCE_MS as END_TOLERANCE_MS
 from tickloom.operators.settlement import infer_settlement
 from tickloom.operators.volatility import rolling_sigma
 from tickloom.operators.book import top_levels
 from tickloom.plans import ab, fills, fit, quotes, scores
 from tickloom.plans.features import attach_flow, feature_table
-from tickloom.plans.state import T, book_of, index_state, market_state, warmup_ticks
+from tickloom.plans.state import T, Windows, book_of, index_state, market_state, warmup_ticks
 from tickloom.plans.variants import parse_variants, stress_grid
-from tickloom.schemas import ORDER
+from tickloom.schemas import INDEX_EVENT, ORDER
 from tickloom.session import cut
 from tickloom.sources import recordings as rec
 
@@ -379,15 +380,78 @@ def model_scores(spark, sf_dir):
     return scores.score_models(derived_windows(spark, sf_dir))
 
 
-@query("calibration_by_bucket")
+def _clipped_sql(p: str) -> str:
+    return f"greatest(1e-9, least(1 - 1e-9, {p}))"
+
+
+@query(
+    "calibration_by_bucket",
+    f"""WITH RECURSIVE {FEATURES_SQL}, s AS (SELECT CASE WHEN seconds_to_close >= 90 AND seconds_to_close < 300 THEN '90-300' WHEN seconds_to_close >= 300 AND seconds_to_close < 600 THEN '300-600' WHEN seconds_to_close >= 600 AND seconds_to_close < 900 THEN '600-900' END AS bucket,
+      outcome_yes AS o, {_clipped_sql("gbm_fair")} AS g, {_clipped_sql("mid")} AS m FROM features WHERE outcome_yes IS NOT NULL)
+    SELECT bucket, count(*) AS n, {", ".join(f"round(avg(({p} - o) * ({p} - o)), 6) AS brier_{x}, round(avg(-(o * ln({p}) + (1 - o) * ln(1 - {p}))), 5) AS log_loss_{x}" for p, x in (("g", "gbm"), ("m", "mid")))}
+    FROM s WHERE bucket IS NOT NULL GROUP BY bucket HAVING count(*) >= 100""".replace(", s AS (SELECT CASE", ", cal AS (SELECT CASE").replace("FROM s WHERE bucket", "FROM cal WHERE bucket"),
+)
 def calibration_by_bucket(spark, sf_dir):
-    return fit.calibration(cut(feature_table(derived_windows(spark, sf_dir))))
+    found = fit.calibration(cut(feature_table(derived_windows(spark, sf_dir))))
+    scores = ("brier_gbm", "brier_mid", "log_loss_gbm", "log_loss_mid")
+    return found.select("bucket", "n", *[(F.round(c, 5 if "log" in c else 6) + F.lit(0.0)).alias(c) for c in scores])
+
+
+FINAL_MS = 200_000
+
+
+def _final_averages(spark, sf_dir):
+    """The derived recording with a partial settlement average in the index prints of the last 200 s of two windows in three."""
+    e = derived_events(spark, sf_dir)
+    w = F.regexp_extract("path", r"(\d+)", 1).cast("long")
+    close = F.lit(BASE_MS) + (w + 1) * WINDOW_MS
+    price = F.get_json_object(F.get_json_object("payload", "$.msg.data"), "$.value")
+    n = F.col("line") % 41 + 30
+    final = F.struct(price.alias("value"), n.cast("string").alias("window_size"), (close + F.col("line") % 3 * 1000).cast("string").alias("window_end_ts_exclusive"))
+    msg = F.from_json(F.get_json_object("payload", "$.msg"), "index_id string, data string")
+    richer = F.to_json(F.struct(F.lit(INDEX_EVENT).alias("type"), F.struct(msg["index_id"].alias("index_id"), msg["data"].alias("data"), final.alias("last_60s_windowed_average_15min")).alias("msg")))
+    late = (F.col("event_type") == INDEX_EVENT) & (F.col("receive_ts_ms") >= close - FINAL_MS) & (w % 3 != 0)
+    return Windows.from_recordings(cut(e.withColumn("payload", F.when(late, richer).otherwise(F.col("payload")))), slice_ms=SLICE_MS)
+
+
+_FINAL_SQL = f"""{DERIVED_SQL}, fa AS (SELECT *, {START_SQL} + {WINDOW_MS} AS close_ms, t >= {START_SQL} + {WINDOW_MS} - {FINAL_MS} AND w % 3 <> 0 AS late, (event_id + 10) % 41 + 30 AS n, {START_SQL} + {WINDOW_MS} + (event_id + 10) % 3 * 1000 AS end_ms FROM ticks)"""
+
+
+@query(
+    "settlement_by_final_average",
+    f"""WITH {_FINAL_SQL}, a0 AS (SELECT DISTINCT w FROM r), av AS (SELECT w, arg_max(price, (end_ms, -t, -event_id)) AS v FROM fa WHERE late AND n >= 60 AND abs(end_ms - close_ms) <= {END_TOLERANCE_MS} GROUP BY w),
+    lt AS (SELECT w, arg_max(price, (tick_ms, -event_id)) AS v FROM ticks GROUP BY w), j AS (SELECT a0.w, CASE WHEN a0.w % 3 <> 0 THEN coalesce(av.v, lt.v) END AS v, av.v IS NOT NULL AS averaged FROM a0 LEFT JOIN av USING (w) LEFT JOIN lt USING (w))
+    SELECT {TICKER_SQL} AS ticker, CASE WHEN w % 3 = 0 THEN CASE WHEN w % 2 = 0 THEN 'yes' ELSE 'no' END WHEN v IS NOT NULL THEN CASE WHEN CAST(v AS DECIMAL(18, 2)) >= 100 THEN 'yes' ELSE 'no' END END AS result,
+      CASE WHEN w % 3 = 0 THEN 'official' WHEN averaged THEN 'final_60s_average' WHEN v IS NOT NULL THEN 'last_preclose_tick' END AS settlement_source, v AS reference_value FROM j""",
+)
+def settlement_by_final_average(spark, sf_dir):
+    w = _final_averages(spark, sf_dir)
+    return infer_settlement(w.events, w.ticks, w.markets)
+
+
+@query(
+    "partial_average_carried",
+    f"""WITH {_FINAL_SQL}, y AS (SELECT r.w, r.event_id, r.t, last_value(CASE WHEN late THEN {{'a': fa.price, 'n': fa.n}} END IGNORE NULLS) OVER (PARTITION BY r.w ORDER BY r.t, r.event_id) AS f FROM r LEFT JOIN fa ON fa.w = r.w AND fa.event_id = r.event_id)
+    SELECT {TICKER_SQL} AS ticker, event_id + 10 AS line, f.a AS final_average, CAST(f.n AS INTEGER) AS final_count FROM y WHERE f IS NOT NULL""",
+)
+def partial_average_carried(spark, sf_dir):
+    """The newest partial average at every event after it."""
+    state = market_state(_final_averages(spark, sf_dir)).filter("final_average IS NOT NULL AND line < 1099511627776")
+    return state.select("ticker", "line", "final_average", F.col("final_count").cast("int").alias("final_count"))
+
+
+VARIANTS = "baseline,micro25,extlead50,wide2,close300,micro25+extlead50,micro25+wide2+close300"
 
 
 @query("variant_comparison")
 def variant_comparison(spark, sf_dir):
-    outcomes = cut(ab.window_outcomes(derived_windows(spark, sf_dir), parse_variants("baseline,micro25,extlead50,wide2,close300,micro25+extlead50,micro25+wide2+close300")))
-    return ab.ab_summary(outcomes)
+    """All windows quoted by plain and by fitted variants; the models come from the train windows."""
+    from tickloom.catalog.modelling import fitted_models
+
+    models = fitted_models(spark, sf_dir)
+    names = [VARIANTS, *(["toxgate6", "combo25x6"] if models.gate else []), *(["modelv", "modelv50"] if models.value else [])]
+    variants = parse_variants(",".join(names), models.gate, models.value)
+    return ab.ab_summary(cut(ab.window_outcomes(models.windows, variants)))
 
 
 @query("variant_stress_grid")

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.catalog.base import DAY, EVENTS_SQL, HOUR, events, query, rounded, table
 from tickloom.catalog.market import _simulated
-from tickloom.catalog.recording import derived_windows
+from tickloom.catalog.recording import SLICE_MS, derived_windows
 from tickloom.catalog.scalar import scored_documents
 from tickloom.operators import linear
 from tickloom.operators.bootstrap import bootstrap_ci, bootstrap_draws
+from tickloom.operators.linear import LinearModel
 from tickloom.operators.metrics import auc
 from tickloom.operators.pnl import fill_money, pnl_rollup
 from tickloom.operators.split import chronological_split, readable_windows, window_order
 from tickloom.plans import fit, reports
 from tickloom.plans.ab import ab_summary
 from tickloom.plans.features import feature_table, window_labels
+from tickloom.plans.fills import label_rows, mid_series
+from tickloom.plans.state import Windows
 from tickloom.session import cut
 from tickloom.sources.manifest import file_manifest, oldest_first
 from tickloom.sources.stores import not_stored
@@ -372,22 +377,48 @@ def two_side_samples(spark, sf_dir):
     return out.select(F.col("ticker").alias("event_id"), F.col("fill_side").alias("side"), "target", (F.col("adv_flow_5s") + 0.0).alias("adv_flow_5s"))
 
 
+@dataclass(frozen=True)
+class FittedModels:
+    """Both kinds of models from the train windows, and fills that they can be judged by."""
+
+    windows: Windows
+    gate: list[LinearModel]
+    value: list[LinearModel]
+    val_fills: DataFrame
+
+
+def fitted_models(spark, sf_dir) -> FittedModels:
+    """Features of all windows, the labelled fills of open-loop quotes, and the models of the train windows."""
+    windows, state, done = _simulated(spark, sf_dir)
+    features = cut(feature_table(windows))
+    labels = cut(label_rows(done.drop("variant"), features, mid_series(state, windows.markets), SLICE_MS))
+    parts = cut(readable_windows(chronological_split(window_order(features, "ticker", "ts_ms"))))
+
+    def of(rows: DataFrame, part: str) -> DataFrame:
+        return rows.join(parts.filter(F.col("part") == part).select("ticker"), "ticker", "left_semi")
+
+    gate = fit.fit_toxicity_models(of(labels, "train"), of(features, "train"))
+    return FittedModels(windows, gate, fit.fit_value_models(of(features, "train")), of(labels, "val"))
+
+
 @query("value_model_fit")
 def value_model_fit(spark, sf_dir):
     features = cut(feature_table(derived_windows(spark, sf_dir)))
-    parts = readable_windows(chronological_split(window_order(features, "ticker", "ts_ms")))
-    train = features.join(parts.filter("part = 'train'").select("ticker"), "ticker", "left_semi")
-    val = features.join(parts.filter("part = 'val'").select("ticker"), "ticker", "left_semi")
-    models = fit.fit_value_models(train)
-    return rounded(fit.evaluate_value_models(models, val), 6)
+    parts = cut(readable_windows(chronological_split(window_order(features, "ticker", "ts_ms"))))
+    train, val = (features.join(parts.filter(F.col("part") == p).select("ticker"), "ticker", "left_semi") for p in ("train", "val"))
+    return rounded(fit.evaluate_value_models(fit.fit_value_models(train), val), 6)
+
+
+@query("toxicity_model_evaluation")
+def toxicity_model_evaluation(spark, sf_dir):
+    """AUC and Brier score of every toxicity model on the fills of windows it has not seen."""
+    models = fitted_models(spark, sf_dir)
+    return rounded(fit.evaluate_toxicity_models(models.gate, models.val_fills), 6)
 
 
 @query("toxicity_model_fit")
 def toxicity_model_fit(spark, sf_dir):
-    features = cut(feature_table(derived_windows(spark, sf_dir)))
-    parts = readable_windows(chronological_split(window_order(features, "ticker", "ts_ms")))
-    train = features.join(parts.filter("part = 'train'").select("ticker"), "ticker", "left_semi")
-    models = fit.fit_toxicity_models(None, train)
+    models = fitted_models(spark, sf_dir).gate
     out = [(m.meta["training"], f"{int(m.bucket[0])}-{int(m.bucket[1])}", n, c) for m in models for n, c in zip(("intercept", *m.features), (m.intercept, *m.coefs))]
     return rounded(spark.createDataFrame(out, "training string, bucket string, term string, weight double"), 6)
 
