@@ -24,7 +24,7 @@ def fresh_folder(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
 
 
-LANDINGS = 5
+LANDINGS, LANDING_ROWS = 5, 1_000_000  # at least so many, and at most so many rows each
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -44,11 +44,12 @@ def landed(df: DataFrame, t: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_folder(spark)
     stored = cut(df)
-    cuts = stored.select(F.percentile_approx(t, [i / LANDINGS for i in range(1, LANDINGS)], 10_000)).first()[0] or []
+    landings = max(LANDINGS, -(-stored.count() // LANDING_ROWS))
+    cuts = stored.select(F.percentile_approx(t, [i / landings for i in range(1, landings)], 10_000)).first()[0] or []
     part = F.lit(0)
     for c in cuts:
         part = part + F.when(F.col(t) > c, 1).otherwise(0)
-    for i in range(LANDINGS):
+    for i in range(landings):
         stored.filter(part == i).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
