@@ -155,3 +155,61 @@ def contaminated(text: str, items: list[str], run: int = 13, literals: int = 5)
                     if any(doc[offset + i : offset + i + run] == t[i : i + run] and sum(k == "" for k, _ in t[i : i + run]) >= literals for t in twins):
                         return True
     return False
+
+
+def text_statistics(text: str) -> list[float]:
+    """The quality classifier's statistics of one text, counted byte by byte and word by word."""
+    data = text.encode()
+    words = [w.encode() for w in WORDS.findall(text)]
+    lines = [line for line in re.findall(r"[^\n]*\n|[^\n]+", text)]
+    n, count = max(len(data), 1), max(len(words), 1)
+    lengths = [len(w) for w in words]
+    mean = sum(lengths) / count
+    symbols = b"#$%&*+/<=>@[\\]^_`{}~"
+    control = {*range(0, 9), *range(14, 32), 127}
+    kinds = [
+        sum(48 <= b < 58 for b in data), sum(65 <= b < 91 for b in data), sum(b in b".,;:!?'\"()-" for b in data), sum(b in symbols for b in data), sum(b == ord("|") for b in data),
+        sum(b in control for b in data),
+    ]
+    return [
+        math.log1p(len(data)), math.log1p(len(words)), mean, math.sqrt(max(sum(x * x for x in lengths) / count - mean * mean, 0)), max(lengths, default=0), *(k / n for k in kinds),
+        len(set(words)) / count, sum(a == b for a, b in zip(words, words[1:])) / count, sum(any(b in symbols + b"|" for b in w) for w in words) / count, sum(x > 20 for x in lengths) / count,
+        math.log1p(len(lines)), len(words) / max(len(lines), 1), len(set(lines)) / max(len(lines), 1),
+    ]
+
+
+def gram_buckets(text: str, bits: int = 15) -> list[int]:
+    """Buckets of all n-grams of one to three characters of the folded text."""
+    folded = ""
+    for c in text:
+        low = c.lower() if ord(c) < 0x10000 else c
+        c = (low if len(low) == 1 else c) if c.isalpha() else " "
+        folded += "" if c == " " and folded.endswith(" ") else c
+    out = []
+    for order in (1, 2, 3):
+        for i in range(len(folded) - order + 1):
+            h = order
+            for c in folded[i : i + order]:
+                h = (h ^ ord(c)) * 0x9E3779B1 % (1 << 32)
+                h ^= h >> 15
+            if order > 1 or folded[i] != " ":
+                out.append(h >> (32 - bits))
+    return out
+
+
+def language_scores(train: list[tuple[str, str]], texts: list[str], smoothing: float = 0.5, buckets: int = 1 << 15) -> list[dict[str, float]]:
+    """Posterior probability of every language, per text."""
+    counts = {lang: collections.Counter() for _, lang in train}
+    seen = collections.Counter()
+    for text, lang in train:
+        counts[lang].update(gram_buckets(text))
+        seen[lang] += any(c.isalpha() for c in text)
+    total = {lang: sum(c.values()) + smoothing * buckets for lang, c in counts.items()}
+    out = []
+    for text in texts:
+        grams = gram_buckets(text)
+        score = {lang: math.log((seen[lang] + 1) / (sum(seen.values()) + len(seen))) + sum(math.log((c[g] + smoothing) / total[lang]) for g in grams) for lang, c in counts.items()}
+        top = max(score.values())
+        mass = {lang: math.exp(s - top) for lang, s in score.items()}
+        out.append({lang: m / sum(mass.values()) for lang, m in mass.items()})
+    return out

@@ -60,7 +60,7 @@ def test_queries_equal_their_sql(spark):
     con = duckdb.connect()
     for table in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
-    for name in ("op3_ngram_jaccard_join", "op5_warc", "op8_exact_top_k", "op9_line_dedup", "op10_substring_dedup"):
+    for name in ("op3_ngram_jaccard_join", "op5_warc", "op8_exact_top_k", "op9_line_dedup", "op10_substring_dedup", "op11_hard_negatives", "op13_license_scan"):
         cursor = con.execute(entry.oracle_sql()[name])
         names = [d[0] for d in cursor.description]
         assert Counter(tuple(r) for r in entry.queries()[name](spark, SF).select(*names).collect()) == Counter(cursor.fetchall()), name
@@ -72,4 +72,4 @@ def test_query_columns(spark):
     assert {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None} and {r.shard for r in rows} == set(range(16))
     text = dict(duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall())
     assert all(r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in rows)
-    assert {"op1_sharding", "op2_template_decontamination", "op4_quality_rules", "op6_language_id", "op7_mixing_to_targets", "pipeline"} <= set(q)
+    assert {"op1_sharding", "op2_template_decontamination", "op4_quality_rules", "op6_language_id", "op7_mixing_to_targets", "op12_whitening", "pipeline"} <= set(q)
