@@ -1,12 +1,14 @@
 import gzip
 import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from recording import metadata, write_recording
 from tickloom.operators.linear import LinearModel, load_models, save_models
+from tickloom.session import cut, job_folder
 from tickloom.sources import recordings as rec
 from tickloom.sources.manifest import file_manifest, ready, reclaim, recording_flags, verified
 from tickloom.sources.stores import load_features, load_fills, not_stored, read_store, select_existing, write_store
@@ -136,3 +138,11 @@ def test_a_ticker_filter_skips_files(spark, tmp_path):
     allowed = load_fills(spark, path, spark.createDataFrame([("T007",), ("T150",)], "ticker string"))
     assert allowed.count() == 40 and len(allowed.inputFiles()) < len(whole.inputFiles())
     assert len(read_store(spark, path, since_ms=10**9).inputFiles()) <= 1 and read_store(spark, path, since_ms=10**9).count() == 0
+
+
+def test_a_job_removes_its_written_tables(spark):
+    with job_folder(spark) as folder:
+        kept = cut(spark.range(5))
+        assert kept.count() == 5 and kept.inputFiles()[0].replace("file://", "").startswith(folder.replace("file://", ""))
+    assert not os.path.exists(folder.replace("file://", ""))
+    assert cut(spark.range(3)).count() == 3

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +54,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+_FOLDER: ContextVar[str | None] = ContextVar("folder of the job's written tables", default=None)
+
+
+@contextmanager
+def job_folder(spark: SparkSession) -> Iterator[str]:
+    """Give the tables that ``cut`` writes an owner: a folder of their own, removed when the block ends.
+
+    What is to outlive the block has to be written elsewhere (or collected) inside it.
+    """
+    folder = f"{checkpoint_dir(spark)}/job-{uuid.uuid4().hex}"
+    token = _FOLDER.set(folder)
+    try:
+        yield folder
+    finally:
+        _FOLDER.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and go on from the written table.
 
@@ -59,6 +81,6 @@ def cut(df: DataFrame) -> DataFrame:
     a lost executor, and has known sizes for the joins that follow.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{_FOLDER.get() or checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
