@@ -19,12 +19,13 @@ from tickloom.operators.metrics import auc
 from tickloom.operators.pnl import fill_money, pnl_rollup
 from tickloom.operators.split import chronological_split, readable_windows, window_order
 from tickloom.plans import fit, reports
-from tickloom.plans.ab import ab_summary
+from tickloom.plans.ab import ab_summary, promotion_candidate
 from tickloom.plans.features import feature_table, window_labels
-from tickloom.plans.fills import label_rows, mid_series
+from tickloom.plans.fills import label_rows, label_summary, mid_series
 from tickloom.plans.state import Windows
 from tickloom.session import cut
-from tickloom.sources.manifest import file_manifest, oldest_first
+from tickloom.sources.manifest import archive_backlog, file_manifest, oldest_first
+from tickloom.sources.recordings import incentives_of
 from tickloom.sources.stores import not_stored
 
 _ORDER_SQL = f"""{EVENTS_SQL}, o AS (SELECT user_id, min(t) AS first FROM e GROUP BY user_id), p AS (SELECT *, row_number() OVER (ORDER BY first, user_id) AS position, count(*) OVER () AS n FROM o),
@@ -433,3 +434,64 @@ def settlement_pnl_by_window(spark, sf_dir):
 def table_file_manifest(spark, sf_dir):
     manifest = file_manifest(spark, sf_dir, "tables", "archive", "*.parquet")
     return manifest.select("key", "size", "sha256")
+
+
+@query(
+    "label_summary",
+    "SELECT CAST(l_suppkey AS VARCHAR) AS ticker, count(*) AS fills, count(*) FILTER (l_linenumber % 4 <> 0 AND l_discount > 0.05) AS toxic_5s FROM lineitem GROUP BY l_suppkey",
+)
+def label_summary_by_supplier(spark, sf_dir):
+    toxic = F.when(F.col("l_linenumber") % 4 != 0, (F.col("l_discount") > 0.05).cast("double"))
+    labels = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("ticker"), toxic.alias("toxic_5s"))
+    return label_summary(labels)
+
+
+@query(
+    "promotion_candidate",
+    """WITH s AS (SELECT l_returnflag || l_linenumber AS variant, avg(l_discount) - 0.0499 AS m, avg(l_tax) - 0.0399 AS low, avg(l_tax) AS d FROM lineitem GROUP BY 1)
+    SELECT arg_max(variant, d) AS variant, round(max(d), 8) AS d_settle, count(*) AS qualified FROM s WHERE m > 0 AND low > 0""",
+)
+def best_variant(spark, sf_dir):
+    variant = F.concat("l_returnflag", F.col("l_linenumber").cast("string"))
+    summary = table(spark, sf_dir, "lineitem").groupBy(variant.alias("variant")).agg(
+        (F.avg("l_discount") - 0.0499).alias("d_markout_low"), (F.avg("l_tax") - 0.0399).alias("d_settle_low"), F.avg("l_tax").alias("d_settle")
+    )
+    return rounded(promotion_candidate(summary), 8)
+
+
+ARCHIVE_NOW_S = 900_000_000
+
+
+@query(
+    "archive_backlog",
+    """WITH b AS (SELECT o_orderkey, o_orderkey % 20000 AS age, o_orderkey % 2 = 0 AS ev, o_orderstatus = 'F' AS closed, substr(o_orderpriority, 1, 1) = '1' AS finalized, o_orderkey % 11 <> 0 AS readable,
+      o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0 AS done FROM orders),
+    c AS (SELECT *, NOT done AND age >= 60 AND readable AND CASE WHEN ev AND NOT closed THEN age >= 7200 ELSE finalized OR age >= 900 END AS pending FROM b)
+    SELECT count(*) FILTER (pending OR done) AS ready, count(*) FILTER (pending) AS pending, CAST(max(age) FILTER (pending) AS DOUBLE) AS oldest_pending_s, coalesce(max(age) FILTER (pending) > 1800, false) AS alarm,
+      'k/' || max(o_orderkey) FILTER (done) AS newest_key FROM c""",
+)
+def archive_backlog_of_orders(spark, sf_dir):
+    """Orders as recordings: every third one uploaded, some of these changed since."""
+    n = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    path = F.concat(F.when(n % 2 == 0, "d/events_").otherwise("d/runner_"), n.cast("string"))
+    mtime = ((F.lit(ARCHIVE_NOW_S) - n % 20000) * 1_000_000).cast("long")
+    size = F.floor("o_totalprice").cast("long")
+    manifest = orders.select(path.alias("path"), F.lit("b").alias("bucket"), F.concat(F.lit("k/"), n.cast("string")).alias("key"), size.alias("size"), mtime.alias("mtime_us"), F.lit("").alias("sha256"))
+    flags = orders.select(path.alias("path"), (F.col("o_orderstatus") == "F").alias("closed"), F.col("o_orderpriority").startswith("1").alias("finalized"), (n % 11 != 0).alias("readable"))
+    markers = orders.filter(n % 3 == 0).select(
+        F.lit("b").alias("bucket"), F.concat(F.lit("k/"), n.cast("string")).alias("key"), F.when(n % 5 == 0, size + 1).otherwise(size).alias("size"), mtime.alias("mtime_us"), F.lit("").alias("sha256"), n.cast("double").alias("uploaded_at")
+    )
+    return archive_backlog(manifest, flags, markers, float(ARCHIVE_NOW_S))
+
+
+@query(
+    "incentive_filter",
+    "SELECT l_orderkey, count(*) FILTER (l_linenumber % 3 = 1) AS n, coalesce(string_agg(l_returnflag, ',' ORDER BY l_returnflag) FILTER (l_linenumber % 3 = 1), '') AS kinds FROM lineitem GROUP BY l_orderkey",
+)
+def incentive_filter(spark, sf_dir):
+    """Items of a programme list in JSON that name one market; an order's lines are its list."""
+    item = F.struct(F.concat(F.lit("T"), F.col("l_linenumber") % 3).alias("market_ticker"), F.col("l_returnflag").alias("incentive_type"), F.col("l_shipdate").cast("string").alias("start_date"))
+    lists = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.struct(F.collect_list(item).alias("incentive_programs"))).alias("payload"))
+    mine = lists.select("l_orderkey", incentives_of(F.col("payload"), F.lit("T1")).alias("items"))
+    return mine.select("l_orderkey", F.size("items").cast("long").alias("n"), F.array_join(F.array_sort(F.transform("items", lambda x: x["incentive_type"])), ",").alias("kinds"))
