@@ -230,3 +230,15 @@ def store_compaction(spark, sf_dir):
     stored = load_fills(spark, path, final)
     version = VersionLog(spark, path).snapshot()[0]
     return rounded(stored.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.sum("count").alias("contracts"), F.sum("price").alias("prices"), F.lit(version).alias("version")), 4)
+
+
+@query(
+    "final_windows_readable",
+    f"""WITH {DERIVED_SQL} SELECT DISTINCT {TICKER_SQL} AS ticker FROM r WHERE {BASE_MS // 1000 + 9000} > {START_SQL} // 1000 + 900 + 3600 OR w % {TORN_EVERY} <> 0""",
+)
+def final_windows_readable(spark, sf_dir):
+    """Windows that closed lately count as final only if their second fragment can be read to its end."""
+    flags = recording_flags(rec.scan_lines(spark, written_recording(spark, sf_dir), "events_b*"))
+    unreadable = flags.filter(~F.col("readable")).select(F.element_at(F.split("path", "/"), -2).alias("ticker"))
+    markets = rec.market_dimension(rec.file_dimension(cut(derived_events(spark, sf_dir))))
+    return rec.final_windows(markets, BASE_MS / 1000 + 9000, unreadable).select("ticker")
