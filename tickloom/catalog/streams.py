@@ -174,7 +174,13 @@ def venue_book_summary(spark, sf_dir):
     return summed.select("l_orderkey", "s.mid", F.round("s.microprice", 6).alias("microprice"), (F.round("s.depth_imbalance", 6) + 0.0).alias("depth_imbalance"))
 
 
-@query("venue_book_checksum")
+@query(
+    "venue_book_checksum",
+    f"""WITH {EVENTS_SQL}, crc AS (SELECT [list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) FOR n IN range(256)] AS steps),
+    s AS (SELECT event_id, event_type, (100 + k) || '75' || (1 + k % 7) || '250' || (100 + k) || '50' || (1 + k % 7) || '250' AS digits FROM e WHERE event_type IN ('view', 'click', 'error'))
+    SELECT event_id AS line, CASE event_type WHEN 'view' THEN 'binance' WHEN 'click' THEN 'kraken' ELSE 'coinbase' END AS venue,
+      xor(list_reduce(list_concat([4294967295], [CAST(ord(x) AS BIGINT) FOR x IN string_split(digits, '')]), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM s, crc""",
+)
 def venue_book_checksum(spark, sf_dir):
     from tickloom.sources.venues import book_checksum
 
