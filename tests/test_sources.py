@@ -146,3 +146,18 @@ def test_a_job_removes_its_written_tables(spark):
         assert kept.count() == 5 and kept.inputFiles()[0].replace("file://", "").startswith(folder.replace("file://", ""))
     assert not os.path.exists(folder.replace("file://", ""))
     assert cut(spark.range(3)).count() == 3
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_files_share_tasks_and_lose_no_line(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"M{i}").mkdir()
+        (tmp_path / f"M{i}" / "events_a.jsonl").write_text("".join('{"event_type": "trade", "n": %d}\n' % n for n in range(i % 40)))
+    lines = rec.scan_lines(spark, str(tmp_path), blockBytes=256, partBytes=512)
+    cores = spark.sparkContext.defaultParallelism
+    assert lines.rdd.getNumPartitions() <= 8 * cores < 300
+    assert {r.ticker: r.n for r in rec.numbered(lines).groupBy("ticker").agg((F.max("number") + 1).alias("n")).collect()} == {f"M{i}": i % 40 or None for i in range(300)}
+    assert lines.filter("line < 0").count() == 300

@@ -4,8 +4,9 @@ Recordings lie as ``root/<ticker>/<family>_<run>.jsonl`` or ``.jsonl.gz``.  Regi
 (``register``), then use ``spark.read.format("recordings")``, ``spark.readStream.format("recordings")`` or
 ``df.write.format("recordings")``; ``tickloom.sources.recordings`` does so for its scans.
 
-* **Reader.** Plain files are cut into parts at multiples of ``BLOCK_BYTES``; a packed file is one task, read and
-  inflated a piece at a time.  A file cut short or damaged gives its whole lines as far as they reach, and a closing
+* **Reader.** Plain files are cut into parts at multiples of ``BLOCK_BYTES``; a packed file is one piece, read and
+  inflated bit by bit.  A task reads as many neighbouring pieces as make up ``TASK_BYTES``, so the number of tasks
+  grows with the bytes and not with the files.  A file cut short or damaged gives its whole lines as far as they reach, and a closing
   row whose ``complete`` is false.  Rows carry their place as (``block``, ``line``): the start of the
   block of the unpacked file in which the line begins, and its number among the block's lines.  Both depend on the
   file alone, so any cut into tasks gives the same places.
@@ -39,6 +40,10 @@ from pyspark.sql.datasource import (
 NAME = "recordings"
 BLOCK_BYTES = 8 << 20
 READ_BYTES = 1 << 20
+TASK_BYTES = 64 << 20  # that a task reads, unpacked
+OPEN_BYTES = 128 << 10  # what opening a file costs, in bytes read meanwhile
+INFLATION = 8  # bytes of a packed file's text for each of its own, about
+TASKS_PER_CORE = 4  # at least, where there are so many pieces
 ROWS = 4096  # of a batch
 PENDING = "_pending-"  # names that begin with an underscore are passed over
 SCHEMA = "path string, ticker string, name string, day date, modified timestamp, block bigint, line bigint, value string, complete boolean"
@@ -104,7 +109,7 @@ _CHECKS = {
 FILE_COLUMNS = ("ticker", "day", "name", "path")
 
 
-class Piece(InputPartition):
+class Piece:
     """The lines of a file that begin within [low, high); a packed file is always whole."""
 
     def __init__(self, file: File, low: int, high: int) -> None:
@@ -117,6 +122,27 @@ def pieces(file: File, part: int) -> list[Piece]:
     return [Piece(file, low, min(low + part, file.size)) for low in range(0, file.size, part)]
 
 
+class Bundle(InputPartition):
+    """The pieces that one task reads."""
+
+    def __init__(self, held: list[Piece]) -> None:
+        self.held = held
+
+
+def bundles(found: Iterable[Piece], cores: int) -> list[Bundle]:
+    """Neighbouring pieces in bundles of about equal cost, no piece cut and none left out."""
+    costed = [(p, (p.high - p.low) * (INFLATION if p.file.packed else 1) + OPEN_BYTES) for p in found]
+    most = min(TASK_BYTES, sum(cost for _, cost in costed) // (TASKS_PER_CORE * max(1, cores)))
+    out, room = [], 0
+    for piece, cost in costed:
+        if not out or cost > room:
+            out.append(Bundle([]))
+            room = most
+        out[-1].held.append(piece)
+        room -= cost
+    return out
+
+
 class _Lines:
     """Rows of a file in batches, each with its block and its number there."""
 
@@ -205,8 +231,8 @@ def read_piece(piece: Piece, block: int = BLOCK_BYTES) -> Iterator[pa.RecordBatc
 
 
 class RecordingReader(DataSourceReader):
-    def __init__(self, roots: list[str], pattern: str, part: int, block: int) -> None:
-        self.roots, self.pattern, self.part, self.block = roots, pattern, part, block
+    def __init__(self, roots: list[str], pattern: str, part: int, block: int, cores: int) -> None:
+        self.roots, self.pattern, self.part, self.block, self.cores = roots, pattern, part, block, cores
         self.filters: list[Filter] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
@@ -220,19 +246,19 @@ class RecordingReader(DataSourceReader):
         files = list_files(self.roots, self.pattern)
         return [f for f in files if all(_CHECKS[type(c)](getattr(f, c.attribute[0]), c) for c in self.filters)]
 
-    def partitions(self) -> list[Piece]:
-        return [p for f in self.chosen() for p in pieces(f, self.part)] or [Piece(File("", 0, 0), 0, 0)]
+    def partitions(self) -> list[Bundle]:
+        return bundles((p for f in self.chosen() for p in pieces(f, self.part)), self.cores) or [Bundle([])]
 
-    def read(self, piece: Piece) -> Iterator[pa.RecordBatch]:
-        if piece.file.path:
+    def read(self, bundle: Bundle) -> Iterator[pa.RecordBatch]:
+        for piece in bundle.held:
             yield from read_piece(piece, self.block)
 
 
 class RecordingStream(DataSourceStreamReader):
     """Offsets are the time of change and the path of the last file taken."""
 
-    def __init__(self, roots: list[str], pattern: str, part: int, block: int) -> None:
-        self.roots, self.pattern, self.part, self.block = roots, pattern, part, block
+    def __init__(self, roots: list[str], pattern: str, part: int, block: int, cores: int) -> None:
+        self.roots, self.pattern, self.part, self.block, self.cores = roots, pattern, part, block, cores
 
     def _landed(self) -> list[File]:
         return sorted(list_files(self.roots, self.pattern), key=lambda f: (f.modified, f.path))
@@ -244,12 +270,13 @@ class RecordingStream(DataSourceStreamReader):
         files = self._landed()
         return {"modified": files[-1].modified, "path": files[-1].path} if files else self.initialOffset()
 
-    def partitions(self, start: dict, end: dict) -> list[Piece]:
+    def partitions(self, start: dict, end: dict) -> list[Bundle]:
         low, high = (start["modified"], start["path"]), (end["modified"], end["path"])
-        return [p for f in self._landed() if low < (f.modified, f.path) <= high for p in pieces(f, self.part)]
+        return bundles((p for f in self._landed() if low < (f.modified, f.path) <= high for p in pieces(f, self.part)), self.cores)
 
-    def read(self, piece: Piece) -> Iterator[pa.RecordBatch]:
-        yield from read_piece(piece, self.block)
+    def read(self, bundle: Bundle) -> Iterator[pa.RecordBatch]:
+        for piece in bundle.held:
+            yield from read_piece(piece, self.block)
 
 
 @dataclass
@@ -307,7 +334,7 @@ class RecordingWriter(DataSourceArrowWriter):
 
 
 class Recordings(DataSource):
-    """Options: path or paths (a JSON list), pattern (names, set apart by bars), partBytes, blockBytes."""
+    """Options: path or paths (a JSON list), pattern (names, set apart by bars), partBytes, blockBytes, cores."""
 
     @classmethod
     def name(cls) -> str:
@@ -316,11 +343,11 @@ class Recordings(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def _where(self) -> tuple[list[str], str, int, int]:
+    def _where(self) -> tuple[list[str], str, int, int, int]:
         roots = json.loads(self.options["paths"]) if "paths" in self.options else [self.options["path"]]
         block = int(self.options.get("blockBytes", BLOCK_BYTES))
         part = int(self.options.get("partBytes", 128 << 20))
-        return roots, self.options.get("pattern", "*"), max(1, part // block) * block, block
+        return roots, self.options.get("pattern", "*"), max(1, part // block) * block, block, int(self.options.get("cores", 16))
 
     def reader(self, schema) -> RecordingReader:
         return RecordingReader(*self._where())

@@ -29,7 +29,7 @@ def envelope_stream(spark: SparkSession, path: str, files_per_trigger: int = 100
 def recording_stream(spark: SparkSession, path: str, pattern: str = "*", **options: int) -> DataFrame:
     """Recordings that land in ``path`` as a stream of envelopes, with file, place, ticker and ``received``."""
     recording_source.register(spark)
-    reader = spark.readStream.format(recording_source.NAME).option("path", path).option("pattern", pattern)
+    reader = spark.readStream.format(recording_source.NAME).option("path", path).option("pattern", pattern).option("cores", spark.sparkContext.defaultParallelism)
     for name, value in options.items():
         reader = reader.option(name, value)
     lines = reader.load().filter("line >= 0")
