@@ -161,3 +161,10 @@ def test_small_files_share_tasks_and_lose_no_line(spark, tmp_path):
     assert lines.rdd.getNumPartitions() <= 8 * cores < 300
     assert {r.ticker: r.n for r in rec.numbered(lines).groupBy("ticker").agg((F.max("number") + 1).alias("n")).collect()} == {f"M{i}": i % 40 or None for i in range(300)}
     assert lines.filter("line < 0").count() == 300
+
+
+def test_blocks_are_not_broadcast_to_their_lines(spark, tmp_path):
+    write_recording(tmp_path / "events_a.jsonl", "M1", n=200, seed=5)
+    lines = rec.numbered(rec.scan_lines(spark, str(tmp_path), blockBytes=1024))
+    assert "BroadcastHashJoin" not in plan_of(lines)
+    assert [r.number for r in lines.filter("line >= 0").orderBy("number").collect()] == list(range(lines.filter("line >= 0").count()))
