@@ -246,3 +246,9 @@ def test_ridge_and_logistic_match_numpy(spark):
         w = w - np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + penalty, design.T @ (p - label) + penalty @ w)
     fit = fit_logistic(df, "g", ["a", "b", "c"], "label", min_rows=10)["all"]
     np.testing.assert_allclose([fit["intercept"], *fit["coefs"]], w, rtol=1e-7)
+
+
+def test_bootstrap_picks_are_not_broadcast(spark):
+    values = spark.range(500).selectExpr("id AS w", "CAST(id % 7 AS DOUBLE) AS x")
+    plan = bootstrap_draws(values, [], "x", "w", draws=50)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan
