@@ -15,6 +15,7 @@ from tickloom.operators.quality import consecutive, sustained
 from tickloom.operators.sampling import forced_sample, greedy_reference, greedy_sample
 from tickloom.operators.slices import reflected_running_sum, running
 from tickloom.operators.volatility import HORIZON_WEIGHTS, multi_horizon_forecast
+from tickloom.plans.reports import regime_filter
 
 
 @pytest.fixture(scope="module")
@@ -252,3 +253,18 @@ def test_bootstrap_picks_are_not_broadcast(spark):
     values = spark.range(500).selectExpr("id AS w", "CAST(id % 7 AS DOUBLE) AS x")
     plan = bootstrap_draws(values, [], "x", "w", draws=50)._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan
+
+
+def test_regime_filter_against_a_loop(spark):
+    r = random.Random(11)
+    rows = [(i, r.choice("ab"), r.choice([r.randrange(-50, 400), 7]), r.choice([None, r.uniform(-9, 9)])) for i in range(400)]
+    df = spark.createDataFrame(rows, "i long, k string, t long, x double")
+    out = regime_filter(df, ["k"], "t", "x", 60, 0.5, 500)
+    assert "RangeFrame, -60" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {g.i: g for g in out.collect()}
+    assert len(got) == len(rows)
+    for i, k, t, _ in rows:
+        held = [x for _, k2, t2, x in rows if k2 == k and t - 60 <= t2 < t and x is not None]
+        mean = sum(held) / len(held) if held else None
+        assert got[i].windows_seen == len(held) and got[i].stand_down == (mean is not None and mean < 0.5)
+        assert got[i].trailing is None if mean is None else abs(got[i].trailing - mean) < 1e-9

@@ -99,14 +99,28 @@ def pnl_decomposition(money: DataFrame, keys: Sequence[str], mid_at_fill: str, o
 def regime_filter(outcomes: DataFrame, keys: Sequence[str], t: str, value: str, lookback: int, threshold: float, width: int) -> DataFrame:
     """Trailing mean of ``value`` over the ``lookback`` time units before each window, and whether to stand down.
 
-    Only earlier windows count, so the flag is known when the window opens.
+    Only earlier windows count, so the flag is known when the window opens.  Slices are ``lookback`` wide, so a frame
+    is the end of one slice and the beginning of the next: two running sums, and no frame is summed row by row.  Where
+    ``width`` is larger, a slice is still one ``lookback``.
     """
-    from tickloom.operators.slices import OWN, SLICE, slice_window, with_halo
-
-    haloed = with_halo(outcomes, t, max(width, lookback), back=lookback)
-    frame = slice_window(keys, t).rangeBetween(-lookback, -1)
-    trailing = haloed.withColumn("trailing", F.avg(value).over(frame)).withColumn("windows_seen", F.count(value).over(frame))
-    return trailing.filter(F.col(OWN)).drop(SLICE, OWN).withColumn(
+    from tickloom.operators.slices import OWN, SLICE, with_halo
+
+    haloed = with_halo(outcomes, t, lookback, back=lookback).withColumns({
+        # Rows of the slice before stand where they leave the frame.
+        "_at": F.when(F.col(OWN), F.col(t)).otherwise(F.col(t) + F.lit(lookback)),
+        "_begun": F.when(F.col(OWN), F.col(value)), "_ending": F.when(~F.col(OWN), F.col(value)),
+    })
+    by = Window.partitionBy(*keys, SLICE)
+    earlier = by.orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    still = by.orderBy(F.col("_at").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    sums = haloed.select(
+        "*", F.sum("_begun").over(earlier).alias("_sum_begun"), F.count("_begun").over(earlier).alias("_n_begun"),
+        F.sum("_ending").over(still).alias("_sum_ending"), F.count("_ending").over(still).alias("_n_ending"),
+    ).filter(F.col(OWN))
+    total = F.coalesce(F.col("_sum_begun") + F.col("_sum_ending"), F.col("_sum_begun"), F.col("_sum_ending"))
+    seen = F.col("_n_begun") + F.col("_n_ending")
+    trailing = sums.withColumn("trailing", F.when(seen > 0, total / seen)).withColumn("windows_seen", seen)
+    return trailing.select(*outcomes.columns, "trailing", "windows_seen").withColumn(
         "stand_down", F.coalesce(F.col("trailing") < threshold, F.lit(False))
     )
 
