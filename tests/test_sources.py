@@ -10,7 +10,7 @@ from recording import metadata, write_recording
 from tickloom.operators.linear import LinearModel, load_models, save_models
 from tickloom.session import cut, job_folder
 from tickloom.sources import recordings as rec
-from tickloom.sources.files import TASKS_PER_CORE, dealt
+from tickloom.sources.files import dealt, tasks_by_cores
 from tickloom.sources.manifest import file_manifest, ready, reclaim, recording_flags, verified
 from tickloom.sources.stores import load_features, load_fills, not_stored, read_store, select_existing, write_store
 from tickloom.sources.versions import ConcurrentWrite, VersionLog
@@ -173,7 +173,7 @@ def test_blocks_are_not_broadcast_to_their_lines(spark, tmp_path):
 
 def test_many_files_are_dealt_to_tasks_by_cores(spark):
     files = spark.range(2000).selectExpr("CONCAT('f', id) AS path")
-    tasks = dealt(files)
-    assert tasks.rdd.getNumPartitions() <= TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    tasks = dealt(files, tasks_by_cores(spark))
+    assert tasks.rdd.getNumPartitions() <= 16 * spark.sparkContext.defaultParallelism
     assert tasks.count() == tasks.distinct().count() == 2000
-    assert dealt(files.limit(3)).rdd.getNumPartitions() == 3
+    assert dealt(files.limit(3), tasks_by_cores(spark)).rdd.getNumPartitions() == 3

@@ -19,7 +19,7 @@ from tickloom.schemas import INDEX_EVENT
 from tickloom.session import cut
 from tickloom.sources import recording_source
 from tickloom.sources import recordings as rec
-from tickloom.sources.files import dealt
+from tickloom.sources.files import dealt, tasks_by_cores
 from tickloom.sources.manifest import file_manifest, recording_flags
 from tickloom.sources.stores import compact, load_fills
 from tickloom.sources.versions import VersionLog
@@ -52,7 +52,7 @@ def _torn(files: DataFrame) -> DataFrame:
                     out.write(b"\x1f\x8b\x08\x00")
             yield batch
 
-    return dealt(files.select("path")).mapInPandas(tear, "path string")
+    return dealt(files.select("path"), tasks_by_cores(files.sparkSession)).mapInPandas(tear, "path string")
 
 
 def written_recording(spark: SparkSession, sf_dir: str) -> str:

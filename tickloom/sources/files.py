@@ -7,21 +7,25 @@ import zlib
 from collections.abc import Iterator
 
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 20
-TASKS_PER_CORE = 16  # so that a few large files don't hold up the others
+MAX_TASKS = 10_000
+TASKS_PER_CORE = 16  # of files that may be small; so many that a few large ones don't hold up the others
 
 
-def dealt(files: DataFrame, most: int | None = None) -> DataFrame:
+def tasks_by_cores(spark: SparkSession) -> int:
+    """A limit for ``dealt`` where files may be small and many: a task that opens one mostly waits for its start."""
+    return TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+
+
+def dealt(files: DataFrame, most: int = MAX_TASKS) -> DataFrame:
     """A table of files with one of them a task, or evenly many where there are more than ``most``.
 
-    ``most`` goes by the cores, since a task that opens one small file mostly waits for its start.
     Names are short, so Spark would merge partitions by their size and let one task read everything.  The
     number of partitions is given here, and the names are dealt one by one from a single list.
     """
-    most = most or TASKS_PER_CORE * files.sparkSession.sparkContext.defaultParallelism
     listed = files.coalesce(1).withColumn("_n", F.monotonically_increasing_id())
     return listed.repartitionByRange(max(1, min(files.count(), most)), "_n").drop("_n")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickloom.operators.slices import running
-from tickloom.sources.files import dealt, read_blocks
+from tickloom.sources.files import dealt, read_blocks, tasks_by_cores
 from tickloom.sources.recordings import FILE_PATTERN
 
 # Ages in seconds that decide when a recording may be archived.
@@ -41,7 +41,7 @@ def file_manifest(spark: SparkSession, root: str, prefix: str, bucket: str, patt
 
     # Files are read in blocks by the tasks; no file is held whole.
     schema = "path string, bucket string, key string, size bigint, mtime_us bigint, sha256 string"
-    return dealt(listed).mapInPandas(digest, schema).select("path", "bucket", "key", "size", "sha256", "mtime_us")
+    return dealt(listed, tasks_by_cores(spark)).mapInPandas(digest, schema).select("path", "bucket", "key", "size", "sha256", "mtime_us")
 
 
 def verified(manifest: DataFrame, markers: DataFrame) -> DataFrame:
