@@ -268,3 +268,16 @@ def test_regime_filter_against_a_loop(spark):
         mean = sum(held) / len(held) if held else None
         assert got[i].windows_seen == len(held) and got[i].stand_down == (mean is not None and mean < 0.5)
         assert got[i].trailing is None if mean is None else abs(got[i].trailing - mean) < 1e-9
+
+
+def test_rolling_frames_share_their_scans(spark):
+    rows = [("a", t, i, float(i % 3), f"n{i}") for i, t in enumerate([0, 5, 5, 40, 99, 100, 101, 160, 160, 205])]
+    df = spark.createDataFrame(rows, "k string, t long, seq long, v double, name string")
+    got = rolling(df, ["k"], "t", "seq", 100, {"f": (F.col("v"), 50), "g": (F.col("v"), 5), "n": (F.col("name").isNotNull().cast("int"), 100)})
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") <= 3, plan
+    assert got.columns == ["k", "t", "seq", "v", "name", "f", "g", "n"]
+    for r in got.collect():
+        before = [x for x in rows if (x[1], x[2]) <= (r.t, r.seq)]
+        want = [sum(x[3] for x in before if x[1] >= r.t - span) for span in (50, 5)]
+        assert [r.f, r.g, r.n] == [*want, sum(x[1] >= r.t - 100 for x in before)], r

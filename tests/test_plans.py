@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 from tickloom.functions import pricing as P
 from tickloom.functions import quoting as Q
 from tickloom.operators.audit import audit
+from tickloom.plans.features import feature_table
 from tickloom.plans.fills import label_rows, queue_fills
+from tickloom.plans.quotes import quote_lifetimes
+from tickloom.plans.state import market_state
 from tickloom.plans.variants import mirrored, parse_variant
+from tickloom.schemas import ORDER
+from tickloom.session import cut
 
 
 def test_fair_value_matches_double_sum(spark):
@@ -80,3 +85,32 @@ def test_audit_reports_missing_parts_and_sequence_skips(spark):
     assert r.status == "complete" and not r.healthy and r.rows == 7 and r.invalid_rows == 1
     assert r.channel_seq_gaps == {"trade": 1} and "channel_gaps=trade|1" in r.warnings
     assert "no_reference_price=binance|coinbase|kraken" in r.errors and "unreadable_rows=1" in r.errors
+
+
+def test_lifetimes_work_quotes_out_once(spark):
+    """A side's quote ends where its price changes or goes; the rows it is made from are worked out once."""
+    prices = {"a": [(0.4, 0.6), (0.4, 0.6), (0.4, None), (0.3, None), (None, 0.7), (0.3, 0.7)], "b": [(None, None), (None, 0.5)]}
+    rows = [
+        (m, "v", i, 0, 0, i, 0.5, 10, [("bid", b, 1.0, 0.1)] * (b is not None) + [("ask", a, 1.0, 0.1)] * (a is not None))
+        for m, steps in prices.items() for i, (b, a) in enumerate(steps)
+    ]
+    order = ", ".join(f"{c} long" for c in ORDER)
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(latency):
+        made.add(1)
+        return latency
+
+    flat = [(m, v, t, *range(len(ORDER) - 1), line, fair, latency, q) for m, v, t, _, _, line, fair, latency, q in rows]
+    quoted = spark.createDataFrame(flat, f"ticker string, variant string, receive_ts_ms long, {order}, fair_yes double, latency_ms long, quotes array<struct<side string, price double, count double, edge double>>")
+    counted = quoted.withColumn("latency_ms", F.udf(seen, "long")("latency_ms"))
+    got = sorted((r.ticker, r.side, r.price, r.decide_ts_ms, r.cancel_ts_ms) for r in quote_lifetimes(counted, 2).collect())
+    assert got == [
+        ("a", "ask", 0.6, 0, 12), ("a", "ask", 0.7, 4, None), ("a", "bid", 0.3, 3, 14), ("a", "bid", 0.3, 5, None), ("a", "bid", 0.4, 0, 13), ("b", "ask", 0.5, 1, None),
+    ]
+    assert made.value == len(rows)
+
+
+def test_features_from_a_written_state(windows):
+    state = cut(market_state(windows))
+    assert sorted(map(str, feature_table(windows, state).collect())) == sorted(map(str, feature_table(windows).collect()))
