@@ -51,7 +51,7 @@ def model_fairs() -> Column:
 
 def predictions(windows: Windows) -> DataFrame:
     """Samples with the array ``fairs``; volatility is warmed by the hour of index ticks before the window."""
-    samples = cut(sample(priced(market_state(windows, warm=True), windows.markets), slice_ms=windows.slice_ms))
+    samples = cut(sample(priced(cut(market_state(windows, warm=True)), windows.markets), slice_ms=windows.slice_ms))
     count, total = observed_fixings()
     staged = (
         samples.withColumn("seconds_to_close", seconds_to_close())
