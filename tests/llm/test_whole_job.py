@@ -208,3 +208,22 @@ def test_mixing_without_repeats(stored):
     drawn = sum(r._tokens * r._probability for r in out)
     for dim, name, share in (("source", "b", 0.2), ("lang", "de", 0.4)):
         assert sum(r._tokens * r._probability for r in out if r[dim] == name) / drawn == pytest.approx(share, abs=1e-6)
+
+
+def test_only_lines_that_can_match_are_compared(stored):
+    rng = random.Random(5)
+    rows, like = [], set()
+    for k in range(120):
+        w = [f"v{rng.randrange(10_000)}" for _ in range(rng.choice((1, 3, 5, 6, 9, 30, 80)))]
+        rows.append((k, " ".join(w)))
+        if k % 3 == 0:
+            rows.append((1000 + k, " ".join([*w, "tail"]) if k % 2 else " \t".join(w)))
+            if k % 2 and len(w) >= 9:  # the tail adds a token; a shorter line has too few to stay like it
+                like |= {k, 1000 + k}
+    docs = stored([(i, t, "en", "a", 0, "x", "k") for i, t in rows], DOCS)
+    signed = lines.signed(with_row_id(docs), lines.WIDTH)
+    groups = signed.select("sid", "sid2", "doc_id", lines._need().alias("need")).groupBy("sid", "sid2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("need").alias("need"))
+    numbered = groups.withColumn("id", lines._kept_bits(F.col("sid"), lines.ID_BITS))
+    got = {r.doc_id for r in lines.candidates(lines.prefixes(signed, lines.WIDTH, 48), numbered).collect()}
+    assert like <= got and len(got) <= len(like) + 20
+    assert {r.doc_id for r in lines.removed_lines(docs).collect()} == {i for i in like if i >= 1000} | {1000 + k for k in range(0, 120, 6)}
