@@ -313,3 +313,37 @@ def test_empty_archive(stored, tmp_path):
     folder = str(tmp_path / "none")
     files = warc.write_archives(warc.with_revisits(stored([], PAGES)), folder)
     assert warc.read_archives(files, folder).count() == 0
+
+
+def test_top_k_blocks_meet_without_broadcasts(stored):
+    """Repeated query blocks are planned by the size of one copy, so a broadcast of them would hold all copies on the driver."""
+    found = topk.top_k(stored([(i, [i % 3 - 1.0, 1.0]) for i in range(40)], "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0, 4)
+    assert "Broadcast" not in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("top", [50, 5_000, 2**22, 2**27, 2**35])
+def test_top_k_kinds_of_numbers(top):
+    """Bytes, words, wide integers and doubles; scores in floats, doubles and whole numbers."""
+    rng, k = np.random.default_rng(top), 6
+    v = rng.integers(-top, top + 1, (300, 3)).astype(float)
+    v[20:60] = v[7]
+    v[:, 1:] = v[:, 1:] % 50 if top == 2**35 else v[:, 1:]
+    v[:, 0] = v[:, 0] // 2**7 if top == 2**35 else v[:, 0]
+    cid, qid = np.arange(300) % 290, np.arange(0, 290, 5)
+    q = np.array([v[i] for i in qid])
+    exact = [sorted((-sum(int(a) * int(b) for a, b in zip(x, y)), int(c)) for y, c in zip(v, cid) if c != i) for x, i in zip(q, qid)]
+    low, width = np.array([-(2**60) if i % 2 else -e[k + 3][0] for i, e in enumerate(exact)]), np.arange(1, len(qid) + 1) * 1000
+
+    def batch(low):
+        return pa.RecordBatch.from_pylist([{"qids": qid.tobytes(), "qvectors": topk._packed(q).tobytes(), "ids": cid.tobytes(), "vectors": topk._packed(v).tobytes(), "d": 3, "low": low.tobytes(), "width": width.tobytes()}])
+
+    got = [tuple(r.values()) for b in topk._count(k)(iter([batch(low)])) for r in b.to_pylist()]
+    want = Counter()
+    for i, e, lo, w in zip(qid, exact, low, width):
+        for s in (-x for x, _ in e if -x >= max(lo, -e[k - 1][0])):
+            want[int(i), min((s - int(lo)) // int(w), topk.BINS)] += 1
+    assert sorted(got) == sorted((*key, min(n, k)) for key, n in want.items())
+    kth = np.array([-e[k - 1][0] for e in exact])
+    found = sorted(tuple(r.values()) for b in topk._collect(k)(iter([batch(kth)])) for r in b.to_pylist())
+    best = [(int(i), c, -s) for i, e, t in zip(qid, exact, kth) for s, c in [x for x in e if -x[0] > t] + [x for x in e if -x[0] == t][:k]]
+    assert found == sorted(best)

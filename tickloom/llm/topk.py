@@ -54,6 +54,17 @@ def _binary(arrays: list[np.ndarray]) -> pa.Array:
     return pa.array([a.tobytes() for a in arrays], pa.binary())
 
 
+def _packed(v: np.ndarray) -> np.ndarray:
+    """Components in the smallest kind of integer that holds them all, if one does."""
+    most = np.abs(v).max(initial=0)
+    return next((v.astype(kind) for kind in (np.int8, np.int16, np.int32) if most <= np.iinfo(kind).max), v)
+
+
+def _vectors(body: bytes, n: int, d: int) -> np.ndarray:
+    kind = {1: np.int8, 2: np.int16, 4: np.int32, 8: np.float64}[len(body) // (n * d)]
+    return np.frombuffer(body, kind).reshape(n, d)
+
+
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
     """One row at a time, so that a batch's blocks aren't all copied at once."""
     for i in range(batch.num_rows):
@@ -70,50 +81,83 @@ def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
             flat = v.flatten().to_numpy(zero_copy_only=False)
             width = len(flat) // len(ids) if len(ids) else 0
             at = range(0, len(ids), size)
-            heads, bodies = _binary([ids[i : i + size] for i in at]), _binary([flat[i * width : (i + size) * width] for i in at])
+            heads, bodies = _binary([ids[i : i + size] for i in at]), _binary([_packed(flat[i * width : (i + size) * width]) for i in at])
             yield pa.RecordBatch.from_arrays([heads, bodies, pa.array([width] * len(at), pa.int32())], ["ids", "vectors", "d"])
 
     return cut(rows.mapInArrow(run, "ids binary, vectors binary, d int").withColumn(name, F.monotonically_increasing_id()))
 
 
-def _scores(q: np.ndarray, v: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Exact integer inner products, queries x candidates; pairs that aren't ``other`` may hold anything."""
+def _own(qid: np.ndarray, cid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a query and itself; a block's queries differ."""
+    order = np.argsort(qid)
+    at = order[np.minimum(np.searchsorted(qid[order], cid), len(qid) - 1)]
+    columns = np.flatnonzero(qid[at] == cid)
+    return at[columns], columns
+
+
+def _scores(q: np.ndarray, v: np.ndarray, own: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Exact integer inner products, queries x candidates; pairs in ``own`` are below every score."""
     bound = float(np.abs(q).sum(axis=1).max(initial=0)) * float(np.abs(v).max(initial=0))
-    if bound < 2**53:  # every partial sum is an integer that a double holds
-        return (q @ v.T).astype(np.int64)
+    if bound < 2**53:  # every partial sum is an integer that a double, or even a float, holds
+        kind = np.float32 if bound < 2**24 else np.float64
+        score = q.astype(kind) @ v.astype(kind).T
+        score[own] = -np.inf
+        return score
     exact = np.array([[int(x) for x in row] for row in q], object) @ np.array([[int(x) for x in row] for row in v], object).T
-    exact = np.where(other, exact, 0)
+    exact[own] = 0
     if exact.size and max(exact.max(), -exact.min()) >= LIMIT:
         raise OverflowError("a score needs more than 61 bits")
-    return exact.astype(np.int64)
+    exact = exact.astype(np.int64)
+    exact[own] = np.iinfo(np.int64).min
+    return exact
 
 
-def _pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     qid, cid = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["ids"], np.int64)
-    q = np.frombuffer(row["qvectors"], np.float64).reshape(len(qid), row["d"])
-    v = np.frombuffer(row["vectors"], np.float64).reshape(len(cid), row["d"])
-    other = qid[:, None] != cid[None, :]
-    return qid, cid, _scores(q, v, other), other
+    q, v = (_vectors(row[name], len(ids), row["d"]).astype(np.float64) for name, ids in (("qvectors", qid), ("vectors", cid)))
+    return qid, cid, _scores(q, v, _own(qid, cid))
+
+
+def _from(score: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of the scores that reach their row's ``low``, by rows.
+
+    A limit that floats don't hold lies beyond all scores that are floats, and rounding leaves it there.
+    """
+    r, c = np.nonzero(score >= low.astype(score.dtype)[:, None])
+    return r, c, score[r, c].astype(np.int64)
+
+
+def _place_in_row(r: np.ndarray) -> np.ndarray:
+    return np.arange(len(r)) - np.searchsorted(r, r)
+
+
+def _kth_at_least(score: np.ndarray, k: int, low: np.ndarray) -> np.ndarray:
+    """A limit per row that no more than the row's kth score and ``low`` reach: the kth of the highest of 4 k groups."""
+    groups = 4 * k
+    each = score.shape[1] // groups
+    if each < 2:
+        return low.astype(score.dtype)
+    highest = score[:, : each * groups].reshape(len(score), each, groups).max(axis=1)
+    return np.maximum(low.astype(score.dtype), np.partition(highest, groups - k, axis=1)[:, groups - k])
 
 
 def _count(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                qid, _, score, other = _pairs(row)
+                qid, _, score = _pairs(row)
                 low, width = np.frombuffer(row["low"], np.int64), np.frombuffer(row["width"], np.int64)
-                out_q, out_bin, out_n = [], [], []
-                for i in range(len(qid)):
-                    s = score[i][other[i]]
-                    # Below the block's own kth score nothing can be the global kth.
-                    if len(s) > k:
-                        s = s[s >= np.partition(s, len(s) - k)[len(s) - k]]
-                    s = s[s >= low[i]]
-                    bins, n = np.unique(np.minimum((s - low[i]) // width[i], BINS), return_counts=True)
-                    out_q.append(np.full(len(bins), qid[i]))
-                    out_bin.append(bins)
-                    out_n.append(np.minimum(n, k))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_q, out_bin, out_n)], ["qid", "bin", "n"])
+                r, _, s = _from(score, _kth_at_least(score, k, low))
+                order = np.lexsort((-s, r))
+                r, s = r[order], s[order]
+                # Below the block's own kth score nothing can be the global kth.
+                kth, last = low.copy(), _place_in_row(r) == k - 1
+                kth[r[last]] = s[last]
+                r, s = r[s >= kth[r]], s[s >= kth[r]]
+                bins = np.minimum((s - low[r]) // width[r], BINS)
+                first = np.flatnonzero((np.diff(r, prepend=-1) != 0) | (np.diff(bins, prepend=-1) != 0))
+                n = np.minimum(np.diff(first, append=len(r)), k)
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (qid[r[first]], bins[first], n)], ["qid", "bin", "n"])
 
     return run
 
@@ -122,17 +166,14 @@ def _collect(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                qid, cid, score, other = _pairs(row)
+                qid, cid, score = _pairs(row)
                 kth = np.frombuffer(row["low"], np.int64)
-                out = []
-                for i in range(len(qid)):
-                    above = np.flatnonzero(other[i] & (score[i] > kth[i]))
-                    ties = np.flatnonzero(other[i] & (score[i] == kth[i]))
-                    if len(ties) > k:
-                        ties = ties[np.argpartition(cid[ties], k - 1)[:k]]
-                    picked = np.concatenate([above, ties])
-                    out.append((np.full(len(picked), qid[i]), cid[picked], score[i][picked]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+                r, c, s = _from(score, kth)
+                order = np.lexsort((cid[c], s == kth[r], r))
+                r, c, s = r[order], c[order], s[order]
+                tied = np.flatnonzero(s == kth[r])
+                picked = np.concatenate([np.flatnonzero(s > kth[r]), tied[_place_in_row(r[tied]) < k]])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qid[r[picked]], cid[c[picked]], s[picked])], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -153,12 +194,17 @@ def _attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.array([s["at"] for s in row["s"]], np.int64)
             qid = np.frombuffer(row["ids"], np.int64)
             ids.append(qid[at])
-            vectors.append(np.frombuffer(row["vectors"], np.float64).reshape(len(qid), row["d"])[at])
+            vectors.append(_vectors(row["vectors"], len(qid), row["d"])[at])
             low.append(np.array([s["low"] for s in row["s"]], np.int64))
             width.append(np.array([s["width"] for s in row["s"]], np.int64))
         yield pa.RecordBatch.from_arrays([_binary(x) for x in (ids, vectors, low, width)], ["qids", "qvectors", "low", "width"])
 
 
+def _meet(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """An equi join by shuffles: blocks are far larger than their files, and repeated ones are planned by the size of one."""
+    return left.join(right.hint("merge"), key)
+
+
 def _first_ranges(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """(qid, low, width): per query a range that holds every possible score."""
     top = rows.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0.0
@@ -180,9 +226,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, query_block: int =
 
     def blocks_with(state: DataFrame) -> DataFrame:
         """Every query block beside every candidate block."""
-        held = place.join(state, "qid").groupBy("qb").agg(F.array_sort(F.collect_list(F.struct("at", "low", "width"))).alias("s"))
-        sent = cut(left.join(held, "qb").mapInArrow(_attach, "qids binary, qvectors binary, low binary, width binary"))
-        return sent.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long")))).join(right, "cell")
+        held = _meet(place, state, "qid").groupBy("qb").agg(F.array_sort(F.collect_list(F.struct("at", "low", "width"))).alias("s"))
+        sent = cut(_meet(left, held, "qb").mapInArrow(_attach, "qids binary, qvectors binary, low binary, width binary"))
+        repeated = sent.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
+        # A task for each candidate block: their work is alike, and sizes say little about it.
+        return _meet(repeated.repartition(cells, "cell"), right.repartition(cells, "cell"), "cell")
 
     while True:
         counts = blocks_with(state).mapInArrow(_count(k), "qid long, bin long, n long").groupBy("qid", "bin").agg(F.sum("n").alias("n"))
@@ -193,7 +241,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, query_block: int =
         low = F.col("low") + F.col("f.bin") * F.col("width")
         narrower = F.ceil(F.col("width") / BINS).cast("long")
         # Queries without candidates end here.
-        state = cut(state.join(bins.select("qid", found.alias("f")), "qid").select("qid", low.alias("low"), narrower.alias("width"), (F.col("width") == 1).alias("exact")))
+        state = cut(_meet(state, bins.select("qid", found.alias("f")), "qid").select("qid", low.alias("low"), narrower.alias("width"), (F.col("width") == 1).alias("exact")))
         if state.where("NOT exact").isEmpty():
             break
     best = blocks_with(state).mapInArrow(_collect(k), "query_id long, vec_id long, score long")
