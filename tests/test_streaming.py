@@ -227,3 +227,18 @@ def test_a_landing_reads_its_own_files_only(spark):
     assert "PartitionFilters: [isnotnull(_part" in plan
     assert [parted.filter(F.col(PART) == i).drop(PART).count() for i in range(3)] == [700, 0, 300]
     assert parted.filter(F.col(PART) == 2).drop(PART).agg(F.sum("x")).first()[0] == sum(2 * i for i in range(700, 1000))
+
+
+def test_streams_call_python_by_buckets(spark):
+    """Keys of one type or two, null ones too, over several micro-batches."""
+    rows = [(i % 301 if i % 50 else None, "uv"[i % 2], i, 100 * (i // 400) + i % 3) for i in range(1600)]
+    df = spark.createDataFrame(rows, "user long, side string, line long, t long")
+    seen = df.withColumn("k", F.coalesce("user", F.lit(-1))).groupBy("k", "side").count().count()
+    got = drain(live.sampled_stream(landed(df, "t"), 100, ["user", "side"], "t", ["t", "line"])).toPandas()
+    want, last = [], {}
+    for user, side, line, t in sorted(rows, key=lambda r: (r[3], r[2])):
+        if (user, side) not in last or t - last[user, side] >= 100:
+            last[user, side] = t
+            want.append(line)
+    assert len(last) == seen and sorted(got.line) == sorted(want)
+    assert [(None if pd.isna(u) else int(u), s) for u, s in zip(got.user, got.side)] == [rows[i][:2] for i in got.line]

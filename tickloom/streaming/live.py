@@ -12,7 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tickloom.plans.variants import ToxicityTax
 from tickloom.schemas import ENVELOPE
 from tickloom.sources import recording_source
-from tickloom.streaming.stateful import Composite, FlowWindow, Sampler, SequencedBook, stateful
+from tickloom.streaming.many import SamplerOfMany, by_buckets
+from tickloom.streaming.stateful import Composite, FlowWindow, SequencedBook, stateful
 from tickloom.streaming.timed import LiveFeatures, Silence, VenueBooks, with_state
 
 
@@ -63,7 +64,7 @@ def book_stream(messages: DataFrame, t: str = "receive_ts_ms", order: Sequence[s
 def sampled_stream(rows: DataFrame, interval_ms: int, keys: Sequence[str] = ("ticker",), t: str = "receive_ts_ms", order: Sequence[str] = ("receive_ts_ms", "line"), force: str | None = None) -> DataFrame:
     """Throttled rows of a stream (same rule as the batch sampler), optionally with rows that always pass."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return stateful(rows, list(keys), order, lambda: Sampler(t, interval_ms, force), Sampler.STATE, schema)
+    return by_buckets(rows, keys, order, lambda: SamplerOfMany(keys, t, interval_ms, force), schema)
 
 
 def flow_stream(trades: DataFrame, spans_ms: Sequence[int] = (1_000, 5_000, 30_000), t: str = "receive_ts_ms", order: Sequence[str] = ("receive_ts_ms", "line")) -> DataFrame:
