@@ -12,8 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tickloom.plans.variants import ToxicityTax
 from tickloom.schemas import ENVELOPE
 from tickloom.sources import recording_source
-from tickloom.streaming.many import SamplerOfMany, by_buckets
-from tickloom.streaming.stateful import Composite, FlowWindow, SequencedBook, stateful
+from tickloom.streaming.many import FlowOfMany, SamplerOfMany, by_buckets
+from tickloom.streaming.stateful import Composite, SequencedBook, stateful
 from tickloom.streaming.timed import LiveFeatures, Silence, VenueBooks, with_state
 
 
@@ -69,7 +69,7 @@ def sampled_stream(rows: DataFrame, interval_ms: int, keys: Sequence[str] = ("ti
 
 def flow_stream(trades: DataFrame, spans_ms: Sequence[int] = (1_000, 5_000, 30_000), t: str = "receive_ts_ms", order: Sequence[str] = ("receive_ts_ms", "line")) -> DataFrame:
     out = f"ticker string, {t} bigint, last_trade_age_ms bigint, " + ", ".join(f"flow_{s} double" for s in spans_ms)
-    return stateful(trades, ["ticker"], order, lambda: FlowWindow(t, "signed", spans_ms), FlowWindow.STATE, out)
+    return by_buckets(trades, ["ticker"], order, lambda: FlowOfMany(["ticker"], t, "signed", spans_ms), out)
 
 
 def flow_grid(trades: DataFrame, span: str = "5 seconds", step: str = "250 milliseconds", t: str = "received", lateness: str = "30 seconds") -> DataFrame:

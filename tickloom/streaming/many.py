@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tickloom.streaming.stateful import Sampler
+from tickloom.streaming.stateful import FlowWindow, Sampler
 
 BUCKETS = 512
 BUCKET = "_bucket"
@@ -179,3 +179,80 @@ class SamplerOfMany(ManyKeys):
         if one.last is not None:
             self.put("last", np.array([k]), np.array([k]), _last=np.array([one.last], np.int64))
         return out
+
+
+class Trades(ManyKeys):
+    """Trades of the longest span, from which sums over spans are taken."""
+
+    TABLES = {"trades": ("_ts", "_signed")}
+    longest: int
+
+    def sums(self, code: np.ndarray, now: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, Callable[[int], tuple[np.ndarray, np.ndarray]]]:
+        """(times of the trades, how many of its own trades and the held ones a row has behind it, sums over a span).
+
+        Rows are sorted by key and time, and ``value`` is NaN where they aren't trades.
+        """
+        traded = ~np.isnan(value)
+        held = self.held["trades"]
+        whose = np.concatenate([self.code["trades"], code[traded]])
+        order = np.argsort(whose, kind="stable")  # a key's held trades come before its new ones
+        whose = whose[order]
+        ts = np.concatenate([held["_ts"].to_numpy(dtype=np.int64), now[traded]])[order]
+        signed = np.concatenate([held["_signed"].to_numpy(dtype=float), value[traded]])[order]
+        lines = Segments(whose, ts)
+        # Sums run within a key, so that no other key's size costs precision.
+        total = np.concatenate([[0.0], pd.Series(signed).groupby(whose).cumsum().to_numpy()])
+        n_held = np.bincount(self.code["trades"], minlength=len(self.names))
+        segment = np.full(len(self.names), -1)
+        segment[lines.key] = np.arange(len(lines.key))
+        mine, none = segment[code], segment[code] < 0
+        start = lines.start[mine] if len(lines.start) else np.zeros(len(code), np.int64)
+        seen = np.cumsum(traded)
+        seen = seen - (seen - traded)[np.searchsorted(code, code)]  # of the key's rows so far
+        upto = start + n_held[code] + seen
+
+        def sum_to(i: np.ndarray) -> np.ndarray:
+            return np.where(none | (i <= start), 0.0, total[i])
+
+        def over(span: int) -> tuple[np.ndarray, np.ndarray]:
+            first = np.minimum(lines.search(mine, now - span), upto)
+            return np.where(none, 0.0, sum_to(upto) - sum_to(first)), np.where(none, 0, upto - first)
+
+        ends = np.flatnonzero(np.diff(code, append=-1))
+        bar = np.full(len(self.names), np.iinfo(np.int64).min)
+        bar[code[ends]] = now[ends] - self.longest
+        keep = ts >= bar[whose]
+        self.put("trades", np.arange(len(self.names)), whose[keep], _ts=ts[keep], _signed=signed[keep])
+        newest = np.where(seen > 0, ts[np.maximum(upto - 1, 0)] if len(ts) else 0, 0)
+        return newest, seen, over
+
+
+class FlowOfMany(Trades):
+    """``FlowWindow`` of many keys."""
+
+    TABLES = Trades.TABLES | {"last": ("_last",)}
+
+    def __init__(self, keys: Sequence[str], t: str, value: str, spans_ms: Sequence[int]) -> None:
+        super().__init__(keys, t)
+        self.value, self.spans, self.longest = value, tuple(spans_ms), max(spans_ms)
+
+    def together(self, rows: pd.DataFrame, code: np.ndarray) -> pd.DataFrame:
+        now, value = rows[self.t].to_numpy(dtype=np.int64), pd.to_numeric(rows[self.value]).to_numpy(dtype=float)
+        before, known = self.spread("last", "_last", 0)
+        newest, seen, over = self.sums(code, now, value)
+        out = {self.t: now, "last_trade_age_ms": pd.array(now - np.where(seen > 0, newest, before[code]), dtype="Int64")}
+        out |= {f"flow_{span}": over(span)[0] for span in self.spans}
+        ends = np.flatnonzero(np.diff(code, append=-1))
+        ends = ends[seen[ends] > 0]
+        self.put("last", code[ends], code[ends], _last=newest[ends])
+        known = (seen > 0) | known[code]
+        return pd.DataFrame(out).assign(last_trade_age_ms=lambda d: d["last_trade_age_ms"].mask(~known), **{k: rows[k] for k in self.keys})
+
+    def alone(self, rows: pd.DataFrame, k: int) -> pd.DataFrame:
+        one, trades, last = FlowWindow(self.t, self.value, self.spans), self.of_key("trades", k), self.of_key("last", k)
+        one.load((trades["_ts"].tolist(), trades["_signed"].tolist(), int(last["_last"].iloc[0]) if len(last) else None))
+        out = one.feed(rows).assign(**{c: rows[c] for c in self.keys})
+        self.put("trades", np.array([k]), np.full(len(one.ts), k), _ts=one.ts, _signed=one.signed)
+        if one.last is not None:
+            self.put("last", np.array([k]), np.array([k]), _last=np.array([one.last], np.int64))
+        return out
