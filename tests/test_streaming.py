@@ -13,7 +13,9 @@ from tickloom.sources.venues import depth_updates
 from tickloom.streaming import live
 from tickloom.operators.venue_book import venue_books
 from tickloom.streaming.ladder import SIDES, Ladder
+from tickloom.streaming.many import FeaturesOfMany, FlowOfMany, SamplerOfMany, packed, unpacked
 from tickloom.streaming.stateful import Composite, FlowWindow, Sampler, SequencedBook
+from tickloom.streaming.timed import LiveFeatures
 
 
 def in_pieces(make, rows, cuts):
@@ -229,6 +231,54 @@ def test_a_landing_reads_its_own_files_only(spark):
     assert parted.filter(F.col(PART) == 2).drop(PART).agg(F.sum("x")).first()[0] == sum(2 * i for i in range(700, 1000))
 
 
+def many_rows(seed, timeless=0):
+    r = random.Random(seed)
+    rows, t = [], 1_000
+    for i in range(600):
+        t += r.choice([0, 3, 60, 700])
+        signed = r.choice([None, None, 1.5, -2.25, 1e15 if i % 97 == 0 else 0.5])
+        rows.append((r.choice("aaabcdefgh") if i < 500 else r.choice("ahxyz"), t, i, r.random() < 0.05, signed, None if signed is not None else r.randrange(90) / 4, None if signed is not None else 7.0))
+    rows = pd.DataFrame(rows, columns=["ticker", "ts_ms", "line", "must", "signed", "bid_size", "ask_size"])
+    return rows.assign(ts_ms=rows.ts_ms.mask(rows.line.isin(r.sample(range(600), timeless)))) if timeless else rows
+
+
+def many_in_pieces(make, rows, cuts):
+    out, state = [], None
+    for a, z in zip([0, *cuts], [*cuts, len(rows)]):
+        p = make()
+        if state is not None:
+            p.load([unpacked(x) for x in state])
+        out.append(p.feed(rows.iloc[a:z].sort_values(["ts_ms", "line"]).reset_index(drop=True)))
+        state = [packed(x) for x in p.dump()]
+    return pd.concat([o for o in out if len(o)], ignore_index=True)
+
+
+@pytest.mark.parametrize("seed, timeless", [(1, 0), (2, 0), (3, 4)])
+def test_many_keys_at_once(seed, timeless):
+    """A bucket of keys gives each key's rows, though one key has far larger numbers than the others."""
+    rows = many_rows(seed, timeless)
+    kinds = [
+        (lambda: SamplerOfMany(["ticker"], "ts_ms", 900), lambda: Sampler("ts_ms", 900)),
+        (lambda: SamplerOfMany(["ticker"], "ts_ms", 900, "must"), lambda: Sampler("ts_ms", 900, "must")),
+        (lambda: FlowOfMany(["ticker"], "ts_ms", "signed", (500, 4_000)), lambda: FlowWindow("ts_ms", "signed", (500, 4_000))),
+    ] + [(lambda: FeaturesOfMany(["ticker"], 900, 4_000, 500), lambda: LiveFeatures(900, 4_000, 500))] * (not timeless)
+    for cuts in ([], [1, 40, 41, 300, 520]):
+        for many, one in kinds:
+            got = many_in_pieces(many, rows, cuts)
+            for ticker, mine in rows.groupby("ticker"):
+                edges = [0, *cuts, len(rows)]
+                own = [int((mine.index < e).sum()) for e in edges[1:-1]]
+                pieces = mine.reset_index(drop=True)
+                for a, z in zip([0, *own], [*own, len(mine)]):
+                    pieces.iloc[a:z] = pieces.iloc[a:z].sort_values(["ts_ms", "line"]).to_numpy()
+                pieces = pieces.astype({"line": "int64", "must": "bool", "signed": "float64", "bid_size": "float64", "ask_size": "float64"} | ({"ts_ms": "int64"} if mine.ts_ms.notna().all() else {"ts_ms": "float64"}))
+                want = in_pieces(one, pieces, own)
+                have = got[got.ticker == ticker].reset_index(drop=True)
+                assert len(have) == len(want)
+                for c in want.columns.drop("ticker", errors="ignore"):
+                    pd.testing.assert_series_equal(have[c].astype("float64"), want[c].astype("float64"), check_names=False, rtol=1e-12, atol=1e-9)
+
+
 def test_streams_call_python_by_buckets(spark):
     """Keys of one type or two, null ones too, over several micro-batches."""
     rows = [(i % 301 if i % 50 else None, "uv"[i % 2], i, 100 * (i // 400) + i % 3) for i in range(1600)]

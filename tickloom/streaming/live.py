@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tickloom.plans.variants import ToxicityTax
 from tickloom.schemas import ENVELOPE
 from tickloom.sources import recording_source
-from tickloom.streaming.many import FlowOfMany, SamplerOfMany, by_buckets
+from tickloom.streaming.many import FeaturesOfMany, FlowOfMany, SamplerOfMany, by_buckets
 from tickloom.streaming.stateful import Composite, SequencedBook, stateful
 from tickloom.streaming.timed import LiveFeatures, Silence, VenueBooks, with_state
 
@@ -147,7 +147,8 @@ def live_features(rows: DataFrame, sample_ms: int = 250, span_ms: int = 5_000, s
     """Flow and size changes at every decision of a stream of trades and decisions (see ``LiveFeatures``)."""
     added = {"flow_5s": "double", "flow_1s": "double", "trades_5s": "bigint", "bid_size_delta": "double", "ask_size_delta": "double"}
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "signed"]
-    return with_state(rows, ["ticker"], LiveFeatures(sample_ms, span_ms, short_ms), ", ".join([*kept, *(f"{n} {t}" for n, t in added.items())]), timed=False)
+    schema = ", ".join([*kept, *(f"{n} {t}" for n, t in added.items())])
+    return by_buckets(rows, ["ticker"], LiveFeatures.ORDER, lambda: FeaturesOfMany(["ticker"], sample_ms, span_ms, short_ms), schema)
 
 
 def toxicity_stream(samples: DataFrame, gate: ToxicityTax) -> DataFrame:

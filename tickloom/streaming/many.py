@@ -256,3 +256,53 @@ class FlowOfMany(Trades):
         if one.last is not None:
             self.put("last", np.array([k]), np.array([k]), _last=np.array([one.last], np.int64))
         return out
+
+
+class FeaturesOfMany(Trades):
+    """``LiveFeatures`` of many markets."""
+
+    TABLES = Trades.TABLES | {"sampled": ("_ts", "_bid", "_ask")}
+    SIZES = ("bid_size", "ask_size")
+
+    def __init__(self, keys: Sequence[str], sample_ms: int = 250, span_ms: int = 5_000, short_ms: int = 1_000) -> None:
+        super().__init__(keys, "ts_ms")
+        self.sample, self.span, self.short, self.longest = sample_ms, span_ms, short_ms, span_ms
+
+    def together(self, rows: pd.DataFrame, code: np.ndarray) -> pd.DataFrame:
+        now, value = rows[self.t].to_numpy(dtype=np.int64), pd.to_numeric(rows["signed"]).to_numpy(dtype=float)
+        _, _, over = self.sums(code, now, value)
+        (flow, trades), (short, _) = over(self.span), over(self.short)
+        decisions = np.flatnonzero(np.isnan(value))
+        out = rows.iloc[decisions].reset_index(drop=True)
+        sizes = [out[c].to_numpy(dtype=float) for c in self.SIZES]
+        bases = self._bases(code[decisions], now[decisions], sizes)
+        delta = {f"{c}_delta": np.where(np.isnan(was), 0.0, size - was) for c, size, was in zip(self.SIZES, sizes, bases)}
+        return out.drop(columns=["signed"]).assign(flow_5s=flow[decisions], flow_1s=short[decisions], trades_5s=trades[decisions].astype(np.int64), **delta)
+
+    def _bases(self, code: np.ndarray, at: np.ndarray, sizes: Sequence[np.ndarray]) -> list[np.ndarray]:
+        """Sizes at the key's last sampled decision before each one (NaN: none)."""
+        last, known = self.spread("sampled", "_ts", 0)
+        lines = Segments(code, at)
+        due = np.where(known[lines.key], lines.search(np.arange(len(lines.key)), last[lines.key] + self.sample), lines.start)
+        picked = lines.walk(at, self.sample, due)
+        # A decision is compared with the last sample before it, not with itself.
+        which = np.searchsorted(picked, np.arange(len(at)), side="left") - 1
+        chosen = picked[np.maximum(which, 0)] if len(picked) else np.zeros(len(at), np.int64)
+        here = (which >= 0) & (chosen >= lines.start[lines.of]) if len(at) else np.zeros(0, bool)
+        old = [self.spread("sampled", c, np.nan)[0] for c in ("_bid", "_ask")]
+        bases = [np.where(here, size[chosen], was[code]) if len(at) else size for size, was in zip(sizes, old)]
+        key, end = lines.lasts(picked)
+        self.put("sampled", key, key, _ts=at[end], _bid=sizes[0][end], _ask=sizes[1][end])
+        return bases
+
+    def alone(self, rows: pd.DataFrame, k: int) -> pd.DataFrame:
+        from tickloom.streaming.timed import LiveFeatures
+
+        one, trades, sampled = LiveFeatures(self.sample, self.span, self.short), self.of_key("trades", k), self.of_key("sampled", k)
+        one.load((trades["_ts"].tolist(), trades["_signed"].tolist(), tuple(sampled[["_ts", "_bid", "_ask"]].iloc[0]) if len(sampled) else None))
+        out = one.feed(rows)
+        ts, signed, last = one.dump()
+        self.put("trades", np.array([k]), np.full(len(ts), k), _ts=np.array(ts, np.int64), _signed=np.array(signed, float))
+        if last is not None:
+            self.put("sampled", np.array([k]), np.array([k]), **{c: np.array([x], kind) for c, x, kind in zip(("_ts", "_bid", "_ask"), last, (np.int64, float, float))})
+        return out

@@ -156,50 +156,49 @@ def _columns(schema: str) -> list[str]:
     return [*out, schema[start:].strip()]
 
 
-class LiveFeatures(StatefulProcessor):
+class LiveFeatures:
     """What a toxicity model needs at each decision of a market, from its trades and the decisions before.
 
     Input rows are trades (``signed`` is set) or decisions (``bid_size`` and ``ask_size`` are set).  A decision gets the
     signed flow of the last second and of five, the number of trades in five, and the change of both sizes since
     the last sampled decision; one is sampled when ``sample_ms`` have gone by since the one before.
+    ``many.FeaturesOfMany`` does the same for many markets at once.
     """
 
     ORDER = ("ts_ms", "line")
 
     def __init__(self, sample_ms: int = 250, span_ms: int = 5_000, short_ms: int = 1_000) -> None:
         self.sample, self.span, self.short = sample_ms, span_ms, short_ms
+        self.ts, self.signed = np.zeros(0, np.int64), np.zeros(0)
+        self.sampled: tuple[int, float, float] | None = None
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.trades = handle.getListState("trades", "ts bigint, signed double")
-        self.sampled = handle.getValueState("sampled", "ts bigint, bid double, ask double")
+    def load(self, state: tuple) -> None:
+        self.ts, self.signed, self.sampled = np.array(state[0], np.int64), np.array(state[1], float), state[2]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _ordered(rows, self.ORDER)
-        held = list(self.trades.get()) if self.trades.exists() else []
+    def dump(self) -> tuple:
+        return (self.ts.tolist(), self.signed.tolist(), self.sampled)
+
+    def feed(self, batch: pd.DataFrame) -> pd.DataFrame:
         now, signed = batch["ts_ms"].to_numpy(dtype=np.int64), pd.to_numeric(batch["signed"]).to_numpy(dtype=float)
         traded = ~np.isnan(signed)
-        ts = np.concatenate([np.array([t for t, _ in held], np.int64), now[traded]])
-        sums = np.concatenate([[0.0], np.cumsum(np.concatenate([[s for _, s in held], signed[traded]]))])
-        upto = len(held) + np.cumsum(traded)
+        held = len(self.ts)
+        ts, kept = np.concatenate([self.ts, now[traded]]), np.concatenate([self.signed, signed[traded]])
+        sums = np.concatenate([[0.0], np.cumsum(kept)])
+        upto = held + np.cumsum(traded)
         decisions = np.flatnonzero(~traded)
         keep = ts >= now[-1] - self.span
-        if keep.any():
-            self.trades.put([(int(t), float(s)) for t, s in zip(ts[keep], np.diff(sums)[keep])])
-        else:
-            self.trades.clear()
-        if not len(decisions):
-            return
+        self.ts, self.signed = ts[keep], kept[keep]
         at, upto = now[decisions], upto[decisions]
         first, short = (np.minimum(np.searchsorted(ts, at - span, side="left"), upto) for span in (self.span, self.short))
         bid, ask = (batch[c].to_numpy(dtype=float)[decisions] for c in ("bid_size", "ask_size"))
         base = self._bases(at, bid, ask)
         out = batch.iloc[decisions].reset_index(drop=True)
         delta = {f"{side}_size_delta": np.where(np.isnan(was), 0.0, size - was) for side, size, was in (("bid", bid, base[0]), ("ask", ask, base[1]))}
-        yield out.drop(columns=["signed"]).assign(flow_5s=sums[upto] - sums[first], flow_1s=sums[upto] - sums[short], trades_5s=(upto - first).astype(np.int64), **delta)
+        return out.drop(columns=["signed"]).assign(flow_5s=sums[upto] - sums[first], flow_1s=sums[upto] - sums[short], trades_5s=(upto - first).astype(np.int64), **delta)
 
     def _bases(self, at: np.ndarray, bid: np.ndarray, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sizes at the last sampled decision before each one (NaN: none)."""
-        last = self.sampled.get() if self.sampled.exists() else None
+        last = self.sampled
         picked, i = [], 0 if last is None else int(np.searchsorted(at, last[0] + self.sample, side="left"))
         while i < len(at):
             picked.append(i)
@@ -208,9 +207,6 @@ class LiveFeatures(StatefulProcessor):
         which = np.searchsorted(np.array(picked, np.int64), np.arange(len(at)), side="left") - 1
         old = (np.nan, np.nan) if last is None else last[1:]
         if picked:
-            self.sampled.update((int(at[picked[-1]]), float(bid[picked[-1]]), float(ask[picked[-1]])))
+            self.sampled = (int(at[picked[-1]]), float(bid[picked[-1]]), float(ask[picked[-1]]))
         chosen = np.array(picked, np.int64)[np.maximum(which, 0)] if picked else np.zeros(len(at), np.int64)
         return tuple(np.where(which >= 0, size[chosen], was) for size, was in ((bid, old[0]), (ask, old[1])))
-
-    def close(self) -> None:
-        pass
